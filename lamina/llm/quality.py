@@ -2,12 +2,14 @@
 
 P(grade > k) = sigmoid(score - threshold_k) with one weight vector for all grades and ordered
 thresholds. A text's features are the relative frequencies of its hashed byte 4-grams (letter case
-and punctuation kept), so every byte of the text counts. Scoring is a map with a weight vector of
+and punctuation kept), so every byte of the text counts, and one bucket for words that repeat the
+word before them. Scoring is a map with a weight vector of
 fixed size; fitting takes a bounded, hash-chosen sample of rated rows.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 16
+#: Hashed buckets, then the share of words that repeat the word before them.
+WIDTH = (1 << BITS) + 1
 #: Rated rows that the fit takes, those with the smallest hash of doc_id.
 SAMPLE = 3000
 #: A document is kept if P(grade > lowest) is at least this.
@@ -39,12 +43,14 @@ def chunks(data: bytes, size: int = 1 << 22) -> Iterator[bytes]:
 
 
 def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket ids and square roots of relative frequencies (unit length)."""
+    """Bucket ids and square roots of relative frequencies (the 4-grams' have unit length)."""
+    data = (text or "").encode("utf-8", "surrogatepass")
     counts = np.zeros(1 << BITS)
-    for part in chunks((text or "").encode("utf-8", "surrogatepass")):
+    for part in chunks(data):
         counts += np.bincount(gram_codes(part), minlength=1 << BITS)
-    at = np.flatnonzero(counts)
-    return at.astype(np.int32), np.sqrt(counts[at] / counts.sum()).astype(np.float32)
+    at, words = np.flatnonzero(counts), data.split()
+    again = sum(map(operator.eq, words, words[1:])) / len(words) if words else 0.0
+    return np.append(at, WIDTH - 1).astype(np.int32), np.append(np.sqrt(counts[at] / counts.sum()), np.sqrt(again)).astype(np.float32)
 
 
 @dataclass
@@ -61,19 +67,19 @@ class OrdinalModel:
         return self.grades[0] + tails @ np.diff(self.grades)
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, l2: float = 2e-4, steps: int = 250, rate: float = 0.08) -> OrdinalModel:
+def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, l2: float = 2e-4, steps: int = 160, rate: float = 0.12) -> OrdinalModel:
     """Adam on the mean cumulative-link loss. Thresholds are a first one plus sums of exponentials, and so stay ordered."""
     grades = np.unique(y).astype(float)
     if len(grades) < 2:  # nothing to tell apart: every text has the one grade
         only = grades if len(grades) else np.array([1.0])
-        return OrdinalModel(np.zeros(1 << BITS, np.float32), np.full(1, -60.0), np.array([only[0] - 1, only[0]]))
+        return OrdinalModel(np.zeros(WIDTH, np.float32), np.full(1, -60.0), np.array([only[0] - 1, only[0]]))
     level = np.searchsorted(grades, y)
     beyond = (level[:, None] > np.arange(len(grades) - 1)[None, :]).astype(float)
     idx, val = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     share = np.clip(beyond.mean(0), 1e-3, 1 - 1e-3)
     first = np.log((1 - share) / share)
-    w, t0, gaps = np.zeros(1 << BITS), first[0], np.log(np.maximum(np.diff(first), 1e-2))
+    w, t0, gaps = np.zeros(WIDTH), first[0], np.log(np.maximum(np.diff(first), 1e-2))
     params = [w, np.array([t0]), gaps]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
@@ -82,7 +88,7 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, l2: fl
         p = 1 / (1 + np.exp(np.clip(thresholds[None, :] - scores[:, None], -60, 60)))
         slope = (p - beyond) / len(rows)
         g_score, g_thr = slope.sum(1), -slope.sum(0)
-        grads = [np.bincount(idx, g_score[row] * val, 1 << BITS) + l2 * params[0], np.array([g_thr.sum()]), np.array([g_thr[k + 1 :].sum() * np.exp(x) for k, x in enumerate(params[2])])]
+        grads = [np.bincount(idx, g_score[row] * val, WIDTH) + l2 * params[0], np.array([g_thr.sum()]), np.array([g_thr[k + 1 :].sum() * np.exp(x) for k, x in enumerate(params[2])])]
         for i, g in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.999 * v[i] + 0.001 * g * g
