@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality
+from . import decontam, mixing, quality, simhash
 from .common import table
 
 
+def op1_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.EXACT_64)
+    return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
 def op3_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs.select("doc_id", "text"), quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -24,6 +29,6 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_ordinal, op4_poisson_mix, op10_wu_manber)}
+QUERIES = {f.__name__: f for f in (op1_simhash_vptree, op3_quality_ordinal, op4_poisson_mix, op10_wu_manber)}
 
 ORACLES = {"op4_poisson_mix": mixing.ORACLE}
