@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, simhash
+from . import decontam, mixing, quality, simhash, suffix
 from .common import table
 
 
@@ -24,11 +24,16 @@ def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.digest(decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_vptree, op3_quality_ordinal, op4_poisson_mix, op10_wu_manber)}
+QUERIES = {f.__name__: f for f in (op1_simhash_vptree, op3_quality_ordinal, op4_poisson_mix, op6_suffix_dedup, op10_wu_manber)}
 
 ORACLES = {"op4_poisson_mix": mixing.ORACLE}
