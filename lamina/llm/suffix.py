@@ -390,8 +390,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return spans.groupBy("id", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs plus kept (binary: the bytes left), n_bytes, n_removed and n_spans.
+def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
+    """docs plus kept (the bytes left; as_text: a string of them, without characters that were cut through), n_bytes, n_removed and n_spans.
 
     Every byte inside a LENGTH-byte string that starts at more than one place of the corpus is removed. A null text counts
     as empty; texts below LENGTH bytes stay whole; rows that repeat a doc_id are documents of their own (whole repeats
@@ -418,8 +418,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 n_bytes.append(len(data))
                 n_removed.append(len(data) - len(kept[-1]))
                 n_spans.append(len(whole))
-            arrays = [pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans))]
+            first = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            arrays = [first, *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *arrays], names=[*own, *new])
 
     kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema.fields)
-    return joined.mapInArrow(cut, f"{kept_schema}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return joined.mapInArrow(cut, f"{kept_schema}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
