@@ -21,12 +21,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, STRIDE, LEVEL = 32, 12, 3
+WINDOW, STRIDE, LEVEL = 32, 12, 9
 #: Labelled rows of each class that the fit takes, those with the smallest hash of doc_id.
-SAMPLE = 1200
+SAMPLE = 2000
+#: The part of them that trains the dictionaries; the others fit the calibration.
+DICTIONARY_PART = 0.6
 BASE_BYTES, ORDINARY_WORDS, HARD_WINDOWS, ROUNDS = 4096, 150, 60, 2
-#: A word marks toxic text from this many standard errors on.
-SIGNIFICANT = 6.0
+#: A word marks toxic text from this many standard errors on, a word's first bytes from so many.
+SIGNIFICANT, STEM_SIGNIFICANT, STEM_BYTES = 6.0, 8.0, (4, 5, 6)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 
@@ -82,18 +84,26 @@ class CompressionModel:
 
 def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[WindowLengths, WindowLengths]:
     """(ordinary, toxic), from folded texts."""
-    in_toxic, in_ordinary = Counter(), Counter()
-    for texts, counter in ((toxic, in_toxic), (ordinary, in_ordinary)):
+    words, stems = (Counter(), Counter()), (Counter(), Counter())
+    for side, texts in enumerate((toxic, ordinary)):
         for t in texts:
-            counter.update(set(_WORD.findall(t)))
-    nt, no = max(1, len(toxic)), max(1, len(ordinary))
+            own = set(_WORD.findall(t))
+            words[side].update(own)
+            stems[side].update({w[:k] for w in own for k in STEM_BYTES if len(w) >= k})
+    (in_toxic, in_ordinary), nt, no = words, max(1, len(toxic)), max(1, len(ordinary))
 
-    def excess(w: bytes) -> float:
-        p = (in_toxic[w] + in_ordinary[w]) / (nt + no)
-        return (in_toxic[w] / nt - in_ordinary[w] / no) / (p * (1 - p) * (1 / nt + 1 / no) + 1e-12) ** 0.5
+    def excess(counts: tuple[Counter, Counter], w: bytes) -> float:
+        p = (counts[0][w] + counts[1][w]) / (nt + no)
+        return (counts[0][w] / nt - counts[1][w] / no) / (p * (1 - p) * (1 / nt + 1 / no) + 1e-12) ** 0.5
+
+    marking = {w for w, n in stems[0].items() if n >= 3 and excess(stems, w) > STEM_SIGNIFICANT and n / nt > 8 * stems[1][w] / no}
+
+    def marks_toxic(w: bytes) -> bool:
+        sure = in_toxic[w] >= 3 and excess(words, w) > SIGNIFICANT
+        return sure or in_toxic[w] > in_ordinary[w] and any(w[:k] in marking for k in STEM_BYTES)
 
     # A dictionary's end is cheapest to refer to, so what matters most comes last.
-    marks = sorted((w for w in in_toxic if in_toxic[w] >= 3 and excess(w) > SIGNIFICANT), key=lambda w: (excess(w), w))
+    marks = sorted(filter(marks_toxic, in_toxic), key=lambda w: (excess(words, w), w))
     frequent = sorted(in_ordinary, key=lambda w: (in_ordinary[w], w))[-ORDINARY_WORDS:]
     stride = max(1, sum(map(len, ordinary)) // BASE_BYTES)
     base = b"".join(t[i : i + WINDOW] for t in ordinary for i in range(0, len(t), stride * WINDOW))[:BASE_BYTES]
@@ -143,14 +153,14 @@ def held_out(doc_id: str):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CompressionModel:
-    """Half of the sample trains the dictionaries, the other half the calibration."""
+    """DICTIONARY_PART of the sample trains the dictionaries, the rest the calibration."""
     got = training_rows(docs, labels, sample).toArrow().to_pylist()
     got.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     texts = [folded(r["text"]) for r in got]
     half = [{0: [], 1: []}, {0: [], 1: []}]
     for i, r in enumerate(got):
-        side = half[len(half[0][r["toxic"]]) > len(half[1][r["toxic"]])]
-        side[r["toxic"]].append(i)
+        n0, n1 = (len(side[r["toxic"]]) for side in half)
+        half[n0 >= DICTIONARY_PART * (n0 + n1 + 1)][r["toxic"]].append(i)
     ordinary, toxic = train_dictionaries([texts[i] for i in half[0][1]], [texts[i] for i in half[0][0]])
     at = half[1][0] + half[1][1]
     if not half[1][0] or not half[1][1]:  # one class only: its score for every text
