@@ -30,17 +30,22 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SHARD_ROWS, TILE_ROWS = 2048, 8192
 #: Oversized shards whose tile counts are broadcast; more are joined by a shuffle.
 BROADCAST_SHARDS = 50_000
+#: Linked documents whose ids are broadcast to fetch their texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Hits of a shard that are held before they are thinned to a forest.
+HELD_HITS = 1 << 20
 
 
 @dataclass(frozen=True)
 class Plan:
-    """How texts become fingerprints, and which fingerprints link: those that differ in at most max_bits bits."""
+    """How texts become fingerprints, and which link: those that differ in at most max_bits bits and, if least is set, whose shingle sets then have that Jaccard similarity."""
 
     shingle: int = 4
     words: int = 1
     blocks: int = 3
     radius: int = 1
     max_bits: int = 4
+    least: float | None = None
 
     def edges(self) -> list[tuple[int, int]]:
         """(first bit, width) of each block."""
@@ -50,8 +55,9 @@ class Plan:
 
 #: All pairs within 4 of 64 bits: 4 < 3 * (1 + 1), so none is lost.
 EXACT_64 = Plan()
-#: Five-word shingles and a similarity of 0.8: then about 15 % of the bits differ. A pair there is in some shard with probability 0.93, at 0.9 with 0.999.
-SIMILAR_08 = Plan(shingle=5, words=4, blocks=13, radius=1, max_bits=40)
+#: Five-word shingles and a similarity of 0.8: then about 38 of 256 bits differ, rarely over 58; what is found is verified. A pair
+#: at 0.8 is near in some block with probability 0.98, at 0.9 with 0.9999.
+SIMILAR_08 = Plan(shingle=5, words=4, blocks=15, radius=1, max_bits=58, least=0.8)
 
 
 def _remix(x: np.ndarray) -> np.ndarray:
@@ -72,23 +78,36 @@ def _ones(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate([np.bincount(b[:, k], minlength=256) @ _BIT_OF_BYTE for k in range(8)])
 
 
-def fingerprint(text: str | None, shingle: int = 4, words: int = 1, step: int = 1 << 20) -> list[int]:
-    """The fingerprint's 64-bit words, as signed numbers. The first is over XXH64 (seed 42); further words remix it."""
+def shingle_hashes(text: str | None, shingle: int, step: int = 1 << 20) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of the word shingles, some at a time."""
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not tokens:
-        return [0] * words
+        return
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     joined, digest = b" ".join(tokens), xxhash.xxh64_digest
     k = min(shingle, len(tokens))
     starts, ends = starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist()
-    ones = np.zeros((words, 64), np.int64)
     for i in range(0, len(starts), step):
-        h = np.frombuffer(b"".join([digest(joined[s:e], 42) for s, e in zip(starts[i : i + step], ends[i : i + step], strict=True)]), ">u8").astype(np.uint64)
+        yield np.frombuffer(b"".join([digest(joined[s:e], 42) for s, e in zip(starts[i : i + step], ends[i : i + step], strict=True)]), ">u8").astype(np.uint64)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    parts = list(shingle_hashes(text, shingle))
+    return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(0, np.int64)
+
+
+def fingerprint(text: str | None, shingle: int = 4, words: int = 1, step: int = 1 << 20) -> list[int]:
+    """The fingerprint's 64-bit words, as signed numbers. The first is over XXH64 (seed 42); further words remix it."""
+    n, ones = 0, np.zeros((words, 64), np.int64)
+    for h in shingle_hashes(text, shingle, step):
+        n += len(h)
         for w in range(words):
             ones[w] += _ones(h)
             h = _remix(h)
-    return np.packbits(2 * ones > len(starts), axis=1).view(">u8").astype(np.int64).ravel().tolist()
+    if not n:
+        return [0] * words
+    return np.packbits(2 * ones > n, axis=1).view(">u8").astype(np.int64).ravel().tolist()
 
 
 def with_fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -136,27 +155,68 @@ def depth_for(n: int, plan: Plan) -> int:
     return max(0, math.ceil(math.log(n / SHARD_ROWS) / -math.log(part))) if n > SHARD_ROWS else 0
 
 
-def shard_links(ids: np.ndarray, fps: np.ndarray, max_bits: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (id, smallest id of its component here) of the fingerprints that differ in at most max_bits bits."""
-    order = np.argsort(ids, kind="stable")
-    ids, fps = ids[order], fps[order]
-    label = np.arange(len(ids))
-    cols = [np.ascontiguousarray(fps[:, w]) for w in range(fps.shape[1])]
-    for i in range(0, len(ids), rows):
-        far = np.bitwise_count(cols[0][i : i + rows, None] ^ cols[0][None, i:])
-        a, b = np.nonzero(far <= max_bits)
+def _roots(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label (each node's smallest known partner) after the links a-b are added."""
+    while len(a):
+        x, y = label[a], label[b]
+        open_ = x != y
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, jumped := label[label]):
+            label = jumped
+    return label
+
+
+def _hits(fps: np.ndarray, max_bits: int, block: np.ndarray | None = None, radius: int = 0, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, bits) with a < b of all pairs that differ in at most max_bits bits, some rows at a time.
+
+    With block, the values of the shard's block, only of those within the radius there; the others meet in another shard or not at all.
+    """
+    first = np.ascontiguousarray(fps[:, 0]) if block is None else block
+    within = max_bits if block is None else radius
+    for i in range(0, len(fps), rows):
+        a, b = np.nonzero(np.bitwise_count(first[i : i + rows, None] ^ first[None, i:]) <= within)
         keep = a < b
         a, b = a[keep] + i, b[keep] + i
-        if len(cols) > 1:
-            total = sum(np.bitwise_count(c[a] ^ c[b]).astype(np.int32) for c in cols)
-            a, b = a[total <= max_bits], b[total <= max_bits]
-        while len(a):
-            x, y = label[a], label[b]
-            open_ = x != y
-            a, b, x, y = a[open_], b[open_], x[open_], y[open_]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-            while not np.array_equal(label, jumped := label[label]):
-                label = jumped
+        bits = np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64)
+        near = bits <= max_bits
+        yield a[near], b[near], bits[near]
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Indices of the links of a minimum spanning forest: each tree takes its nearest link out, until none leads on."""
+    label, kept, key = np.arange(n), np.zeros(0, np.int64), bits.astype(np.int64) * (len(a) + 1) + np.arange(len(a))
+    at = np.arange(len(a))
+    while True:
+        x, y = label[a[at]], label[b[at]]
+        at = at[x != y]
+        if not len(at):
+            return kept
+        best = np.full(n, np.iinfo(np.int64).max)
+        for side in (a, b):
+            np.minimum.at(best, label[side[at]], key[at])
+        new = np.unique(best[best != np.iinfo(np.int64).max] % (len(a) + 1))
+        kept = np.concatenate([kept, new])
+        label = _roots(label, a[new], b[new])
+
+
+def shard_forest(ids: np.ndarray, fps: np.ndarray, max_bits: int, block: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (id, id) of a minimum spanning forest of the pairs that differ in at most max_bits bits: of many ways to connect copies the closest."""
+    held = [np.zeros(0, np.int64)] * 3
+    for hits in _hits(fps, max_bits, block, radius):
+        held = [np.concatenate(x) for x in zip(held, hits, strict=True)]
+        if len(held[0]) > HELD_HITS:
+            held = [x[keep] for keep in [forest(len(ids), *held)] for x in held]
+    keep = forest(len(ids), *held)
+    return ids[held[0][keep]], ids[held[1][keep]]
+
+
+def shard_links(ids: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (id, smallest id of its component here) of the fingerprints that differ in at most max_bits bits."""
+    order = np.argsort(ids, kind="stable")
+    ids, label = ids[order], np.arange(len(ids))
+    for a, b, _ in _hits(fps[order], max_bits):
+        label = _roots(label, a, b)
     linked = label != np.arange(len(ids))
     return ids[linked], ids[label[linked]]
 
@@ -185,12 +245,36 @@ def link(nodes: DataFrame, plan: Plan) -> DataFrame:
 
     def compare(group: pa.Table) -> pa.Table:
         fps = np.array(group.column("fp").combine_chunks().flatten()).view(np.uint64).reshape(-1, plan.words)
-        a, b = shard_links(np.array(group.column("id")), fps, plan.max_bits)
+        ids = np.array(group.column("id"))
+        if plan.least is None:
+            a, b = shard_links(ids, fps, plan.max_bits)
+        else:
+            block = block_values(fps, plan)[group.column("shard")[0].as_py() % plan.blocks]
+            a, b = shard_forest(ids, fps, plan.max_bits, block, plan.radius)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return tiles.groupBy("shard", "tile").applyInArrow(compare, "a long, b long")
 
 
+def verified(links: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+    """The links (a, b: doc_ids) whose documents' shingle sets have a Jaccard similarity of at least plan.least; empty sets are alike."""
+    links = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
+    ids = stored(links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct(), "linked")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, plan.shingle) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "s"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    sets = stored(texts.mapInArrow(run, "doc_id long, s array<long>"), "shingles").dropDuplicates(["doc_id"])
+    both = links.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    alike = F.when(F.size("sa") + F.size("sb") > 0, common / (F.size("sa") + F.size("sb") - common)).otherwise(1.0)
+    return both.where(alike >= plan.least).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, plan: Plan = EXACT_64) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links, itself included.
 
@@ -200,7 +284,8 @@ def near_duplicates(docs: DataFrame, plan: Plan = EXACT_64) -> DataFrame:
     prints = stored(with_fingerprints(docs, plan), "fingerprints")
     groups = stored(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last")), "groups")
     # Two fingerprints may share their smallest doc_id, if rows repeat it; then they are one node with two fingerprints.
-    found = stored(components(link(groups.select("id", "fp"), plan)), "components")
+    links = link(groups.select("id", "fp"), plan)
+    found = stored(components(links if plan.least is None else verified(links, docs, plan)), "components")
     of = groups.join(found, groups["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"), "last").where("component_id != last").drop("last")
     return prints.join(of, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
