@@ -320,14 +320,14 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), row_hash(F.col("text")).alias("h"), "text")
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _id and _h, which together name a document."""
+    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_h": row_hash(F.col("text"))})
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(id, h, spans array<struct<s,e>>) of the documents that hold repeated strings; byte spans, not yet merged."""
+    """docs of keyed() -> (_id, _h, spans array<struct<s,e>>) of those that hold repeated strings; byte spans, not yet merged."""
     spark = docs.sparkSession
-    keyed = _keyed(docs)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,12 +335,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             t, at, lo, hi, key, head = text_anchors(texts)
             t = pa.array(t, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(t), batch.column("h").take(t), pa.array(at, pa.int64()), pa.array((at - hi).astype(np.int16)), pa.array((at - lo).astype(np.int16)), pa.array(key.view(np.int64)), pa.array((head >> np.uint64(1)).astype(np.int64))],
+                [batch.column("_id").take(t), batch.column("_h").take(t), pa.array(at, pa.int64()), pa.array((at - hi).astype(np.int16)), pa.array((at - lo).astype(np.int16)), pa.array(key.view(np.int64)), pa.array((head >> np.uint64(1)).astype(np.int64))],
                 names=["id", "h", "pos", "lo", "hi", "key", "head"],
             )
 
-    found = stored(keyed.mapInArrow(find, "id long, h long, pos long, lo short, hi short, key long, head long"), "anchors")
-    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    found = stored(docs.select("_id", "_h", "text").mapInArrow(find, "id long, h long, pos long, lo short, hi short, key long, head long"), "anchors")
+    # Written first, so that the join below is of two plain exchanges and a key with very many anchors can be split.
+    often = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "repeated-hashes")
     cuts = F.when(F.col("times") > RANGE_ROWS, F.ceil(F.col("times") / RANGE_ROWS)).otherwise(1).cast("int")
     kept = stored(found.join(often, "key").select("id", "h", "pos", "lo", "hi", "head", cuts.alias("cuts")), "candidates")
     n = kept.count()
@@ -349,7 +350,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     splitters = np.unique(np.array(marks or [], np.int64))  # one long for each range
 
     listed = kept.groupBy("id", "h").agg(F.collect_set(F.struct("pos", "lo", "hi", "cuts")).alias("at"))
-    contexts = keyed.join(listed.hint("shuffle_hash"), ["id", "h"]).select("id", "h", "text", "at")
+    # All columns go through, so that the exchange of docs is the same as that of the final join, and Spark makes it once.
+    contexts = docs.join(listed.hint("shuffle_hash"), (docs["_id"] == listed["id"]) & (docs["_h"] == listed["h"]))
 
     def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
@@ -363,7 +365,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         kinds = {"int": pa.int32(), "binary": pa.binary()}
         schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in RUN_SCHEMA.split(", ")])
         for batch in batches:
-            for doc, h, text, at in zip(*(batch.column(c) for c in ("id", "h", "text", "at")), strict=True):
+            for doc, h, text, at in zip(*(batch.column(c) for c in ("_id", "_h", "text", "at")), strict=True):
                 doc, h, data = doc.as_py(), h.as_py(), text.as_py().encode("utf-8", "surrogatepass")
                 for x in at.as_py():
                     p, lo, hi, cuts = x["pos"], x["lo"], x["hi"], x["cuts"]
@@ -387,7 +389,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield out()
 
     spans = contexts.mapInArrow(sort_runs, RUN_SCHEMA).groupBy("target", "part").applyInArrow(_merge_range, "id long, h long, s long, e long")
-    return spans.groupBy("id", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return spans.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
@@ -395,13 +397,13 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
 
     Every byte inside a LENGTH-byte string that starts at more than one place of the corpus is removed. A null text counts
     as empty; texts below LENGTH bytes stay whole; rows that repeat a doc_id are documents of their own (whole repeats
-    therefore remove each other). Columns of docs with the new names are replaced. No documents give no rows.
+    therefore remove each other). Columns of docs with the new names are replaced, and those
+    named like the keys (_id, _h, id, h, at, spans) are left out. No documents give no rows.
     """
     new = ["kept", "n_bytes", "n_removed", "n_spans"]
-    own = [c for c in docs.columns if c not in new]
-    keyed = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), row_hash(F.col("text")).alias("_h"))
-    spans = repeated_spans(docs).select(F.col("id").alias("_id"), F.col("h").alias("_h"), "spans")
-    joined = keyed.join(spans, ["_id", "_h"], "left").select(*own, "spans")
+    own = [c for c in docs.columns if c not in (*new, "_id", "_h", "id", "h", "at", "spans")]
+    named = keyed(docs.select(*own))
+    joined = named.join(repeated_spans(named), ["_id", "_h"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
