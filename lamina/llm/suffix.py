@@ -265,10 +265,10 @@ def repeated_starts(right_lcp: np.ndarray, lefts: list[bytes], lo: np.ndarray, h
 RUN_SCHEMA = "target int, part int, r_lcp binary, r_len binary, r_rest binary, l_lcp binary, l_len binary, l_rest binary, id binary, h binary, pos binary, lo binary, hi binary, s_id binary, s_h binary, s_from binary, s_to binary"
 
 
-def _emit(target: int, part: int, entries: list[tuple]) -> dict:
+def _emit(target: int, part: int, entries: list[tuple], settled: dict[tuple[int, int], list]) -> dict:
     """entries: (right, reversed left, id, h, pos, lo, hi). Of equal contexts all are settled, and one is sent on."""
     entries.sort(key=lambda x: x[:2])
-    sent, settled = [], []
+    sent = []
     i = 0
     while i < len(entries):
         j = i + 1
@@ -276,17 +276,29 @@ def _emit(target: int, part: int, entries: list[tuple]) -> dict:
             j += 1
         sent.append(entries[i])
         if j - i > 1:  # equal contexts are as long, and so have the same offsets
-            settled += [(e[2], e[3], e[4] - e[6], e[4] - e[5] + LENGTH) for e in entries[i:j]]
+            for e in entries[i:j]:
+                settled.setdefault((e[2], e[3]), []).append((e[4] - e[6], e[4] - e[5] + LENGTH))
         i = j
     r, left = front_code([e[0] for e in sent]), front_code([e[1] for e in sent])
-    pack = lambda rows, k, kind: np.array([e[k] for e in rows], kind).tobytes()
     return {
         "target": target, "part": part, "r_lcp": r[0], "r_len": r[1], "r_rest": r[2], "l_lcp": left[0], "l_len": left[1], "l_rest": left[2],
-        "id": pack(sent, 2, np.int64), "h": pack(sent, 3, np.int64), "pos": pack(sent, 4, np.int64), "lo": pack(sent, 5, np.int16), "hi": pack(sent, 6, np.int16),
-        "s_id": pack(settled, 0, np.int64), "s_h": pack(settled, 1, np.int64), "s_from": pack(settled, 2, np.int64), "s_to": pack(settled, 3, np.int64),
+        "id": _packed(sent, 2), "h": _packed(sent, 3), "pos": _packed(sent, 4), "lo": _packed(sent, 5, np.int16), "hi": _packed(sent, 6, np.int16),
+        "s_id": b"", "s_h": b"", "s_from": b"", "s_to": b"",
     }
 
 
+def _packed(rows: list[tuple], k: int, kind: type = np.int64) -> bytes:
+    return np.array([r[k] for r in rows], kind).tobytes()
+
+
+def _emit_settled(settled: dict[tuple[int, int], list], parts: int) -> list[dict]:
+    """A run's settled spans, put together for each document; they pass the merge untouched, in parts of their own."""
+    dealt: dict[int, list] = {}
+    for (doc, h), spans in settled.items():
+        dealt.setdefault(h % parts, []).extend((doc, h, s, e) for s, e in merge_spans(spans))
+    return [_emit(-1, part, [], {}) | {c: _packed(rows, k) for k, c in enumerate(("s_id", "s_h", "s_from", "s_to"))} for part, rows in dealt.items()]
+
+
 def _merge_range(group: pa.Table) -> pa.Table:
     """Spans (id, h, s, e) of one range: what runs settled, and what the merged runs show."""
     cols = {c: group.column(c).to_pylist() for c in group.column_names}
@@ -358,7 +370,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         size = 0
 
         def out() -> pa.RecordBatch:
-            rows = [_emit(target, part, entries) for (target, part), entries in held.items()]
+            settled: dict[tuple[int, int], list] = {}
+            rows = [_emit(target, part, entries, settled) for (target, part), entries in held.items()]
+            rows += _emit_settled(settled, ranges)
             held.clear()
             return pa.RecordBatch.from_pylist(rows, schema=schema)
 
