@@ -1,7 +1,7 @@
 """Removal of repeated byte strings by a sparse, distributed suffix sort.
 
-A 400-byte string that starts at p takes as its anchor the least hashed 16-byte gram among the next
-256 starts; equal strings have their anchors at the same offset. So only the suffixes at anchors are
+A 400-byte string (or of another length) that starts at p takes as its anchor the least hashed 16-byte
+gram among the next 256 starts; equal strings have their anchors at the same offset. So only the suffixes at anchors are
 sorted, about one in 128 bytes.
 
 1. A map finds anchors. The hash of the bytes that all strings of an anchor share is counted over all
@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import row_hash, shuffle_partitions, stored
 
-LENGTH, WINDOW, GRAM = 400, 256, 16
-#: All strings of an anchor hold at least these bytes from the anchor on.
-SHARED = LENGTH - WINDOW + 1
+#: Bytes of the repeated strings, if no other length is asked for.
+LENGTH = 400
+#: Offsets, and so windows, stay below this.
+MAX_WINDOW = 1024
 #: Text bytes handled by one vectorised step, and suffixes sorted into one run.
 PIECE, RUN = 1 << 21, 60_000
 #: Anchors of one range of the merge; one hash with more anchors is split by its left contexts.
@@ -40,6 +41,16 @@ LEFT_KEY = 8
 _POS = np.uint64((1 << 24) - 1)
 
 
+def window_of(length: int) -> int:
+    """How many starts in a row choose their anchor together: 16 / 25 of the length."""
+    return min(MAX_WINDOW, length * 16 // 25)
+
+
+def shared_of(length: int) -> int:
+    """All strings of an anchor hold at least these bytes from the anchor on."""
+    return length - window_of(length) + 1
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(29))
@@ -56,13 +67,14 @@ def _loads(data: bytes) -> np.ndarray:
     return out
 
 
-def anchors(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchors(data: bytes, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Anchors of the texts data[starts:ends], which follow one another.
 
     Returns text index, anchor position in data, first and last start of a string, hash of the shared
     bytes, and the first 8 bytes as a number in byte order.
     """
-    long_enough = ends - starts >= LENGTH
+    window, shared = window_of(length), shared_of(length)
+    long_enough = ends - starts >= length
     which, s, e = np.flatnonzero(long_enough), starts[long_enough], ends[long_enough]
     if not len(which):
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
@@ -70,29 +82,29 @@ def anchors(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarr
     n = len(data)
     gram = _mix(v[:n] * np.uint64(0x9E3779B97F4A7C15) + v[8 : n + 8] * np.uint64(0xC2B2AE3D27D4EB4F))
     packed = gram & ~_POS | np.arange(n, dtype=np.uint64)
-    rows = -(-n // WINDOW) + 1
-    padded = np.full(rows * WINDOW, np.uint64(0xFFFFFFFFFFFFFFFF))
+    rows = -(-n // window) + 1
+    padded = np.full(rows * window, np.uint64(0xFFFFFFFFFFFFFFFF))
     padded[:n] = packed
-    grid = padded.reshape(rows, WINDOW)
+    grid = padded.reshape(rows, window)
     before = np.minimum.accumulate(grid, axis=1).ravel()
     after = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    counts = e - s - LENGTH + 1
+    counts = e - s - length + 1
     first = np.cumsum(counts) - counts
     p = np.arange(counts.sum()) - np.repeat(first - s, counts)
-    a = (np.minimum(after[p], before[p + WINDOW - 1]) & _POS).astype(np.int64)
+    a = (np.minimum(after[p], before[p + window - 1]) & _POS).astype(np.int64)
     text = np.repeat(which, counts)
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (text[1:] != text[:-1])
     lead = np.flatnonzero(new)
     last = np.append(lead[1:], len(a)) - 1
     at = a[lead]
-    key = np.full(len(at), np.uint64(SHARED))
-    for o in [*range(0, SHARED - 8, 8), SHARED - 8]:
+    key = np.full(len(at), np.uint64(shared))
+    for o in [*range(0, shared - 8, 8), shared - 8]:
         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + v[at + o])
     return text[lead], at, p[lead], p[last], key, v[at].byteswap()
 
 
-def text_anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+def text_anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """anchors() of each text, with positions in the text; long texts go piece by piece, short ones together."""
     out: list[tuple[np.ndarray, ...]] = []
     batch: list[int] = []
@@ -103,20 +115,20 @@ def text_anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         if batch:
             ends = np.cumsum([len(texts[i]) for i in batch])
             starts = ends - [len(texts[i]) for i in batch]
-            t, at, lo, hi, key, head = anchors(b"".join(texts[i] for i in batch), starts, ends)
+            t, at, lo, hi, key, head = anchors(b"".join(texts[i] for i in batch), starts, ends, length)
             shift = starts[t] if len(t) else t
             out.append((np.array(batch)[t], at - shift, lo - shift, hi - shift, key, head))
         batch.clear()
         held = 0
 
     for i, text in enumerate(texts):
-        if len(text) < LENGTH:
+        if len(text) < length:
             continue
         if len(text) > PIECE:
             parts = []
-            for s in range(0, len(text) - LENGTH + 1, PIECE):
-                piece = text[s : s + PIECE + LENGTH - 1]
-                t, at, lo, hi, key, head = anchors(piece, np.array([0]), np.array([len(piece)]))
+            for s in range(0, len(text) - length + 1, PIECE):
+                piece = text[s : s + PIECE + length - 1]
+                t, at, lo, hi, key, head = anchors(piece, np.array([0]), np.array([len(piece)]), length)
                 parts.append([np.full(len(t), i), at + s, lo + s, hi + s, key, head])
                 if len(parts) > 1 and parts[-2][1][-1] == parts[-1][1][0]:  # one anchor on both sides of the cut
                     parts[-1][2][0] = parts[-2][2][-1]
@@ -129,7 +141,7 @@ def text_anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         held += len(text)
     flush()
     if not out:
-        return anchors(b"", np.zeros(0, int), np.zeros(0, int))
+        return anchors(b"", np.zeros(0, int), np.zeros(0, int), length)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -224,33 +236,33 @@ def _levels(lcp: np.ndarray, level: int) -> np.ndarray:
     return np.cumsum(lcp < level)
 
 
-def repeated_starts(right_lcp: np.ndarray, lefts: list[bytes], lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_starts(right_lcp: np.ndarray, lefts: list[bytes], lo: np.ndarray, hi: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For anchors sorted by right context: (anchor, first offset, last offset) runs whose strings occur more than once here.
 
     The string that starts d bytes left of an anchor equals another's, if both have d in their offsets
-    lo..hi, the same d bytes on the left and the same LENGTH - d on the right.
+    lo..hi, the same d bytes on the left and the same length - d on the right.
     """
-    n = len(lefts)
+    n, window = len(lefts), window_of(length)
     if not n:
         return (np.zeros(0, np.int64),) * 3
     order = sorted(range(n), key=lefts.__getitem__)
     size = np.array([len(x) for x in lefts])
-    grid = np.frombuffer(b"".join(lefts[i].ljust(WINDOW, b"\0") for i in order), np.uint8).reshape(n, WINDOW)
+    grid = np.frombuffer(b"".join(lefts[i].ljust(window, b"\0") for i in order), np.uint8).reshape(n, window)
     left_lcp = np.zeros(n, int)
     for i in range(1, n, 4096):
         j = min(i + 4096, n)
         differs = grid[i - 1 : j - 1] != grid[i:j]
-        left_lcp[i:j] = np.where(differs.any(1), differs.argmax(1), WINDOW)
+        left_lcp[i:j] = np.where(differs.any(1), differs.argmax(1), window)
     order = np.array(order)
     left_lcp[1:] = np.minimum(left_lcp[1:], np.minimum(size[order[1:]], size[order[:-1]]))
-    twice = np.zeros((n, WINDOW + 1), bool)
+    twice = np.zeros((n, window + 1), bool)
     left_class = np.empty(n, np.int64)
     for d in range(int(lo.min()), int(hi.max()) + 1):
         active = np.flatnonzero((lo <= d) & (d <= hi))
         if len(active) < 2:
             continue
         left_class[order] = _levels(left_lcp, d)
-        both = _levels(right_lcp, LENGTH - d)[active] * (n + 1) + left_class[active]
+        both = _levels(right_lcp, length - d)[active] * (n + 1) + left_class[active]
         by = np.argsort(both, kind="stable")
         same = both[by[1:]] == both[by[:-1]]
         twice[active[by[1:][same]], d] = True
@@ -265,7 +277,7 @@ def repeated_starts(right_lcp: np.ndarray, lefts: list[bytes], lo: np.ndarray, h
 RUN_SCHEMA = "target int, part int, r_lcp binary, r_len binary, r_rest binary, l_lcp binary, l_len binary, l_rest binary, id binary, h binary, pos binary, lo binary, hi binary, s_id binary, s_h binary, s_from binary, s_to binary"
 
 
-def _emit(target: int, part: int, entries: list[tuple], settled: dict[tuple[int, int], list]) -> dict:
+def _emit(target: int, part: int, entries: list[tuple], settled: dict[tuple[int, int], list], length: int) -> dict:
     """entries: (right, reversed left, id, h, pos, lo, hi). Of equal contexts all are settled, and one is sent on."""
     entries.sort(key=lambda x: x[:2])
     sent = []
@@ -277,7 +289,7 @@ def _emit(target: int, part: int, entries: list[tuple], settled: dict[tuple[int,
         sent.append(entries[i])
         if j - i > 1:  # equal contexts are as long, and so have the same offsets
             for e in entries[i:j]:
-                settled.setdefault((e[2], e[3]), []).append((e[4] - e[6], e[4] - e[5] + LENGTH))
+                settled.setdefault((e[2], e[3]), []).append((e[4] - e[6], e[4] - e[5] + length))
         i = j
     r, left = front_code([e[0] for e in sent]), front_code([e[1] for e in sent])
     return {
@@ -296,10 +308,10 @@ def _emit_settled(settled: dict[tuple[int, int], list], parts: int) -> list[dict
     dealt: dict[int, list] = {}
     for (doc, h), spans in settled.items():
         dealt.setdefault(h % parts, []).extend((doc, h, s, e) for s, e in merge_spans(spans))
-    return [_emit(-1, part, [], {}) | {c: _packed(rows, k) for k, c in enumerate(("s_id", "s_h", "s_from", "s_to"))} for part, rows in dealt.items()]
+    return [_emit(-1, part, [], {}, 0) | {c: _packed(rows, k) for k, c in enumerate(("s_id", "s_h", "s_from", "s_to"))} for part, rows in dealt.items()]
 
 
-def _merge_range(group: pa.Table) -> pa.Table:
+def _merge_range(group: pa.Table, length: int) -> pa.Table:
     """Spans (id, h, s, e) of one range: what runs settled, and what the merged runs show."""
     cols = {c: group.column(c).to_pylist() for c in group.column_names}
     join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in cols[c]])
@@ -310,15 +322,15 @@ def _merge_range(group: pa.Table) -> pa.Table:
     merged = np.array([(base[r] + i, n) for r, i, n in merge_runs(runs)], np.int64).reshape(-1, 2)
     at, lcp = merged[:, 0], merged[:, 1]
     near = np.zeros(len(at), bool)  # has a neighbour that shares enough
-    near[1:] |= lcp[1:] >= SHARED
-    near[:-1] |= lcp[1:] >= SHARED
-    lcp = np.where(lcp >= SHARED, lcp, 0)[near]
+    near[1:] |= lcp[1:] >= shared_of(length)
+    near[:-1] |= lcp[1:] >= shared_of(length)
+    lcp = np.where(lcp >= shared_of(length), lcp, 0)[near]
     at = at[near]
     lo, hi = join("lo", np.int16)[at].astype(int), join("hi", np.int16)[at].astype(int)
-    which, first, last = repeated_starts(lcp, [lefts[i] for i in at], lo, hi)
+    which, first, last = repeated_starts(lcp, [lefts[i] for i in at], lo, hi, length)
     own = at[which]
     pos = join("pos", np.int64)[own]
-    spans.append([join("id", np.int64)[own], join("h", np.int64)[own], pos - last, pos - first + LENGTH])
+    spans.append([join("id", np.int64)[own], join("h", np.int64)[own], pos - last, pos - first + length])
     return pa.table({c: np.concatenate([x[i] for x in spans]) for i, c in enumerate(("id", "h", "s", "e"))})
 
 
@@ -337,14 +349,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_h": row_hash(F.col("text"))})
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs of keyed() -> (_id, _h, spans array<struct<s,e>>) of those that hold repeated strings; byte spans, not yet merged."""
     spark = docs.sparkSession
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-            t, at, lo, hi, key, head = text_anchors(texts)
+            t, at, lo, hi, key, head = text_anchors(texts, length)
             t = pa.array(t, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id").take(t), batch.column("_h").take(t), pa.array(at, pa.int64()), pa.array((at - hi).astype(np.int16)), pa.array((at - lo).astype(np.int16)), pa.array(key.view(np.int64)), pa.array((head >> np.uint64(1)).astype(np.int64))],
@@ -371,7 +383,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             settled: dict[tuple[int, int], list] = {}
-            rows = [_emit(target, part, entries, settled) for (target, part), entries in held.items()]
+            rows = [_emit(target, part, entries, settled, length) for (target, part), entries in held.items()]
             rows += _emit_settled(settled, ranges)
             held.clear()
             return pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -383,7 +395,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 doc, h, data = doc.as_py(), h.as_py(), text.as_py().encode("utf-8", "surrogatepass")
                 for x in at.as_py():
                     p, lo, hi, cuts = x["pos"], x["lo"], x["hi"], x["cuts"]
-                    right, left = data[p : p + LENGTH - lo], data[p - hi : p][::-1]
+                    right, left = data[p : p + length - lo], data[p - hi : p][::-1]
                     head = int.from_bytes(right[:8]) >> 1
                     target = int(np.searchsorted(splitters, head, side="right"))
                     if cuts == 1:
@@ -394,7 +406,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                             held.setdefault((target, 0), []).append((right, left[:short], doc, h, p, lo, short))
                         if hi >= LEFT_KEY:
                             part = 1 + int.from_bytes(hashlib.blake2b(left[:LEFT_KEY], digest_size=7).digest()) % cuts
-                            held.setdefault((target, part), []).append((right[: LENGTH - max(lo, LEFT_KEY)], left, doc, h, p, max(lo, LEFT_KEY), hi))
+                            held.setdefault((target, part), []).append((right[: length - max(lo, LEFT_KEY)], left, doc, h, p, max(lo, LEFT_KEY), hi))
                     size += 1
                     if size >= RUN:
                         yield out()
@@ -402,22 +414,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    spans = contexts.mapInArrow(sort_runs, RUN_SCHEMA).groupBy("target", "part").applyInArrow(_merge_range, "id long, h long, s long, e long")
+    spans = contexts.mapInArrow(sort_runs, RUN_SCHEMA).groupBy("target", "part").applyInArrow(lambda group: _merge_range(group, length), "id long, h long, s long, e long")
     return spans.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
     """docs plus kept (the bytes left; as_text: a string of them, without characters that were cut through), n_bytes, n_removed and n_spans.
 
-    Every byte inside a LENGTH-byte string that starts at more than one place of the corpus is removed. A null text counts
-    as empty; texts below LENGTH bytes stay whole; rows that repeat a doc_id are documents of their own (whole repeats
+    Every byte inside a length-byte string that starts at more than one place of the corpus is removed. A null text counts
+    as empty; texts below length bytes stay whole; rows that repeat a doc_id are documents of their own (whole repeats
     therefore remove each other). Columns of docs with the new names are replaced, and those
     named like the keys (_id, _h, id, h, at, spans) are left out. No documents give no rows.
     """
     new = ["kept", "n_bytes", "n_removed", "n_spans"]
     own = [c for c in docs.columns if c not in (*new, "_id", "_h", "id", "h", "at", "spans")]
     named = keyed(docs.select(*own))
-    joined = named.join(repeated_spans(named), ["_id", "_h"], "left")
+    joined = named.join(repeated_spans(named, length), ["_id", "_h"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -169,35 +169,35 @@ def test_mixing_edge_cases(spark):
 # 6 suffixes
 
 
-def brute_cut(rows):
+def brute_cut(rows, n=400):
     data = [(t or "").encode() for _, t in rows]
-    seen = collections.Counter(b[i : i + 400] for b in data for i in range(len(b) - 399))
+    seen = collections.Counter(b[i : i + n] for b in data for i in range(len(b) - n + 1))
     out = []
     for (i, _), b in zip(rows, data):
         gone = bytearray(len(b))
-        for p in range(len(b) - 399):
-            if seen[b[p : p + 400]] > 1:
-                gone[p : p + 400] = b"\1" * 400
+        for p in range(len(b) - n + 1):
+            if seen[b[p : p + n]] > 1:
+                gone[p : p + n] = b"\1" * n
         kept = bytes(x for x, g in zip(b, gone) if not g)
         spans = sum(1 for p in range(len(b)) if gone[p] and not (p and gone[p - 1]))
         out.append((str(i), len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return sorted(out)
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_suffix_dedup_against_brute_force(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "n"), [(False, 400), (True, 400), (True, 256)])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, small, n):
     if small:  # pieces, runs and ranges so small that all the ways of splitting are taken
         monkeypatch.setattr(suffix, "PIECE", 1000)
         monkeypatch.setattr(suffix, "RUN", 50)
         monkeypatch.setattr(suffix, "RANGE_ROWS", 5)
     rng = random.Random(4)
     some = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
-    parts = [some(n) for n in (395, 399, 400, 401, 655, 900)]
+    parts = [some(n) for n in (250, 257, 395, 399, 400, 401, 655, 900)]
     rows = [(i, some(rng.randrange(600)) + rng.choice(parts) + some(rng.randrange(500)) + rng.choice(parts)[rng.randrange(60) :]) for i in range(50)]
     rows += [(500, None), (501, ""), (502, "a" * 1500), (503, "ab" * 500), (504, rows[3][1]), (3, rows[3][1]), (None, rows[5][1]), (505, "é" * 300)]
     d = docs(spark, rows).repartition(3).withColumn("spans", F.lit(1)).withColumn("kept", F.lit("x"))
-    got = suffix.remove_repeats(d).select(F.col("doc_id").cast("string"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
-    assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == brute_cut(rows)
+    got = suffix.remove_repeats(d, n).select(F.col("doc_id").cast("string"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == brute_cut(rows, n)
 
 
 def test_suffix_dedup_of_nothing(spark):
