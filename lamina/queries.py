@@ -380,7 +380,9 @@ def _run(s: SparkSession, d: str, made: tuple[L.Plan, L.Step], width: int = WIDT
     edges = _bi(s, d)
     if loops:
         edges = graph.add_self_loops(edges, nodes)
-    return _long(plan.run(L.Graph(edges, nodes.select("id")), {start: nodes}, keep=None if plan.layers < 3 else L.durable)[0])
+    if plan.layers > 1:  # read by every layer
+        edges, nodes = L.durable(edges), L.durable(nodes)
+    return _long(plan.run(L.Graph(edges, nodes.select("id")), {start: nodes}, keep=L.durable if plan.layers > 1 else None)[0])
 
 
 def _loops(q: Sql) -> str:
@@ -554,8 +556,8 @@ def _targets_sql(q: Sql) -> str:
 def sage_targets(s, d):
     """The two-layer model for stated target nodes only: each layer runs over the nodes that the later ones need."""
     plan, start = models.sage([16, 16, 8])
-    nodes = tables.nodes(s, d, WIDTH).select("id", "x")
-    g = L.Graph(_bi(s, d), nodes.select("id"))
+    nodes = L.durable(tables.nodes(s, d, WIDTH).select("id", "x"))
+    g = L.Graph(L.durable(_bi(s, d)), nodes.select("id"))
     return _long(plan.run(g, {start: nodes}, targets=nodes.select("id").where("id % 50 = 3"))[0])
 
 
