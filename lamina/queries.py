@@ -545,13 +545,6 @@ def hgt_layer(s, d):
     return _long(models.hgt_layer(tables.typed_edges(s, d), tables.typed_nodes(s, d), _RELATIONS, 8, 2), "ntype", "id")
 
 
-def _targets_sql(q: Sql) -> str:
-    e = _loops(q)
-    a = q.relu(q.linear(q.conv("x", e), 0, 16, bias=0))
-    r = q.relu(q.linear(q.conv(a, e), 1, 8, bias=1))
-    return q.text(f"SELECT id, i::INTEGER AS i, round(v + {SHIFT}, 6) + 0.0 AS v FROM {r} WHERE id % 50 = 3")
-
-
 @query(_sql(lambda q: (a := q.relu(q.plus(q.linear("x", 0, 16, bias=0), q.reduce(q.linear("x", 1, 16), "avg", "bi"))), b := q.plus(q.linear(a, 2, 8, bias=1), q.reduce(q.linear(a, 3, 8), "avg", "bi")), q.text(f"SELECT id, i::INTEGER AS i, round(v + {SHIFT}, 6) + 0.0 AS v FROM {b} WHERE id % 50 = 3"))[-1]))
 def sage_targets(s, d):
     """The two-layer model for stated target nodes only: each layer runs over the nodes that the later ones need."""
