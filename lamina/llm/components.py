@@ -12,7 +12,8 @@ def components(links: DataFrame) -> DataFrame:
     """links(a long, b long) -> (node, component): component is the smallest node reachable.
 
     Only nodes with a link to another node are returned. Each step is a min-aggregate (combined
-    before the shuffle) and an equi-join that AQE may split where a node has very many links.
+    before the shuffle), written, and an equi-join of two plain exchanges, which AQE can split where a
+    node has very many links.
     """
     edges = stored(
         links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
@@ -20,10 +21,10 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
         # small star: every node's smaller neighbours, and the node itself, point to the smallest
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = stored(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
         edges = stored(small, "stars")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
