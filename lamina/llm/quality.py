@@ -108,10 +108,13 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", sample: int
             feats = [text_features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_grade"), pa.array([f[0] for f in feats], pa.list_(pa.int32())), pa.array([f[1] for f in feats], pa.list_(pa.float32()))], names=["doc_id", "_grade", "at", "val"])
 
-    got = texts.mapInArrow(featurize, "doc_id long, _grade double, at array<int>, val array<float>").toArrow().to_pydict()
-    order = sorted(range(len(got["_grade"])), key=lambda i: (got["doc_id"][i], len(got["at"][i])))
-    rows = [(np.array(got["at"][i], np.int32), np.array(got["val"][i], np.float32)) for i in order]
-    return fit_ordinal(rows, np.array([got["_grade"][i] for i in order]))
+    got = texts.mapInArrow(featurize, "doc_id long, _grade double, at array<int>, val array<float>").toArrow().combine_chunks()
+    if not got.num_rows:
+        return fit_ordinal([], np.zeros(0))
+    ids, y, (at, val) = np.asarray(got["doc_id"]), np.asarray(got["_grade"]), (got[c].chunk(0) for c in ("at", "val"))
+    ends, at, val = np.asarray(at.offsets), np.asarray(at.values), np.asarray(val.values)  # views of the Arrow buffers
+    order = np.lexsort((np.diff(ends), ids))
+    return fit_ordinal([(at[ends[i] : ends[i + 1]], val[ends[i] : ends[i + 1]]) for i in order], y[order])
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
