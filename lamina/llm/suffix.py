@@ -33,7 +33,7 @@ LENGTH = 400
 #: Offsets, and so windows, stay below this.
 MAX_WINDOW = 1024
 #: Text bytes handled by one vectorised step, and suffixes sorted into one run.
-PIECE, RUN = 1 << 21, 60_000
+PIECE, RUN = 1 << 19, 60_000
 #: Anchors of one range of the merge; one hash with more anchors is split by its left contexts.
 RANGE_ROWS = 40_000
 #: Left bytes that tell the parts of a split hash apart.
