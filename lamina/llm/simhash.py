@@ -110,15 +110,43 @@ def fingerprint(text: str | None, shingle: int = 4, words: int = 1, step: int =
     return np.packbits(2 * ones > n, axis=1).view(">u8").astype(np.int64).ravel().tolist()
 
 
+def set_fingerprint(shingles: np.ndarray, words: int) -> list[int]:
+    """As fingerprint(), but over distinct shingles: how often each occurs doesn't count."""
+    if not len(shingles):
+        return [0] * words
+    ones, h = np.zeros((words, 64), np.int64), shingles.view(np.uint64)
+    for w in range(words):
+        ones[w] = _ones(h)
+        h = _remix(h)
+    return np.packbits(2 * ones > len(shingles), axis=1).view(">u8").astype(np.int64).ravel().tolist()
+
+
+def set_key(shingles: np.ndarray) -> bytes:
+    """128 bits that tell shingle sets apart."""
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
 def with_fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(doc_id, fp): fp is an array of plan.words longs."""
+    """(doc_id, fp): fp is an array of plan.words longs. If plan.least is set, fp is over the shingle set, and its key and size n follow."""
+
+    def run_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, keys, sizes = [], [], []
+            for text in batch.column("text").to_pylist():
+                s = shingle_set(text, plan.shingle)
+                fps.append(set_fingerprint(s, plan.words))
+                keys.append(set_key(s))
+                sizes.append(len(s))
+            columns = [batch.column("doc_id"), pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t, plan.shingle, plan.words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.mapInArrow(run, "doc_id long, fp array<long>") if plan.least is None else texts.mapInArrow(run_sets, "doc_id long, fp array<long>, key binary, n long")
 
 
 def block_values(fps: np.ndarray, plan: Plan) -> list[np.ndarray]:
@@ -282,12 +310,14 @@ def near_duplicates(docs: DataFrame, plan: Plan = EXACT_64) -> DataFrame:
     have no component. Rows that repeat a doc_id stay; they count as one document. Other columns of docs are not read.
     """
     prints = stored(with_fingerprints(docs, plan), "fingerprints")
-    groups = stored(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last")), "groups")
-    # Two fingerprints may share their smallest doc_id, if rows repeat it; then they are one node with two fingerprints.
+    # Equal fingerprints are near, but equal sets only have equal keys.
+    key, more = ("fp", []) if plan.least is None else ("key", [F.first("fp").alias("fp"), F.first("n").alias("n")])
+    groups = stored(prints.where("doc_id IS NOT NULL").groupBy(key).agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last"), *more), "groups")
+    # Two keys may share their smallest doc_id, if rows repeat it; then they are one node with two fingerprints.
     links = link(groups.select("id", "fp"), plan)
     found = stored(components(links if plan.least is None else verified(links, docs, plan)), "components")
-    of = groups.join(found, groups["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"), "last").where("component_id != last").drop("last")
-    return prints.join(of, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of = groups.join(found, groups["id"] == found["node"], "left").select(key, F.coalesce("component", "id").alias("component_id"), "last").where("component_id != last").drop("last")
+    return prints.join(of, key, "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, plan: Plan = SIMILAR_08) -> DataFrame:

@@ -83,6 +83,22 @@ def test_forest_finds_every_pair(spark, monkeypatch):
     assert got == want
 
 
+def word_sets(text, k=5):
+    words = text.split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+def test_equal_prints_are_not_equal_sets(spark):
+    rng = random.Random(5)
+    line = "the same nine words stand on every line here "
+    rows = [(i, line * 60 + word_text(rng, 60, 10**6)) for i in range(8)]  # prints over repeats are all the line's
+    own = word_text(rng, 300, 10**6)
+    rows += [(20, f"{line * 2}{own}"), (21, f"{line * 60}{own}")]  # equal sets, other counts
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs(spark, rows)).collect()}
+    assert word_sets(rows[8][1]) == word_sets(rows[9][1])
+    assert kept == {*range(8), 20}
+
+
 def test_near_dedup_keeps_one_of_each_group(spark):
     rng = random.Random(2)
     words = [f"w{rng.randrange(5000)}" for _ in range(400)]
