@@ -7,7 +7,9 @@ within the threshold of the vantage point, else to the outer one; one that lies
 the radius also visits the inner shard, as by the triangle inequality its partners may be there. All
 other branches are pruned. Vantage points are hashed from the node's number, so routing needs no
 driver, sample or broadcast, and depth follows the number of fingerprints. Within a shard distances
-are exact. Shards send back spanning links, never all pairs.
+are exact. Shards send back spanning links, never all pairs. Where shingle sets are to be compared, the
+components of these links are only candidates: within each, every pair of sets is compared exactly, in
+tiles, and components are built anew from the links that hold.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ SHARD_ROWS, TILE_ROWS = 2048, 8192
 BROADCAST_SHARDS = 50_000
 #: Linked documents whose ids are broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Hits of a shard that are held before they are thinned to a forest.
-HELD_HITS = 1 << 20
+#: Documents and shingles of a side of the tiles in which candidates are compared.
+VERIFY_ROWS, VERIFY_SHINGLES = 1024, 1 << 20
+#: Shingles of up to so many documents of a tile are counted pair by pair, others by matrix products.
+RARE = 32
 
 
 @dataclass(frozen=True)
@@ -195,8 +199,8 @@ def _roots(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _hits(fps: np.ndarray, max_bits: int, block: np.ndarray | None = None, radius: int = 0, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, bits) with a < b of all pairs that differ in at most max_bits bits, some rows at a time.
+def _hits(fps: np.ndarray, max_bits: int, block: np.ndarray | None = None, radius: int = 0, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) with a < b of all pairs that differ in at most max_bits bits, some rows at a time.
 
     With block, the values of the shard's block, only of those within the radius there; the others meet in another shard or not at all.
     """
@@ -206,44 +210,15 @@ def _hits(fps: np.ndarray, max_bits: int, block: np.ndarray | None = None, radiu
         a, b = np.nonzero(np.bitwise_count(first[i : i + rows, None] ^ first[None, i:]) <= within)
         keep = a < b
         a, b = a[keep] + i, b[keep] + i
-        bits = np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64)
-        near = bits <= max_bits
-        yield a[near], b[near], bits[near]
-
-
-def forest(n: int, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Indices of the links of a minimum spanning forest: each tree takes its nearest link out, until none leads on."""
-    label, kept, key = np.arange(n), np.zeros(0, np.int64), bits.astype(np.int64) * (len(a) + 1) + np.arange(len(a))
-    at = np.arange(len(a))
-    while True:
-        x, y = label[a[at]], label[b[at]]
-        at = at[x != y]
-        if not len(at):
-            return kept
-        best = np.full(n, np.iinfo(np.int64).max)
-        for side in (a, b):
-            np.minimum.at(best, label[side[at]], key[at])
-        new = np.unique(best[best != np.iinfo(np.int64).max] % (len(a) + 1))
-        kept = np.concatenate([kept, new])
-        label = _roots(label, a[new], b[new])
-
-
-def shard_forest(ids: np.ndarray, fps: np.ndarray, max_bits: int, block: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (id, id) of a minimum spanning forest of the pairs that differ in at most max_bits bits: of many ways to connect copies the closest."""
-    held = [np.zeros(0, np.int64)] * 3
-    for hits in _hits(fps, max_bits, block, radius):
-        held = [np.concatenate(x) for x in zip(held, hits, strict=True)]
-        if len(held[0]) > HELD_HITS:
-            held = [x[keep] for keep in [forest(len(ids), *held)] for x in held]
-    keep = forest(len(ids), *held)
-    return ids[held[0][keep]], ids[held[1][keep]]
-
-
-def shard_links(ids: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (id, smallest id of its component here) of the fingerprints that differ in at most max_bits bits."""
+        near = np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64) <= max_bits
+        yield a[near], b[near]
+
+
+def shard_links(ids: np.ndarray, fps: np.ndarray, max_bits: int, block: np.ndarray | None = None, radius: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (id, smallest id of its component here) of the fingerprints that differ in at most max_bits bits; block and radius as in _hits."""
     order = np.argsort(ids, kind="stable")
     ids, label = ids[order], np.arange(len(ids))
-    for a, b, _ in _hits(fps[order], max_bits):
+    for a, b in _hits(fps[order], max_bits, None if block is None else block[order], radius):
         label = _roots(label, a, b)
     linked = label != np.arange(len(ids))
     return ids[linked], ids[label[linked]]
@@ -278,29 +253,87 @@ def link(nodes: DataFrame, plan: Plan) -> DataFrame:
             a, b = shard_links(ids, fps, plan.max_bits)
         else:
             block = block_values(fps, plan)[group.column("shard")[0].as_py() % plan.blocks]
-            a, b = shard_forest(ids, fps, plan.max_bits, block, plan.radius)
+            a, b = shard_links(ids, fps, plan.max_bits, block, plan.radius)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return tiles.groupBy("shard", "tile").applyInArrow(compare, "a long, b long")
 
 
-def verified(links: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
-    """The links (a, b: doc_ids) whose documents' shingle sets have a Jaccard similarity of at least plan.least; empty sets are alike."""
-    links = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
-    ids = stored(links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct(), "linked")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def alike(rows: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, split: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of documents with a Jaccard similarity of at least least: of all if split is 0, else a below split and b from it on.
+
+    shingles[k] is in the set of document rows[k], once; sizes has the sets' sizes. Exact: every pair's common shingles are counted.
+    """
+    n = len(sizes)
+    n_a, first_b = (split, split) if split else (n, 0)
+    n_b = n - first_b
+    _, value, held_by = np.unique(shingles, return_inverse=True, return_counts=True)
+    common = np.zeros((n_a, n_b), np.float32)
+    often = held_by > RARE
+    column, at = np.cumsum(often) - 1, np.flatnonzero(often[value])
+    at = at[np.argsort(value[at], kind="stable")]
+    r, c = rows[at], column[value[at]]
+    for start in range(0, int(often.sum()), 1024):
+        some = slice(*np.searchsorted(c, [start, start + 1024]))
+        held = np.zeros((n, 1024), np.float32)
+        held[r[some], c[some] - start] = 1
+        common += held[:n_a] @ held[first_b:].T
+    at = np.flatnonzero((held_by[value] > 1) & ~often[value])
+    at = at[np.lexsort((rows[at], value[at]))]
+    r, v = rows[at], value[at]
+    for step in range(1, RARE):
+        same = np.flatnonzero(v[:-step] == v[step:])
+        if not len(same):
+            break
+        a, b = r[same], r[same + step]
+        if split:
+            across = (a < split) & (b >= split)
+            a, b = a[across], b[across]
+        common += np.bincount(a * n_b + b - first_b, minlength=n_a * n_b).reshape(n_a, n_b)
+    union = sizes[:n_a, None] + sizes[None, first_b:] - common.astype(np.float64)
+    a, b = np.nonzero(np.divide(common, union, out=np.ones_like(union), where=union > 0) >= least)
+    b = b + first_b
+    return a[a < b], b[a < b]
+
+
+def verified(links: DataFrame, groups: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+    """Links (a, b: doc_ids) whose components are those of all pairs of documents in a component of links whose shingle sets have a Jaccard similarity of at least plan.least.
+
+    groups(id, n) has the size of each document's set.
+    """
+    of = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    members = stored(groups.select(F.col("id").alias("doc_id"), "n").join(of, "doc_id"), "members")
+    cuts = F.ceil(F.greatest(F.count(F.lit(1)) / VERIFY_ROWS, F.sum("n") / VERIFY_SHINGLES)).cast("int").alias("cuts")
+    large = stored(members.groupBy("cluster").agg(cuts).where("cuts > 1"), "large")
+    if large.count() <= BROADCAST_SHARDS:
+        large = F.broadcast(large)
+    members = stored(members.select("doc_id", "cluster").distinct().join(large, "cluster", "left").select("doc_id", "cluster", F.coalesce("cuts", F.lit(1)).alias("cuts")), "linked")
+    members = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, plan.shingle) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "s"])
+            columns = [batch.column(c) for c in ("doc_id", "cluster", "cuts")] + [pa.array([set_key(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "cluster", "cuts", "key", "s"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id").select("doc_id", "cluster", "cuts", "text")
+    sets = stored(texts.mapInArrow(run, "doc_id long, cluster long, cuts int, key binary, s array<long>"), "shingles").dropDuplicates(["doc_id", "key"])
+    own = F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int")
+    tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.struct(F.least(own, o).alias("x"), F.greatest(own, o).alias("y")))).alias("tile")
+    tiles = sets.select("cluster", tile, own.alias("own"), "doc_id", "s").select("cluster", "tile.x", "tile.y", "own", "doc_id", "s")
+
+    def compare(group: pa.Table) -> pa.Table:
+        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        group = group.sort_by([("own", "ascending"), ("doc_id", "ascending")])
+        ids, s = np.array(group.column("doc_id")), group.column("s").combine_chunks()
+        sizes, label = np.diff(np.array(s.offsets)), np.arange(len(ids))
+        split = int((np.array(group.column("own")) == x).sum()) if x != y else 0
+        if len(ids) > 1 and (x == y or 0 < split < len(ids)):
+            label = _roots(label, *alike(np.repeat(label, sizes), np.array(s.flatten()), sizes, split, plan.least))
+        linked = label != np.arange(len(ids))
+        return pa.table({"a": pa.array(ids[linked], pa.int64()), "b": pa.array(ids[label[linked]], pa.int64())})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(run, "doc_id long, s array<long>"), "shingles").dropDuplicates(["doc_id"])
-    both = links.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = F.when(F.size("sa") + F.size("sb") > 0, common / (F.size("sa") + F.size("sb") - common)).otherwise(1.0)
-    return both.where(alike >= plan.least).select("a", "b")
+    return tiles.groupBy("cluster", "x", "y").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = EXACT_64) -> DataFrame:
@@ -315,7 +348,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = EXACT_64) -> DataFrame:
     groups = stored(prints.where("doc_id IS NOT NULL").groupBy(key).agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last"), *more), "groups")
     # Two keys may share their smallest doc_id, if rows repeat it; then they are one node with two fingerprints.
     links = link(groups.select("id", "fp"), plan)
-    found = stored(components(links if plan.least is None else verified(links, docs, plan)), "components")
+    found = stored(components(links if plan.least is None else verified(links, groups, docs, plan)), "components")
     of = groups.join(found, groups["id"] == found["node"], "left").select(key, F.coalesce("component", "id").alias("component_id"), "last").where("component_id != last").drop("last")
     return prints.join(of, key, "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -99,6 +99,29 @@ def test_equal_prints_are_not_equal_sets(spark):
     assert kept == {*range(8), 20}
 
 
+@pytest.mark.parametrize("n, tile", [(400, 1024), (300, 64)])
+def test_near_dedup_of_many_variants_against_brute_force(spark, monkeypatch, n, tile):
+    monkeypatch.setattr(simhash, "VERIFY_ROWS", tile)
+    rng = random.Random(n)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, n):  # about 0.85 from the base, 0.73 from each other
+        words = base.copy()
+        for at in rng.sample(range(300), 5 if i % 3 else 8):  # those with 8 changes are near no one
+            words[at] = f"c{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    sets = [word_sets(t) for _, t in rows]
+    label = list(range(n))
+    for a in range(n):
+        for b in range(a):
+            if (common := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - common) and label[a] != label[b]:
+                x, y = sorted((label[a], label[b]))
+                label = [x if v == y else v for v in label]
+    want = {i for i in range(n) if label[i] == i}
+    assert 1 < len(want) < n / 2
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs(spark, rows)).collect()} == want
+
+
 def test_near_dedup_keeps_one_of_each_group(spark):
     rng = random.Random(2)
     words = [f"w{rng.randrange(5000)}" for _ in range(400)]
