@@ -38,3 +38,11 @@ def row_hash(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def pieces(data: bytes, most: int, size: int = 512) -> bytes:
+    """data, or where it is longer than most bytes, evenly spaced pieces of it that make up so many: what a fit takes of one row."""
+    if len(data) <= most:
+        return data
+    n = most // size
+    return b"".join(data[(at := i * (len(data) - size) // max(1, n - 1)) : at + size] for i in range(n))

@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 BITS = 16
 #: Hashed buckets, then the share of words that repeat the word before them.
 WIDTH = (1 << BITS) + 1
-#: Rated rows that the fit takes, those with the smallest hash of doc_id.
-SAMPLE = 3000
+#: Rated rows that the fit takes, those with the smallest hash of doc_id, and the bytes of each (scoring reads whole texts).
+SAMPLE, SAMPLE_BYTES = 3000, 1 << 13
 #: A document is kept if P(grade > lowest) is at least this.
 KEEP = 0.5
 
@@ -42,9 +44,10 @@ def chunks(data: bytes, size: int = 1 << 22) -> Iterator[bytes]:
         yield data[i : i + size]
 
 
-def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket ids and square roots of relative frequencies (the 4-grams' have unit length)."""
+def text_features(text: str | None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket ids and square roots of relative frequencies (the 4-grams' have unit length); most: over that many bytes only."""
     data = (text or "").encode("utf-8", "surrogatepass")
+    data = data if most is None else pieces(data, most)
     counts = np.zeros(1 << BITS)
     for part in chunks(data):
         counts += np.bincount(gram_codes(part), minlength=1 << BITS)
@@ -98,14 +101,18 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, l2: fl
 
 
 def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", sample: int = SAMPLE) -> OrdinalModel:
-    """Fit on at most sample rated rows. A doc_id rated more than once counts with its mean grade, rounded down; null ids and grades are left out."""
+    """Fit on at most sample rated rows and SAMPLE_BYTES of each, so the driver gets 8 bytes for each of sample * SAMPLE_BYTES at most.
+
+    A doc_id rated more than once counts with its mean grade, rounded down; of texts that repeat a doc_id the least counts; null ids and grades are left out.
+    """
     rated = labels.where(F.col(grade).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.floor(F.avg(grade)).cast("double").alias("_grade"))
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # sample rows at most
+    texts = texts.groupBy("doc_id", "_grade").agg(F.min("text").alias("text"))
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            feats = [text_features(t) for t in batch.column("text").to_pylist()]
+            feats = [text_features(t, SAMPLE_BYTES) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_grade"), pa.array([f[0] for f in feats], pa.list_(pa.int32())), pa.array([f[1] for f in feats], pa.list_(pa.float32()))], names=["doc_id", "_grade", "at", "val"])
 
     got = texts.mapInArrow(featurize, "doc_id long, _grade double, at array<int>, val array<float>").toArrow().combine_chunks()
