@@ -1,8 +1,10 @@
 """Pages, vectors, conversations and urls."""
 
 import random
+import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lamina.llm import ann, chat, html_main, queries, url_filter
@@ -32,6 +34,52 @@ def test_left_open_markup_is_survived():
     assert html_main.main_text("<div class='ad'>buy<article><p>kept</p></article>") == "kept"
     for cut in range(0, 60):
         html_main.main_text("<article><p title='a>b'>x</p><!-- c --><script>y</script>"[:cut])
+    assert html_main.main_text("<article><p>one<p>two <b>bold<p>three") == "one\ntwo bold\nthree"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<section class='comments'><article><p>me too</article></section><article><p>body</article>", "body"),
+        ("<aside><article><p>teaser</article></aside><article><p>body</article><div class='site-footer'>f</div>", "body"),
+        ("<article><svg width='1'/><title-card>one</title-card><p>two</article>", "one\ntwo"),
+        ("<article><p class='related-work'>a<h2 id='search'>b</h2><div class='widget-intro'>c</div><p>d <span class='share'>e</span></article>", "a\nb\nc\nd e"),
+        ("<article><header><h1>head</h1><p>by me</p></header><p>x <math><mi>y</mi></math></p></article>", "head\nx y"),
+        ("<p>short</p>", "short"),
+        ("<article><p>first</p><div class='ad'><p>1</p><p>2</p><p>3</p><p>4</p></div><p>last</p></article>", "first\nlast"),
+        ("<main><p>all of it</p><div id='cookie-notice'>yes</div></main><p>outside</p>", "all of it"),
+        ("<p title=\"the hidden gem\">seen</p><p hidden>not</p><p aria-hidden=true>nor this</p>", "seen"),
+        ("<article>1 < 2 &lt;b&gt; &amp;amp; x&nbsp;y<br>z</article>", "1 < 2 <b> &amp; x y z"),
+        ("", ""), ("<script>only", ""), ("<nav><p>menu</p></nav>", ""),
+    ],
+)
+def test_pages_by_hand(page, text):
+    assert html_main.main_text(page) == text
+
+
+def test_windows_part_teasers_from_text():
+    teaser = "<article><p>a teaser</p></article>"
+    page = teaser + "<nav><p>1<p>2<p>3<p>4</nav><article>" + f"<p>{'long text ' * 40}</p>" * 3 + "<p>end</p></article>"
+    assert html_main.main_text(page).endswith("end") and "teaser" not in html_main.main_text(page)
+    assert html_main.main_text(teaser) == "a teaser"
+
+
+def test_window_sums_and_regions_against_brute_force():
+    rng = random.Random(11)
+    for _ in range(300):
+        w = [rng.choice([0, 0, 0, rng.randrange(1, 300)]) for _ in range(rng.randrange(30))]
+        sums = html_main.window_sums(w)
+        assert sums == [sum(w[max(0, i - 1) : i + 2]) for i in range(len(w))]
+        inside = [i for a, b in html_main.regions(sums) for i in range(a, b)]
+        assert inside == [i for i, s in enumerate(sums) if s]
+
+
+@pytest.mark.parametrize("bad", ["<p <p ", '<a title="x ', "<a title='", "<div class=ad>x", "</div>", "<!-- ", "<div><b></p>", "<b>x", "<div class=ad><article>x", "&amp"])
+def test_broken_markup_takes_linear_time(bad):
+    page = bad * (1_000_000 // len(bad))
+    began = time.process_time()
+    html_main.main_text(page)
+    assert time.process_time() - began < 8  # a second or three; the square would take an hour
 
 
 # 5 nearest neighbours
