@@ -14,10 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a new temporary one."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a temporary one in local mode, in which all run on one machine; else an error."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not (sc.master or "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lamina-checkpoint-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -28,7 +30,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder in the store that path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete tables of stored() that no DataFrame in use reads any more."""
+    for df in tables:
+        removed(df.sparkSession, df.stored_at)
 
 
 def row_hash(text: Column) -> Column:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 
 
 def components(links: DataFrame) -> DataFrame:
     """links(a long, b long) -> (node, component): component is the smallest node reachable.
 
-    Only nodes with a link to another node are returned. Each step is a min-aggregate (combined
+    Only nodes with a link to another node are returned; links with a null end are left out. Each step is a min-aggregate (combined
     before the shuffle), written, and an equi-join of two plain exchanges, which AQE can split where a
     node has very many links.
     """
@@ -26,7 +26,9 @@ def components(links: DataFrame) -> DataFrame:
         # small star: every node's smaller neighbours, and the node itself, point to the smallest
         lowest = stored(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small, "stars")
+        stars = stored(small, "stars")
+        released(edges, least, large, lowest)
+        edges = stars
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

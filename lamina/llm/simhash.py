@@ -354,12 +354,14 @@ def near_duplicates(docs: DataFrame, plan: Plan = EXACT_64) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, plan: Plan = SIMILAR_08) -> DataFrame:
-    """The rows of docs, one of each component: that with the smallest doc_id. Of rows that repeat a doc_id one stays; rows without doc_id stay."""
+    """The rows of docs, one of each component: that with the smallest doc_id. Of rows that repeat a doc_id that with the least text stays (null counts as least; of equal texts that with the least hash of all columns); rows without doc_id stay."""
     gone = stored(near_duplicates(docs, plan).where("doc_id != component_id").select("doc_id").distinct(), "gone")
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    least = F.min_by(F.struct(*docs.columns), F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*docs.columns))).alias("row")
+    one = kept.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(least).select("row.*")
+    return one.unionByName(kept.where("doc_id IS NULL"))
 
 
 def hex_digits(fp: str = "fp"):

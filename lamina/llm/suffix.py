@@ -36,6 +36,8 @@ MAX_WINDOW = 1024
 PIECE, RUN = 1 << 19, 60_000
 #: Anchors of one range of the merge; one hash with more anchors is split by its left contexts.
 RANGE_ROWS = 40_000
+#: Splitters that the driver holds; beyond so many ranges each is parted by the hashes of the shared bytes.
+MAX_RANGES = 10_000
 #: Left bytes that tell the parts of a split hash apart.
 LEFT_KEY = 8
 _POS = np.uint64((1 << 24) - 1)
@@ -350,7 +352,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs of keyed() -> (_id, _h, spans array<struct<s,e>>) of those that hold repeated strings; byte spans, not yet merged."""
+    """docs of keyed() -> (_id, _h, _spans array<struct<s,e>>) of those that hold repeated strings; byte spans, not yet merged."""
     spark = docs.sparkSession
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,15 +369,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # Written first, so that the join below is of two plain exchanges and a key with very many anchors can be split.
     often = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "repeated-hashes")
     cuts = F.when(F.col("times") > RANGE_ROWS, F.ceil(F.col("times") / RANGE_ROWS)).otherwise(1).cast("int")
-    kept = stored(found.join(often, "key").select("id", "h", "pos", "lo", "hi", "head", cuts.alias("cuts")), "candidates")
+    kept = stored(found.join(often, "key").select("id", "h", "pos", "lo", "hi", "head", cuts.alias("cuts"), F.pmod("key", F.lit(1 << 30)).cast("int").alias("bits")), "candidates")
     n = kept.count()
-    ranges = max(shuffle_partitions(spark), -(-n // RANGE_ROWS))
+    ranges = min(MAX_RANGES, max(shuffle_partitions(spark), -(-n // RANGE_ROWS)))
     marks = kept.agg(F.percentile_approx("head", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] if n and ranges > 1 else None
-    splitters = np.unique(np.array(marks or [], np.int64))  # one long for each range
+    # A head of so many anchors that it is several marks is parted by hashes. Equal strings have equal hashes, and so stay together.
+    splitters, times = np.unique(np.array(marks or [], np.int64), return_counts=True)
+    shares = np.append(1, times) * max(1, -(-n // (ranges * RANGE_ROWS)))
 
-    listed = kept.groupBy("id", "h").agg(F.collect_set(F.struct("pos", "lo", "hi", "cuts")).alias("at"))
+    listed = kept.groupBy(F.col("id").alias("_of"), F.col("h").alias("_of_h")).agg(F.collect_set(F.struct("pos", "lo", "hi", "cuts", "bits")).alias("_at"))
     # All columns go through, so that the exchange of docs is the same as that of the final join, and Spark makes it once.
-    contexts = docs.join(listed.hint("shuffle_hash"), (docs["_id"] == listed["id"]) & (docs["_h"] == listed["h"]))
+    contexts = docs.join(listed.hint("shuffle_hash"), (docs["_id"] == listed["_of"]) & (docs["_h"] == listed["_of_h"]))
+
+    def dealt(data: bytes, parts: int) -> int:
+        return int.from_bytes(hashlib.blake2b(data, digest_size=7).digest()) % parts
 
     def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
@@ -391,22 +398,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         kinds = {"int": pa.int32(), "binary": pa.binary()}
         schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in RUN_SCHEMA.split(", ")])
         for batch in batches:
-            for doc, h, text, at in zip(*(batch.column(c) for c in ("_id", "_h", "text", "at")), strict=True):
+            for doc, h, text, at in zip(*(batch.column(c) for c in ("_id", "_h", "text", "_at")), strict=True):
                 doc, h, data = doc.as_py(), h.as_py(), text.as_py().encode("utf-8", "surrogatepass")
                 for x in at.as_py():
                     p, lo, hi, cuts = x["pos"], x["lo"], x["hi"], x["cuts"]
                     right, left = data[p : p + length - lo], data[p - hi : p][::-1]
                     head = int.from_bytes(right[:8]) >> 1
                     target = int(np.searchsorted(splitters, head, side="right"))
+                    share = int(shares[target])
+                    part = x["bits"] % share if share > 1 else 0
                     if cuts == 1:
-                        held.setdefault((target, 0), []).append((right, left, doc, h, p, lo, hi))
-                    else:  # a hot hash: short offsets together, where few contexts differ; the others by their left bytes
+                        held.setdefault((target, part), []).append((right, left, doc, h, p, lo, hi))
+                    else:  # a hot hash: strings of short offsets are dealt by the bytes that all of them have on the right, others by their left bytes
                         if lo < LEFT_KEY:
                             short = min(hi, LEFT_KEY - 1)
-                            held.setdefault((target, 0), []).append((right, left[:short], doc, h, p, lo, short))
+                            held.setdefault((target, part + share * (1 + dealt(right[: length - LEFT_KEY + 1], cuts))), []).append((right, left[:short], doc, h, p, lo, short))
                         if hi >= LEFT_KEY:
-                            part = 1 + int.from_bytes(hashlib.blake2b(left[:LEFT_KEY], digest_size=7).digest()) % cuts
-                            held.setdefault((target, part), []).append((right[: length - max(lo, LEFT_KEY)], left, doc, h, p, max(lo, LEFT_KEY), hi))
+                            held.setdefault((target, part + share * (1 + cuts + dealt(left[:LEFT_KEY], cuts))), []).append((right[: length - max(lo, LEFT_KEY)], left, doc, h, p, max(lo, LEFT_KEY), hi))
                     size += 1
                     if size >= RUN:
                         yield out()
@@ -415,28 +423,31 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield out()
 
     spans = contexts.mapInArrow(sort_runs, RUN_SCHEMA).groupBy("target", "part").applyInArrow(lambda group: _merge_range(group, length), "id long, h long, s long, e long")
-    return spans.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return spans.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False, words: int = 0) -> DataFrame:
     """docs plus kept (the bytes left; as_text: a string of them, without characters that were cut through), n_bytes, n_removed and n_spans.
 
-    Every byte inside a length-byte string that starts at more than one place of the corpus is removed. A null text counts
+    Every byte inside a length-byte string that starts at more than one place of the corpus is removed; with words, only
+    runs of such bytes that hold so many words (parts of words at their ends included). A null text counts
     as empty; texts below length bytes stay whole; rows that repeat a doc_id are documents of their own (whole repeats
     therefore remove each other). Columns of docs with the new names are replaced, and those
-    named like the keys (_id, _h, id, h, at, spans) are left out. No documents give no rows.
+    named like the keys (_id, _h, _of, _of_h, _at, _spans) are left out. No documents give no rows.
     """
     new = ["kept", "n_bytes", "n_removed", "n_spans"]
-    own = [c for c in docs.columns if c not in (*new, "_id", "_h", "id", "h", "at", "spans")]
+    own = [c for c in docs.columns if c not in (*new, "_id", "_h", "_of", "_of_h", "_at", "_spans")]
     named = keyed(docs.select(*own))
     joined = named.join(repeated_spans(named, length), ["_id", "_h"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, n_bytes, n_removed, n_spans = [], [], [], []
-            for text, found in zip(batch.column("text"), batch.column("spans"), strict=True):
+            for text, found in zip(batch.column("text"), batch.column("_spans"), strict=True):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 whole = merge_spans([(x["s"], x["e"]) for x in found.as_py() or ()])
+                if words:
+                    whole = [(s, e) for s, e in whole if len(data[s:e].split(None, words - 1)) >= words]
                 left, at = [], 0
                 for s, e in whole:
                     left.append(data[at:s])
