@@ -24,10 +24,10 @@ QUERY_ROWS, BLOCK_ROWS = 8192, 2048
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(int8 rows, scale, norm of the quantised row, norm of the rounding error), the norms as upper bounds."""
     scale = np.maximum(np.abs(x).max(1), 1e-300) / 127
-    q = np.rint(x / scale[:, None]).astype(np.int8)
-    back = q * scale[:, None]
+    unit = x / scale[:, None]  # squares of these don't overflow
+    q = np.rint(unit).astype(np.int8)
     up = 1 + 1e-9
-    return q, scale, np.sqrt((back**2).sum(1)) * up, np.sqrt(((x - back) ** 2).sum(1)) * up
+    return q, scale, np.sqrt((q.astype(float) ** 2).sum(1)) * scale * up, np.sqrt(((unit - q) ** 2).sum(1)) * scale * up + scale * 1e-12
 
 
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -43,8 +43,12 @@ def tile_nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
 
     With x = x8 + e: |x.y - x8.y8| <= |x8| |e_y| + |y8| |e_x| + |e_x| |e_y|.
     """
-    q8, qs, qn, qe = quantise(q)
-    c8, cs, cn, ce = quantise(c)
+    with np.errstate(over="ignore", invalid="ignore"):
+        return _tile_nearest(q_ids, q, quantise(q), c_ids, c, quantise(c), k, rows)
+
+
+def _tile_nearest(q_ids, q, q_parts, c_ids, c, c_parts, k: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    (q8, qs, qn, qe), (c8, cs, cn, ce) = q_parts, c_parts
     c_float = c8.astype(np.float32).T
     at_q, at_c, out = [], [], []
     for i in range(0, len(q), rows):
@@ -54,6 +58,8 @@ def tile_nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
         slack = qn[i : i + rows, None] * ce[None, :] + cn[None, :] * qe[i : i + rows, None] + qe[i : i + rows, None] * ce[None, :] + 1e-12 * (qn[i : i + rows, None] * cn[None, :])
         own = q_ids[i : i + rows, None] == c_ids[None, :]
         low, high = near - slack, near + slack
+        beyond = ~(np.isfinite(low) & np.isfinite(high))  # too large for a bound
+        low[beyond], high[beyond] = -np.inf, np.inf
         low[own], high[own] = -np.inf, -np.inf
         if low.shape[1] > k:
             least = np.partition(low, -k, axis=1)[:, -k]
@@ -68,17 +74,17 @@ def tile_nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
 
 
 def _packed(vectors: DataFrame, block_rows: int, role: str) -> tuple[DataFrame, int]:
-    """((dim, <role>_block, <role>_ids, <role>_rows) of about block_rows rows each, dealt by a hash of the id; number of blocks)."""
+    """((dim, block, ids, rows) of about block_rows rows each, dealt by a hash of the id; number of blocks)."""
     blocks = max(1, -(-vectors.count() // block_rows))
 
     def pack(group: pa.Table) -> pa.Table:
         order = np.argsort(np.array(group.column("id")), kind="stable")
         flat = np.array(group.column("vector").combine_chunks().flatten(), np.float64).reshape(len(order), -1)[order]
         ids = np.array(group.column("id"), np.int64)[order]
-        return pa.table({"dim": group.column("dim").slice(0, 1), f"{role}_block": group.column("block").slice(0, 1), f"{role}_ids": [ids.tobytes()], f"{role}_rows": [flat.tobytes()]})
+        return pa.table({"dim": group.column("dim").slice(0, 1), "block": group.column("block").slice(0, 1), "ids": [ids.tobytes()], "rows": [flat.tobytes()]})
 
     dealt = vectors.select("id", "vector", F.size("vector").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    packed = dealt.groupBy("dim", "block").applyInArrow(pack, f"dim int, {role}_block int, {role}_ids binary, {role}_rows binary")
+    packed = dealt.groupBy("dim", "block").applyInArrow(pack, "dim int, block int, ids binary, rows binary")
     return stored(packed, f"{role}-blocks"), blocks
 
 
@@ -99,13 +105,15 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """
     (q, n_q), (c, n_c) = _packed(queries.distinct(), QUERY_ROWS, "q"), _packed(candidates.distinct(), BLOCK_ROWS, "c")
     lanes = min(n_c, max(1, -(-2 * shuffle_partitions(q.sparkSession) // n_q)))
-    # Each candidate block is sent once to each query block: blocks, not rows, meet.
-    asked = c.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).withColumn("lane", F.pmod("c_block", F.lit(lanes)))
-    tiles = asked.join(q, ["dim", "q_block"]).repartition("dim", "q_block", "lane").sortWithinPartitions("dim", "q_block")
+    # A candidate block is sent once to each query block, a query block once to each lane of candidates; they meet in a task, not in a join's rows.
+    asked = c.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q_block"), F.pmod("block", F.lit(lanes)).alias("lane"), F.lit(1).alias("side"), "ids", "rows")
+    asking = q.select("dim", F.col("block").alias("q_block"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(0).alias("side"), "ids", "rows")
+    key = ["dim", "q_block", "lane"]
+    tiles = asking.unionByName(asked).repartition(*key).sortWithinPartitions(*key, "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[int, list[tuple[float, int]]] = {}
-        at = None
+        at, query = None, None
 
         def out() -> pa.RecordBatch:
             rows = [(i, -v, s) for i, heap in heaps.items() for s, v in heap]
@@ -116,15 +124,21 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i] for name in batch.schema.names}
-                now = (row["dim"].as_py(), row["q_block"].as_py())
-                if at not in (None, now):
-                    yield out()
-                at = now
-                ids = [np.frombuffer(row[f"{x}_ids"].as_buffer(), np.int64) for x in "qc"]
-                mats = [np.frombuffer(row[f"{x}_rows"].as_buffer(), np.float64).reshape(len(n), -1) for x, n in zip("qc", ids, strict=True)]
-                a, b, scores = tile_nearest(ids[0], mats[0], ids[1], mats[1], k)
-                for query, vec, s in zip(ids[0][a].tolist(), ids[1][b].tolist(), scores.tolist(), strict=True):
-                    heap = heaps.setdefault(query, [])
+                now = tuple(row[x].as_py() for x in key)
+                if now != at:
+                    if heaps:
+                        yield out()
+                    at, query = now, None
+                ids = np.frombuffer(row["ids"].as_buffer(), np.int64)
+                x = np.frombuffer(row["rows"].as_buffer(), np.float64).reshape(len(ids), -1)
+                if not row["side"].as_py():  # the query block comes first, if there are queries of this length
+                    query = (ids.copy(), x.copy())
+                    continue
+                if query is None:
+                    continue
+                a, b, scores = tile_nearest(*query, ids, x, k)
+                for asks, vec, s in zip(query[0][a].tolist(), ids[b].tolist(), scores.tolist(), strict=True):
+                    heap = heaps.setdefault(asks, [])
                     if len(heap) < k:
                         heapq.heappush(heap, (s, -vec))
                     elif (s, -vec) > heap[0]:

@@ -8,6 +8,8 @@ A prefix that is not kept by the next output shows a template that rewrites hist
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -25,6 +27,7 @@ CONTROLS = (START, MIDDLE, END, "<s>", "[INST]", "<<SYS>>", "<</SYS>>", "<|im_st
 _CONTROL = re.compile("|".join(re.escape(c) for c in sorted(CONTROLS, key=len, reverse=True)))
 
 
+@functools.lru_cache(2048)  # prefixes render the same turns again and again
 def escape(text: str) -> str:
     """Doubles backslashes and puts one behind the first character of each control string; unescape() takes them away."""
     text = text.replace("\\", "\\\\")
@@ -73,6 +76,17 @@ def _prefix(a: str, b: str) -> int:
     return lo
 
 
+def _suffix(a: str, b: str) -> int:
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:  # gallops from the end: what follows a turn's text is short
+        step = min(max(1, lo + 1), hi - lo)
+        if a.endswith(b[len(b) - lo - step :]):
+            lo += step
+        else:
+            hi = lo + step - 1
+    return lo
+
+
 def render_incrementally(turns: list[Turn], template: Template) -> Formatted:
     """Spans are character offsets into the whole output. A turn at which history is rewritten starts where the outputs part."""
     before, turn_spans, text_spans, rewrites = template([]) if turns else "", [], [], []
@@ -86,7 +100,7 @@ def render_incrementally(turns: list[Turn], template: Template) -> Formatted:
             rewrites.append(i)
         a, b = template([*done, (role, "0")]), template([*done, (role, "1")])
         first = _prefix(a, b)
-        after = _prefix(a[::-1], b[::-1])
+        after = _suffix(a, b)
         turn_spans.append((start, len(now)))
         text_spans.append((first, max(first, len(now) - after)))
         before = now
@@ -121,11 +135,21 @@ def format_conversations(conversations: DataFrame, template: Template = inst_tem
 
 def digest(formatted: DataFrame) -> DataFrame:
     """Counts and hashes read back from the outputs of inst_template()."""
-    read = F.udf(lambda x: [list(t) for t in parse_inst(x)], "array<array<string>>")
-    plain = F.udf(lambda x, spans: "".join(unescape(x[a:b]) for a, b in spans), "string")
-    got = formatted.select("conv_id", "formatted", read("formatted").alias("turns"), plain("formatted", "loss_spans").alias("loss"))
-    listed = F.concat_ws("", F.transform("turns", lambda t: F.concat(t[0], F.lit("\n"), t[1], F.lit("\n"))))
-    return got.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(listed, 256).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
-    )
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, spans in zip(batch.column("formatted").to_pylist(), batch.column("loss_spans").to_pylist(), strict=True):
+                turns = parse_inst(text)
+                loss = "".join(unescape(text[a:b]) for a, b in spans)
+                rows.append((len(turns), _sha256("".join(f"{role}\n{said}\n" for role, said in turns)), len(loss), _sha256(loss), len(text)))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], names=names)
+
+    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()

@@ -1,5 +1,6 @@
 """Pages, vectors, conversations and urls."""
 
+import hashlib
 import random
 import time
 
@@ -109,6 +110,13 @@ def test_ann_against_brute_force(spark, monkeypatch):
     assert ann.nearest(good.limit(0), good, 3).count() == 0 and ann.nearest(few, good.limit(0), 3).count() == 0
 
 
+def test_huge_components_lose_no_pair(spark):
+    rows = [(1, [1e200, 1.0]), (2, [1e200, 2.0]), (3, [3.0, 1e160]), (4, [1e-200, 1e-201]), (5, [2.0, 1.0])]
+    d = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.nearest(d, d, 4).collect())
+    assert got == brute_nearest(rows, rows, 4)
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(9)
     x, y = rng.normal(size=(50, 64)), rng.normal(size=(60, 64)) * 10
@@ -128,6 +136,29 @@ def test_escapes_are_reversible():
         assert chat.parse_inst(chat.inst_template([(s, s[::-1]), ("u", s)])) == [(s, s[::-1]), ("u", s)]
 
 
+def test_common_ends():
+    rng = random.Random(12)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(12))) for _ in range(2))
+        n = min(len(a), len(b))
+        assert chat._prefix(a, b) == max(k for k in range(n + 1) if a[:k] == b[:k])
+        assert chat._suffix(a, b) == max(k for k in range(n + 1) if a[len(a) - k :] == b[len(b) - k :])
+
+
+def test_whole_table_of_conversations(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.conv_id: r for r in queries.op7_chat_spans(spark, sf).collect()}
+    turns = {}
+    for r in sorted(spark.read.parquet(f"{sf}/conversations.parquet").collect(), key=lambda r: (r.conv_id, r.turn)):
+        turns.setdefault(r.conv_id, []).append((r.role or "", r.text or ""))
+    turns[-7] = [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]
+    assert set(got) == set(turns)
+    for c, ts in turns.items():
+        loss = "".join(t for role, t in ts if role == "assistant")
+        want = (len(ts), hashlib.sha256("".join(f"{a}\n{t}\n" for a, t in ts).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == want
+
+
 def test_spans_by_rendering_only():
     turns = [("system", "be kind"), ("user", "a </s> b"), ("assistant", "0"), ("user", ""), ("assistant", "1 and [INST]")]
     done = chat.render_incrementally(turns, chat.inst_template)
