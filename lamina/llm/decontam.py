@@ -2,12 +2,15 @@
 
 Patterns are the word windows of the benchmark items. For each pattern length a shift table over
 blocks of two words (one word for one-word patterns) tells how far the scan may jump; only a block
-that ends some pattern opens its bucket, and the words before it are compared directly.
-Documents are scanned in place by a map; only pattern tables are broadcast, in blocks of bounded size.
+that ends some pattern opens a bucket, which the hash of the pattern's last words selects, and its
+patterns are compared word by word. Documents are scanned in place by a map; only benchmark text is
+broadcast, in blocks of bounded size, and each Python worker builds a block's tables once.
 """
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -17,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import row_hash
 
 WINDOW = 10
-#: Bytes of benchmark text whose tables are broadcast at once; a larger benchmark is searched in several such blocks.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text searched at once: tables take some 40 times as much (about 160 MB in a Python worker). A larger benchmark is searched in several such blocks.
+BLOCK_BYTES = 4 << 20
+#: Last words of a pattern whose hash selects its bucket.
+SUFFIX = 4
 
 _WORD_BYTES = b"0123456789abcdefghijklmnopqrstuvwxyz"
 #: ASCII letters in lower case, digits and all bytes of non-ASCII characters stay; the rest becomes a space.
@@ -31,31 +36,55 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class ShiftTable:
-    """Wu-Manber tables of patterns that all have m words."""
+    """Wu-Manber tables of patterns that all have m words. Words are numbers; text keeps those of the items, one item after the other."""
 
-    def __init__(self, m: int) -> None:
-        self.m, self.block = m, min(2, m)
+    def __init__(self, m: int, vocabulary: dict[bytes, int]) -> None:
+        self.m, self.block, self.suffix = m, min(2, m), min(SUFFIX, m)
         self.far = m - self.block + 1
-        self.shift: dict = {}
-        self.buckets: dict = {}
-
-    def add(self, pattern: tuple[bytes, ...], owner: str) -> None:
-        for j in range(self.far):
-            block = pattern[j : j + self.block]
-            self.shift[block] = min(self.shift.get(block, self.far), self.far - 1 - j)
-        self.buckets.setdefault(pattern[-self.block :], {}).setdefault(pattern, set()).add(owner)
+        self.vocabulary = vocabulary
+        self.text = array("i")
+        self.ends: list[int] = []
+        self.owners: list[str] = []
+        self.shift: dict[int, int] = {}
+        self.buckets: dict[int, int | list[int]] = {}
+
+    def _block(self, at: int) -> int:
+        """The block of words that ends at at, as one number."""
+        return self.text[at - 1] << 32 | self.text[at] if self.block == 2 else self.text[at]
+
+    def add(self, words: list[bytes], owner: str) -> None:
+        """All windows of an item."""
+        first = len(self.text)
+        self.text.extend(self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words)
+        self.owners.append(owner)
+        self.ends.append(len(self.text))
+        for start in range(first, len(self.text) - self.m + 1):
+            end = start + self.m
+            key = hash(self.text[end - self.suffix : end].tobytes())
+            held = self.buckets.setdefault(key, start)
+            if isinstance(held, list):
+                held.append(start)
+            elif held != start:
+                self.buckets[key] = [held, start]
+        # A block may be followed by m - block words at most in some pattern; the least distance to a pattern's end counts.
+        for at in range(first + self.block - 1, len(self.text)):
+            block, least = self._block(at), max(0, first + self.m - 1 - at)
+            if self.shift.get(block, self.far) > least:
+                self.shift[block] = least
 
     def search(self, words: list[bytes]) -> Iterator[tuple[int, set[str]]]:
         """(index of the first word, owners) of each occurrence."""
-        m, far, jump, i, n = self.m, self.far, self.shift.get, self.m - 1, len(words)
+        m, far, jump, number, i, n = self.m, self.far, self.shift.get, self.vocabulary.get, self.m - 1, len(words)
         pairs = self.block == 2
         while i < n:
-            block = (words[i - 1], words[i]) if pairs else (words[i],)
+            block = number(words[i - 1], -1) << 32 | number(words[i], -1) if pairs else number(words[i], -1)
             step = jump(block, far)
             if step:
                 i += step
                 continue
-            owners = self.buckets[block].get(tuple(words[i - m + 1 : i + 1]))
+            here = array("i", (number(w, -1) for w in words[i - m + 1 : i + 1]))
+            starts = self.buckets.get(hash(here[m - self.suffix :].tobytes()), ())
+            owners = {self.owners[bisect_right(self.ends, s)] for s in ((starts,) if isinstance(starts, int) else starts) if self.text[s : s + m] == here}
             if owners:
                 yield i - m + 1, owners
             i += 1
@@ -64,11 +93,12 @@ class ShiftTable:
 def build_tables(items: Iterable[tuple[str, str | None]], window: int = WINDOW) -> list[ShiftTable]:
     """One table for each pattern length: window, and the lengths of shorter items."""
     tables: dict[int, ShiftTable] = {}
+    vocabulary: dict[bytes, int] = {}
     for owner, text in items:
         words = words_of(text)
         m = min(window, len(words))
-        for i in range(len(words) - m + 1 if m else 0):
-            tables.setdefault(m, ShiftTable(m)).add(tuple(words[i : i + m]), owner)
+        if m:
+            tables.setdefault(m, ShiftTable(m, vocabulary)).add(words, owner)
     return list(tables.values())
 
 
@@ -103,22 +133,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """docs (any columns, with text) plus n_words, hit_spans (array of [start, end) word spans) and items (array of found item ids as strings, sorted).
 
     Null or empty text: no words, no hits. An empty benchmark hits nothing. Repeated rows stay and are judged alike.
-    A null item_id is named ''. Input columns that clash with the three new ones are replaced. A benchmark above
-    block_bytes is searched block by block, and the partial spans of a document are put together; documents must then
-    have doc_id.
+    A null item_id is named ''. Input columns that clash with the three new ones are replaced; those named _k and _l are
+    left out. A benchmark above block_bytes is searched block by block; what the other blocks find, by two hashes of the
+    text, is joined to what the first found.
     """
-    own = [c for c in docs.columns if c not in ("n_words", "hit_spans", "items")]
+    own = [c for c in docs.columns if c not in ("n_words", "hit_spans", "items", "_k", "_l")]
     base = docs.select(*own)
     extra = "n_words long, hit_spans array<array<long>>, items array<string>"
-    blocks = _benchmark_blocks(benchmark, block_bytes)
+    first, *others = _benchmark_blocks(benchmark, block_bytes)
     sc = docs.sparkSession.sparkContext
 
     def search(frame: DataFrame, block: DataFrame) -> DataFrame:
         # Bounded: block_bytes of text at most, plus one item.
-        sent = sc.broadcast([(r.item, r.text) for r in block.collect()])
+        sent = sc.broadcast({"items": [(r.item, r.text) for r in block.collect()]})
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables = build_tables(sent.value, window)
+            held = sent.value  # one object for all tasks of a worker
+            if "tables" not in held:
+                held["tables"] = build_tables(held["items"], window)
+            tables = held["tables"]
             for batch in batches:
                 n_words, spans, items = [], [], []
                 for text in batch.column("text").to_pylist():
@@ -133,22 +166,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
         return frame.mapInArrow(scan, f"{kept}, {extra}")
 
-    if len(blocks) == 1:
-        return search(base, blocks[0])
-    keyed = base.select("doc_id", "text", row_hash(F.col("text")).alias("_h"))
+    if not others:
+        return search(base, first)
+    keys = [row_hash(F.col("text")).alias("_k"), F.xxhash64("text", F.lit(11)).alias("_l")]
     parts = None
-    for block in blocks:
-        part = search(keyed.distinct(), block).select("doc_id", "_h", "n_words", "hit_spans", "items")
+    for block in others:
+        part = search(base.select("text", *keys), block).where("size(items) > 0").select("_k", "_l", "hit_spans", "items")
         parts = part if parts is None else parts.unionByName(part)
-
-    @F.udf("array<array<long>>")
-    def together(spans):
-        return merged(x for part in spans for x in part)
-
-    whole = parts.groupBy("doc_id", "_h").agg(F.max("n_words").alias("n_words"), together(F.collect_list("hit_spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    left = base.withColumn("_h", row_hash(F.col("text")))
-    on = left["doc_id"].eqNullSafe(whole["doc_id"]) & (left["_h"] == whole["_h"])
-    return left.join(whole, on).select(*[left[c] for c in own], "n_words", "hit_spans", "items")
+    # Equal texts have equal hits: of a text's rows that a block finds, one is enough.
+    more = parts.distinct().groupBy("_k", "_l").agg(F.flatten(F.collect_list("hit_spans")).alias("_spans"), F.flatten(F.collect_list("items")).alias("_items"))
+    joined = search(base, first).withColumns({"_k": keys[0], "_l": keys[1]}).join(more, ["_k", "_l"], "left")
+    spans = F.array_sort(F.concat("hit_spans", F.coalesce("_spans", F.array().cast("array<array<long>>"))))
+    grow = F.aggregate(
+        spans, F.array().cast("array<array<long>>"),
+        lambda out, s: F.when((F.size(out) > 0) & (s[0] <= F.element_at(out, -1)[1]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.array(F.element_at(out, -1)[0], F.greatest(F.element_at(out, -1)[1], s[1]))))).otherwise(F.concat(out, F.array(s))),
+    )
+    items = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("_items", F.array().cast("array<string>")))))
+    return joined.select(*own, "n_words", F.when(F.col("_spans").isNull(), F.col("hit_spans")).otherwise(grow).alias("hit_spans"), items.alias("items"))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -322,3 +323,24 @@ def test_decontamination_against_brute_force(spark, block_bytes):
     assert decontam.decontaminate(docs(spark, rows), bench.limit(0)).where("size(items) > 0").count() == 0
     r = decontam.digest(got.where("doc_id = 50")).first()
     assert (r.n_words, r.n_hit, r.contaminated, r.items_sha256) == (0, 0, False, hashlib.sha256(b"").hexdigest())
+
+
+def test_tables_of_a_large_benchmark_are_bounded():
+    rng = random.Random(8)
+    items = [(str(i), " ".join(f"v{rng.randrange(50_000)}" for _ in range(6000))) for i in range(24)]  # 1 MB
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    tables = decontam.build_tables(items)
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert used < 60 * size
+    words = decontam.words_of(items[3][1])
+    assert decontam.find(words, tables) == ([[0, len(words)]], {"3"})
+
+
+def test_clean_documents_with_frequent_blocks(spark):
+    """Many items that end alike, and a benchmark of many blocks."""
+    items = spark.range(300).selectExpr("id AS item_id", "concat('q', id, ' a b c d e f of the end of the end') AS text")
+    d = spark.range(400).selectExpr("id AS doc_id", "concat('x ', repeat('of the end ', 40), if(id % 4 = 0, concat('q', id % 300, ' a b c d e f of the end z'), '')) AS text")
+    one, many = (decontam.digest(decontam.decontaminate(d, items, block_bytes=b)) for b in (1 << 20, 2000))
+    assert one.exceptAll(many).count() == 0 and many.count() == 400 and one.where("contaminated").count() == 100
