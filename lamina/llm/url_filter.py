@@ -1,8 +1,10 @@
 """URL filters: host and path rules, then words and naive Bayes.
 
-Concatenated names are split into words by a unigram Viterbi search over a fixed word list; a
-multinomial naive Bayes model over the words of host and path then scores the url. Both models are
-constants of some hundred words, so judging is a map over urls without shuffle.
+Concatenated names are split into words by a unigram Viterbi search; a multinomial naive Bayes model
+over the words of host and path then scores the url. The unigram model counts, over all urls, in how
+many different hosts a word stands by itself, in the host or a path, so that no single host makes a
+word; it keeps a bounded number of the most frequent. The classes are learned from two general lists
+of words, which also count as words of the language. Judging is a map over urls without shuffle.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,31 +21,38 @@ from pyspark.sql import functions as F
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
-# The urls that train the word model and the classes, already split into words.
-BLOCKED = (
-    "cheap pills online pharmacy", "buy viagra cialis cheap", "casino win jackpot", "online casino bonus slots", "free bets poker gambling",
-    "sports betting odds bets", "adult x videos", "xxx porn sex cams", "hot singles dating sex", "spam farm links", "ads track click", "ad tracker popup",
-    "free money win prize", "lottery winner claim", "replica watches cheap", "payday loans fast cash", "crypto double profit", "warez crack keygen",
-    "torrent free movies download", "weight loss miracle pills", "fake followers buy likes", "escort nude girls", "malware phishing login", "click bait farm",
-)
-ALLOWED = (
-    "the news blog", "science research journal", "university library", "public health service", "city weather news", "home garden recipes", "music theatre art",
-    "open source software docs", "history museum", "travel guide europe", "school learning math", "book review magazine", "sports club football", "family kitchen food",
-    "national park nature", "world economy report", "community forum help", "photo gallery", "language dictionary", "mobile web page", "data project wiki",
-    "law government office", "local radio station", "story and poem of the day", "article post series",
-)
+# Words of unwanted and of wanted sites, which train the classes.
+BLOCKED = """
+casino poker bet bets betting gamble gambling slots jackpot roulette lottery bingo blackjack odds
+pills pharmacy viagra cialis drugs meds steroids prescription diet miracle
+porn sex xxx adult nude escort escorts cams erotic fetish hookup singles dating
+spam phishing malware virus trojan hack hacked crack cracked warez keygen torrent pirated
+ad ads adserver tracker tracking popup popups banner banners click clicks clickbait affiliate
+loan loans payday cash rich earn profit prize prizes winner claim bonus free win cheap discount
+replica fake counterfeit followers likes
+""".split()
+ALLOWED = """
+news blog journal magazine article story report archive library museum university school college
+science research history language dictionary encyclopedia wiki education learning lecture
+health hospital public service weather city local community forum help support
+home garden recipes kitchen food family travel guide park nature
+music theatre art film photo gallery book books poem review
+software source docs code data project developer
+sports club football world economy government law office
+""".split()
 #: Words of urls of either class; both classes have seen them.
-NEUTRAL = ("www m blog mobile web page example org net com co info index html", "en de fr es it lang the of and in")
-#: Prior share of blocked urls.
-PRIOR = 0.3
+NEUTRAL = "www m mobile web page html index example com net org co info en de fr es it lang the of and in".split()
+#: Prior share of blocked urls, and what is added to each count (Lidstone).
+PRIOR, SMOOTHING = 0.3, 0.1
+#: A word of the data stands in so many different hosts; the most frequent so many are kept (some 3 MB, broadcast).
+LEAST_HOSTS, VOCABULARY = 3, 50_000
 _LONGEST = 20
 
 
 class WordModel:
     """Unigram log-probabilities; an unknown word costs more with each letter."""
 
-    def __init__(self, texts: Sequence[str]) -> None:
-        counts = Counter(w for t in texts for w in t.split())
+    def __init__(self, counts: Mapping[str, int]) -> None:
         self.total = sum(counts.values())
         self.logp = {w: math.log(n / self.total) for w, n in counts.items()}
 
@@ -70,13 +79,14 @@ class WordModel:
 
 
 class UrlModel:
-    def __init__(self, blocked: Sequence[str] = BLOCKED, allowed: Sequence[str] = ALLOWED, prior: float = PRIOR) -> None:
-        blocked, allowed = [*blocked, *NEUTRAL], [*allowed, *NEUTRAL]
-        self.words = WordModel([*blocked, *allowed])
-        in_blocked, in_allowed = (Counter(w for t in texts for w in t.split()) for texts in (blocked, allowed))
-        size = len(set(in_blocked) | set(in_allowed))
+    """counts: hosts of each word of the data, as word_counts() gives them. A listed word counts as one host more."""
+
+    def __init__(self, counts: Mapping[str, int] | None = None, blocked: Sequence[str] = BLOCKED, allowed: Sequence[str] = ALLOWED, prior: float = PRIOR) -> None:
+        self.words = WordModel(Counter(counts or {}) + Counter({*blocked, *allowed, *NEUTRAL}))
+        in_blocked, in_allowed = Counter([*blocked, *NEUTRAL]), Counter([*allowed, *NEUTRAL])
+        size = SMOOTHING * len(set(in_blocked) | set(in_allowed))
         nb, na = sum(in_blocked.values()) + size, sum(in_allowed.values()) + size
-        self.odds = {w: math.log((in_blocked[w] + 1) / nb) - math.log((in_allowed[w] + 1) / na) for w in {*in_blocked, *in_allowed}}
+        self.odds = {w: math.log((in_blocked[w] + SMOOTHING) / nb) - math.log((in_allowed[w] + SMOOTHING) / na) for w in {*in_blocked, *in_allowed}}
         self.prior = math.log(prior / (1 - prior))
 
     def tokens(self, host: str, path: str) -> list[str]:
@@ -93,10 +103,18 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
+def word_counts(pages: DataFrame, least: int = LEAST_HOSTS, most: int = VOCABULARY) -> DataFrame:
+    """(word, hosts): the most frequent words of hosts and paths, by the number of different hosts. Counted over all urls; a hot host's rows are combined before the shuffle."""
+    host, path = host_and_path(F.col("url"))
+    words = F.regexp_extract_all(F.concat_ws(" ", "host", F.lower("path")), F.lit("[a-z]+"), 0)
+    named = pages.select(host.alias("host"), path.alias("path")).where("host != ''").select("host", F.explode(words).alias("word")).distinct()
+    return named.groupBy("word").agg(F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= least).orderBy(F.desc("hosts"), "word").limit(most)
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, model: UrlModel | None = None) -> DataFrame:
     """pages (with url) plus host, path, rule, url_words (array), url_score (log-odds of block) and verdict.
 
-    A null url or one without :// has empty host and path; no rule fits it, and the prior allows it. Columns with the new
+    model: by default one with the words of these pages. A null url or one without :// has empty host and path; no rule fits it, and the prior allows it. Columns with the new
     names are replaced. Repeated rows stay and are judged alike.
     """
     new = ["host", "path", "rule", "url_words", "url_score", "verdict"]
@@ -106,9 +124,11 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, model
     fits = [F.when(((F.col("host") == h) | F.col("host").endswith(f".{h}")) & F.col("path").startswith(p), F.struct(F.lit(len(h) + len(p)).alias("n"), F.lit(h + p).alias("rule"), F.lit(v).alias("says"))) for h, p, v in rules]
     best = F.array_max(F.filter(F.array(*fits), lambda x: x.isNotNull())) if fits else F.lit(None).cast("struct<n:int,rule:string,says:string>")
     frame = frame.withColumn("_fit", best).select(*own, "host", "path", F.col("_fit.rule").alias("rule"), F.col("_fit.says").alias("_says"))
-    m = model or UrlModel()
+    m = model or UrlModel({r.word: r.hosts for r in word_counts(pages).collect()})  # VOCABULARY words at most
+    sent = pages.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
         known: dict[str, list[str]] = {}
         for batch in batches:
             words = []

@@ -1,6 +1,7 @@
 """Pages, vectors, conversations and urls."""
 
 import hashlib
+import itertools
 import random
 import time
 
@@ -186,11 +187,35 @@ def test_control_conversation(spark):
 
 def test_word_splits():
     m = url_filter.UrlModel()
-    assert m.tokens("cheappillsonline", "") == ["cheap", "pills", "online"]
+    assert m.tokens("cheappillscasino", "") == ["cheap", "pills", "casino"]
     assert m.score(m.tokens("freebets.example.org", "/casino/win")) > 0 > m.score(m.tokens("library.example.org", "/history/book"))
     assert m.words.split("") == [] and "".join(m.words.split("zqx" * 30)) == "zqx" * 30
 
 
+def test_viterbi_against_all_splits():
+    rng = random.Random(13)
+    m = url_filter.WordModel({"a": 9, "ab": 5, "abc": 4, "b": 3, "ca": 6, "cab": 2, "bb": 1})
+    for _ in range(200):
+        name = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9)))
+        splits = [[name[i:j] for i, j in zip((0, *cut), (*cut, len(name)))] for k in range(len(name)) for cut in itertools.combinations(range(1, len(name)), k)]
+        best = min(-sum(m.cost(w) for w in s) for s in splits)
+        words = m.split(name)
+        assert "".join(words) == name
+        known = [w if w in m.logp else None for w in words]
+        assert all(x or y for x, y in zip(known, known[1:]))  # unknown letters in a row are one word
+        cost = -sum(m.cost(w) if w in m.logp else max(sum(m.cost(p) for p in s) for s in ([w[i:j] for i, j in zip((0, *c), (*c, len(w)))] for k in range(len(w)) for c in itertools.combinations(range(1, len(w)), k))) for w in words)
+        assert cost == pytest.approx(best)
+
+
+def test_words_are_counted_by_hosts(spark):
+    urls = [f"http://red{i}.garten-haus.org/zaun/x" for i in range(3)] + ["http://only.net/zaunzaun"] * 9 + ["http://red0.garten-haus.org/zaun"] * 5 + [None, "nohost", "http:///zaun"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    assert {r.word: r.hosts for r in url_filter.word_counts(pages).collect()} == {w: 3 for w in ("red", "garten", "haus", "org", "zaun", "x")}
+    m = url_filter.UrlModel({r.word: r.hosts for r in url_filter.word_counts(pages).collect()})
+    assert m.tokens("gartenzaun.org", "") == ["garten", "zaun", "org"]
+    assert url_filter.word_counts(pages.limit(0)).count() == 0
+
+
 def test_rules(spark):
     urls = [
         "http://A.Example.com/en/x?q", "https://www.example.com/en/", "http://x.com", "http://x.com?/en/", "http://x.net/es/1", "http://notnet/es/", "x.com/", None,
