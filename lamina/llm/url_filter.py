@@ -32,7 +32,7 @@ loan loans payday cash rich earn profit prize prizes winner claim bonus free win
 replica fake counterfeit followers likes
 """.split()
 ALLOWED = """
-news blog journal magazine article story report archive library museum university school college
+news journal magazine article story report archive library museum university school college
 science research history language dictionary encyclopedia wiki education learning lecture
 health hospital public service weather city local community forum help support
 home garden recipes kitchen food family travel guide park nature
@@ -41,7 +41,7 @@ software source docs code data project developer
 sports club football world economy government law office
 """.split()
 #: Words of urls of either class; both classes have seen them.
-NEUTRAL = "www m mobile web page html index example com net org co info en de fr es it lang the of and in".split()
+NEUTRAL = "www m blog mobile web page html index example com net org co info en de fr es it lang the of and in".split()
 #: Prior share of blocked urls, and what is added to each count (Lidstone).
 PRIOR, SMOOTHING = 0.3, 0.1
 #: A word of the data stands in so many different hosts; the most frequent so many are kept (some 3 MB, broadcast).
