@@ -19,6 +19,8 @@ from .common import shuffle_partitions, stored
 
 #: Rows of a block of queries and of one of candidates.
 QUERY_ROWS, BLOCK_ROWS = 8192, 2048
+#: Candidate blocks that a lane has at least: each lane sends k rows back for each query.
+LANE_BLOCKS = 4
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,7 +106,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     empty side gives no rows. Every candidate block meets every query block once, as a stated set of queries asks for.
     """
     (q, n_q), (c, n_c) = _packed(queries.distinct(), QUERY_ROWS, "q"), _packed(candidates.distinct(), BLOCK_ROWS, "c")
-    lanes = min(n_c, max(1, -(-2 * shuffle_partitions(q.sparkSession) // n_q)))
+    lanes = min(-(-n_c // LANE_BLOCKS), max(1, -(-2 * shuffle_partitions(q.sparkSession) // n_q)))
     # A candidate block is sent once to each query block, a query block once to each lane of candidates; they meet in a task, not in a join's rows.
     asked = c.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q_block"), F.pmod("block", F.lit(lanes)).alias("lane"), F.lit(1).alias("side"), "ids", "rows")
     asking = q.select("dim", F.col("block").alias("q_block"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(0).alias("side"), "ids", "rows")
@@ -126,7 +128,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
                 row = {name: batch.column(name)[i] for name in batch.schema.names}
                 now = tuple(row[x].as_py() for x in key)
                 if now != at:
-                    if heaps:
+                    if heaps and now[:2] != at[:2]:  # lanes of one query block that share a task share the heaps
                         yield out()
                     at, query = now, None
                 ids = np.frombuffer(row["ids"].as_buffer(), np.int64)
