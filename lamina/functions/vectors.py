@@ -48,12 +48,15 @@ def sigmoid(v: Column) -> Column:
     return 1 / (1 + F.exp(-v))
 
 
-def layer_norm(x, eps: float = 1e-5) -> Column:
-    """(x - mean) / sqrt(variance + eps), with the variance over all entries."""
+def layer_norm(x, eps: float = 1e-5, scale=None, shift=None) -> Column:
+    """(x - mean) / sqrt(variance + eps), with the variance over all entries; then times scale and plus shift (sequences of numbers), if given."""
     n = F.size(_col(x))
     mean = total(x) / n
     centred = mapped(x, lambda v: v - mean)
-    return mapped(centred, lambda v: v / F.sqrt(dot(centred, centred) / n + eps))
+    out = mapped(centred, lambda v: v / F.sqrt(dot(centred, centred) / n + eps))
+    if scale is not None:
+        out = zipped(out, F.array(*map(F.lit, map(float, scale))), lambda v, w: v * w)
+    return out if shift is None else add(out, F.array(*map(F.lit, map(float, shift))))
 
 
 def heads_mean(x, heads: int, width: int) -> Column:

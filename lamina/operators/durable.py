@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and read from spark.checkpoint.dir from then on; where that is unset (tests), from a temporary folder."""
+    """df, computed once and read from spark.checkpoint.dir from then on. Where that is unset, from a temporary folder in local mode, in which all run on one machine; else it is an error.
+
+    With spark.cleaner.referenceTracking.cleanCheckpoints Spark deletes the files once nothing refers to the table any more.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamina-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and (sc.master or "").split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lamina-"))
     return df.checkpoint()

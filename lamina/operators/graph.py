@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def symmetrised(edges: DataFrame) -> DataFrame:
+    """Edges and their reverses, repeats kept: one relation of a type to itself."""
+    return edges.unionByName(edges.withColumns({"src": F.col("dst"), "dst": F.col("src")}))
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
@@ -89,6 +94,14 @@ def split_masks(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.when(k <= 5, "train").when(k <= 7, "val").otherwise("test").alias("split"))
 
 
+def masks_by_index(nodes: DataFrame, **splits: DataFrame) -> DataFrame:
+    """(id, one boolean column for each split): whether the node is in that split's index table (id)."""
+    out = nodes.select("id")
+    for name, index in splits.items():
+        out = out.join(index.select("id").distinct().withColumn(name, F.lit(True)), "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out
+
+
 def with_reverse_relations(edges: DataFrame) -> DataFrame:
     """Typed edges and, for each, its reverse of type rev-<etype>."""
     back = edges.select(F.col("dst_type").alias("src_type"), F.concat(F.lit("rev-"), "etype").alias("etype"), F.col("src_type").alias("dst_type"), F.col("dst").alias("src"), F.col("src").alias("dst"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .durable import durable
 
 _BINARY = {
     "add": lambda a, b: V.zipped(a, b, lambda x, y: x + y),
@@ -52,6 +53,14 @@ def update_all(edges: DataFrame, nodes: DataFrame, op: str, how: str, width: int
     return reduced(gathered(edges, nodes, *sides).select("dst", message(op).alias("m")), how, out)
 
 
+def refuse_zero_in_degree(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nodes, if each has an in-edge; else an error that names some that have none."""
+    without = nodes.select("id").join(edges.select(F.col("dst").alias("id")), "id", "left_anti").orderBy("id").limit(5).collect()
+    if without:
+        raise ValueError(f"nodes without in-edges, as {[r.id for r in without]}: their sums would be zeros")
+    return nodes
+
+
 def fill_missing(result: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """One row for each node: its vector, or zeros."""
     return nodes.select("id").join(result, "id", "left").select("id", F.coalesce("x", V.zeros(width)).alias("x"))
@@ -60,12 +69,15 @@ def fill_missing(result: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 def edge_softmax(scores: DataFrame, heads: int = 1, key: str = "dst") -> DataFrame:
     """scores (key, s array of heads numbers, ...) plus a, the softmax over the edges of each key and head.
 
-    Two small aggregates are joined back, instead of a window, so that a hub's edges may be split over tasks.
+    Two small aggregates are joined back, instead of a window, so that a hub's edges may be split over tasks. scores is
+    read three times, so it is made durable; leave vectors out of it and join them afterwards.
     """
-    top = scores.groupBy(key).agg(F.array(*[F.max(F.col("s")[h]) for h in range(heads)]).alias("_top"))
-    shifted = scores.join(top, key).withColumn("_e", V.zipped("s", "_top", lambda s, t: F.exp(s - t))).drop("_top")
-    sums = shifted.groupBy(key).agg(F.array(*[F.sum(F.col("_e")[h]) for h in range(heads)]).alias("_sum"))
-    return shifted.join(sums, key).withColumn("a", V.zipped("_e", "_sum", lambda e, s: e / s)).drop("_e", "_sum")
+    scores = durable(scores)
+    each = range(heads)
+    top = scores.groupBy(key).agg(*[F.max(F.col("s")[h]).alias(f"_t{h}") for h in each])
+    sums = scores.join(top, key).groupBy(key).agg(*[F.max(f"_t{h}").alias(f"_t{h}") for h in each], *[F.sum(F.exp(F.col("s")[h] - F.col(f"_t{h}"))).alias(f"_s{h}") for h in each])
+    a = F.array(*[F.exp(F.col("s")[h] - F.col(f"_t{h}")) / F.col(f"_s{h}") for h in each])
+    return scores.join(sums, key).withColumn("a", a).drop(*[f"_{c}{h}" for c in "ts" for h in each])
 
 
 def degree_scaled(nodes: DataFrame, edges: DataFrame, end: str, power: float) -> DataFrame:
@@ -83,7 +95,15 @@ def graph_conv(edges: DataFrame, nodes: DataFrame, width: int, norm: str = "both
 
 
 def cross_reduced(parts: list[DataFrame], how: str, width: int) -> DataFrame:
-    """(id, x) tables of several relations into one node type, each with a row for every node, reduced over the relations."""
+    """(id, x) tables of several relations into one node type, each with a row for every node, reduced over the relations.
+
+    how may also be stack: the vectors side by side, in the order of parts.
+    """
+    if how == "stack":
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.join(part.select("id", F.col("x").alias("_y")), "id").select("id", F.concat("x", "_y").alias("x"))
+        return out
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)

@@ -6,7 +6,6 @@ partitions' totals, one row each, give the offsets.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +13,8 @@ from .durable import durable
 
 
 def _ranged(df: DataFrame, order: list[str | Column]) -> DataFrame:
-    # Kept on disk: the partition numbers must not change between the two uses.
-    return df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    # Durable: the ranges must not move between the two uses, even if an executor is lost.
+    return durable(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
 
 
 def _offsets(totals: DataFrame, value: str) -> DataFrame:
@@ -55,17 +54,17 @@ def by_in_degree(degrees: DataFrame) -> DataFrame:
     return with_position(degrees.select("id", "degree"), ["degree", "id"])
 
 
-def cuthill_mckee(edges: DataFrame, nodes: DataFrame, reverse: bool = True, rounds: int = 1000) -> DataFrame:
+def cuthill_mckee(edges: DataFrame, nodes: DataFrame, reverse: bool = True) -> DataFrame:
     """(id, level, pos): breadth-first levels from the node of least degree in each component, by level, degree and id, reversed on request.
 
     Levels grow by one join a round. Within a level nodes go by degree and id, where the sequential method goes by
     parent; bandwidths are alike, but the order isn't the same.
     """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct().persist(StorageLevel.DISK_ONLY)
-    degree = nodes.select("id").join(both.groupBy(F.col("src").alias("id")).count(), "id", "left").select("id", F.coalesce("count", F.lit(0)).alias("degree")).persist(StorageLevel.DISK_ONLY)
+    both = durable(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct())
+    degree = durable(nodes.select("id").join(both.groupBy(F.col("src").alias("id")).count(), "id", "left").select("id", F.coalesce("count", F.lit(0)).alias("degree")))
     # A node's root is the least (degree, id) it can reach; its level the distance to it.
     state = degree.select("id", F.struct(F.col("degree"), F.col("id").alias("root"), F.lit(0).alias("level")).alias("best"))
-    for _ in range(rounds):
+    while True:  # as many rounds as the longest distance from a root
         offered = both.join(state, both["src"] == state["id"]).select(F.col("dst").alias("id"), F.struct(F.col("best.degree").alias("degree"), F.col("best.root").alias("root"), (F.col("best.level") + 1).alias("level")).alias("best"))
         after = durable(state.unionByName(offered).groupBy("id").agg(F.min("best").alias("best")))
         if after.join(state.withColumnRenamed("best", "was"), "id").where("best != was").isEmpty():

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import dense as D
 from ..functions import vectors as V
 from ..operators import message as M
+from ..operators.durable import durable
 from . import layers as L
 
 
@@ -54,9 +55,10 @@ def gat(in_width: int, width: int, heads: int, layers: int = 2, slope: float = 0
             side = lambda a: F.array(*[V.dot(F.slice("x", i * width + 1, width), F.array(*map(F.lit, a[i].tolist()))) for i in range(heads)])
             # Each end's part of the score is computed on nodes, not on edges.
             nodes = tables[0].select("id", "x", side(att_l).alias("l"), side(att_r).alias("r"))
-            ends = graph.edges.join(nodes.select(F.col("id").alias("src"), "l", F.col("x").alias("u")), "src").join(nodes.select(F.col("id").alias("dst"), "r"), "dst")
-            scores = ends.select("src", "dst", "u", V.leaky_relu(V.add("l", "r"), slope).alias("s"))
-            weighted = M.edge_softmax(scores, heads).select("dst", V.heads_scaled("u", "a", heads, width).alias("m"))
+            nodes = durable(nodes)
+            ends = graph.edges.join(nodes.select(F.col("id").alias("src"), "l"), "src").join(nodes.select(F.col("id").alias("dst"), "r"), "dst")
+            scores = M.edge_softmax(ends.select("src", "dst", V.leaky_relu(V.add("l", "r"), slope).alias("s")), heads)
+            weighted = scores.join(nodes.select(F.col("id").alias("src"), F.col("x").alias("u")), "src").select("dst", V.heads_scaled("u", "a", heads, width).alias("m"))
             return M.fill_missing(M.reduced(weighted, "sum", heads * width), graph.nodes, heads * width)
 
         out = L.custom(f"attend{k}", heads * width, attend, h)
@@ -160,9 +162,11 @@ def rgcn_basis_layer(edges: DataFrame, nodes: DataFrame, relations: list[Relatio
     return out
 
 
-def hgt_layer(edges: DataFrame, nodes: DataFrame, relations: list[Relation], width: int, heads: int, skip: Mapping[str, float] | float = 0.5, norm: bool = True) -> DataFrame:
+def hgt_layer(edges: DataFrame, nodes: DataFrame, relations: list[Relation], width: int, heads: int, skip: Mapping[str, float] | float = 0.5, norm: bool = True, priors: Mapping[Relation, list[float]] | None = None) -> DataFrame:
     """(ntype, id, x): k, q, v by type, attention and message maps by relation, softmax over in-edges, mean over the relations into a type, gated skip, layer norm.
 
+    priors: for each relation a factor of the scores of each head.
+
     The mean counts every relation into the type, those without an edge at a node as zeros.
     """
     d = width // heads
@@ -171,7 +175,7 @@ def hgt_layer(edges: DataFrame, nodes: DataFrame, relations: list[Relation], wid
     for t, ntype in enumerate(types):
         k, q, v = (D.weights(3 * t + i, width, width) / 4 for i in range(3))
         own = nodes.where(F.col("ntype") == ntype)
-        tables[ntype] = own.select("id", "x", D.linear("x", k).alias("k"), D.linear("x", q).alias("q"), D.linear("x", v).alias("v"))
+        tables[ntype] = durable(own.select("id", "x", D.linear("x", k).alias("k"), D.linear("x", q).alias("q"), D.linear("x", v).alias("v")))
     out = None
     for t, ntype in enumerate(types):
         parts = []
@@ -179,11 +183,12 @@ def hgt_layer(edges: DataFrame, nodes: DataFrame, relations: list[Relation], wid
             if dst != ntype:
                 continue
             att, msg = (np.stack([D.weights(40 + 2 * r + i + 7 * h, d, d) for h in range(heads)]) for i in (0, 1))
-            src = tables[s].select(F.col("id").alias("src"), D.head_bilinear("k", att).alias("k"), D.head_bilinear("v", msg).alias("u"))
+            src = durable(tables[s].select(F.col("id").alias("src"), D.head_bilinear("k", att).alias("k"), D.head_bilinear("v", msg).alias("u")))
             of = edges.where((F.col("src_type") == s) & (F.col("etype") == e) & (F.col("dst_type") == dst)).select("src", "dst")
-            joined = of.join(src, "src").join(tables[dst].select(F.col("id").alias("dst"), "q"), "dst")
-            scores = joined.select("dst", "u", V.scaled(V.heads_dot("q", "k", heads, d), 1 / d**0.5).alias("s"))
-            weighted = M.edge_softmax(scores, heads).select("dst", V.heads_scaled("u", "a", heads, d).alias("m"))
+            joined = of.join(src.select("src", "k"), "src").join(tables[dst].select(F.col("id").alias("dst"), "q"), "dst")
+            by = [float(priors[(s, e, dst)][h] if priors else 1.0) / d**0.5 for h in range(heads)]
+            scores = M.edge_softmax(joined.select("src", "dst", V.zipped(V.heads_dot("q", "k", heads, d), F.array(*map(F.lit, by)), lambda v, w: v * w).alias("s")), heads)
+            weighted = scores.join(src.select("src", "u"), "src").select("dst", V.heads_scaled("u", "a", heads, d).alias("m"))
             parts.append(M.fill_missing(M.reduced(weighted, "sum", width), tables[ntype], width))
         a = D.weights(30 + t, width, width) / 4
         gate = skip if isinstance(skip, float) else skip[ntype]

@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 from ..operators.order import with_position
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, and _file, _block, _row, which together give the order of lines: file name, then offset within it)."""
+    # Spark deals files to tasks by size; within a block of a file, rows keep their order.
+    meta = F.col("_metadata")
+    return spark.read.text(path).select("value", meta["file_path"].alias("_file"), meta["file_block_start"].alias("_block"), F.monotonically_increasing_id().alias("_row"))
+
+
+_LINE_ORDER = ["_file", "_block", "_row"]
+
+
 def read_edge_text(spark: SparkSession, path: str) -> DataFrame:
     """(line, src, dst) of a whitespace-separated edge list; lines whose first token is '#' and blank lines are skipped.
 
-    line is the position in the file order (file name, then offset within it), and has gaps at skipped lines.
+    line counts the edges from 0 in the order of file names, then of lines.
     """
-    text = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.split(F.trim("value"), r"\s+").alias("t"))
-    rows = text.where((F.col("t")[0] != "#") & (F.size("t") >= 2))
-    return rows.select("line", F.col("t")[0].cast("long").alias("src"), F.col("t")[1].cast("long").alias("dst"))
+    text = _lines(spark, path).withColumn("t", F.split(F.trim("value"), r"\s+"))
+    rows = text.where((F.col("t")[0] != "#") & (F.size("t") >= 2)).select(*_LINE_ORDER, F.col("t")[0].cast("long").alias("src"), F.col("t")[1].cast("long").alias("dst"))
+    return with_position(rows, _LINE_ORDER, "line").select("line", "src", "dst")
 
 
 def densify(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,6 +53,26 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_permutation(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, id) of a text file with one id a line."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.trim("value").cast("long").alias("id")).where("id IS NOT NULL")
-    return with_position(lines, ["line"]).select("pos", "id")
+    """(pos, id) of text with one id a line, in the order of file names, then of lines."""
+    lines = _lines(spark, path).withColumn("id", F.trim("value").cast("long")).where("id IS NOT NULL")
+    return with_position(lines, _LINE_ORDER).select("pos", "id")
+
+
+def write_permutation(order: DataFrame, path: str) -> None:
+    """The ids of (id, pos) by position, one a line: files are named in the order of positions."""
+    order.repartitionByRange("pos").sortWithinPartitions("pos").select(F.col("id").cast("string").alias("value")).write.text(path)
+
+
+def write_csc(index: DataFrame, adjacency: DataFrame, path: str) -> None:
+    """Compressed columns of graph.csc(): index (id, first, degree) and adjacency (pos, dst, src), each in the order of its rows."""
+    index.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{path}/index")
+    adjacency.repartitionByRange("pos").sortWithinPartitions("pos").write.parquet(f"{path}/adjacency")
+
+
+def read_csc(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(index, adjacency) of write_csc(). The first column must start at 0."""
+    index = spark.read.parquet(f"{path}/index")
+    least = index.agg(F.min("first")).first()[0]
+    if least:
+        raise ValueError(f"the first edge has number {least}, not 0")
+    return index, spark.read.parquet(f"{path}/adjacency")

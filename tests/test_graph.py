@@ -127,3 +127,46 @@ def test_windowed_degrees_stream(spark, tmp_path):
     q = degrees.windowed_degrees(stream).writeStream.format("memory").queryName("deg").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("deg").collect()[0].degree == 1
+
+
+def test_several_files_keep_their_order(spark, tmp_path):
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "a.txt").write_text("1 2\n")
+    (tmp_path / "g" / "b.txt").write_text("".join(f"{i} {i + 1}\n" for i in range(3, 3000, 2)))  # larger, so Spark reads it first
+    _, mapping = graph_files.densify(graph_files.read_edge_text(spark, str(tmp_path / "g")))
+    assert mapping.where("raw != id + 1").count() == 0
+    graph_files.write_permutation(order.by_hash(spark.range(500)), str(tmp_path / "p"))
+    back = graph_files.read_permutation(spark, str(tmp_path / "p"))
+    assert back.exceptAll(order.by_hash(spark.range(500)).select("pos", "id")).count() == 0 and back.count() == 500
+
+
+def test_csc_files(spark, tmp_path):
+    e = edges(spark, [(3, 0), (8, 1), (8, 1), (7, 2)])
+    graph_files.write_csc(*graph.csc(e, spark.range(3)), str(tmp_path / "c"))
+    index, adjacency = graph_files.read_csc(spark, str(tmp_path / "c"))
+    assert sorted(map(tuple, index.collect())) == [(0, 0, 1), (1, 1, 2), (2, 3, 1)] and adjacency.count() == 4
+
+
+def test_refusal_masks_stack_and_symmetry(spark):
+    e, n = edges(spark, [(0, 1), (0, 1)]), nodes(spark, 2)
+    with pytest.raises(ValueError):
+        message.refuse_zero_in_degree(e, n)
+    assert message.refuse_zero_in_degree(graph.symmetrised(e), n) is n and graph.symmetrised(e).count() == 4
+    index = spark.createDataFrame([(1,), (1,), (9,)], "id long")
+    assert sorted(map(tuple, graph.masks_by_index(n, train=index, test=index.limit(0)).collect())) == [(0, False, False), (1, True, False)]
+    assert {r.id: r.x for r in message.cross_reduced([n, n], "stack", 2).collect()} == {0: [0.0, 1.0, 0.0, 1.0], 1: [1.0, 2.0, 1.0, 2.0]}
+
+
+def test_edge_messages(spark):
+    e = edges(spark, [(0, 1), (1, 0)]).selectExpr("*", "array(2.0D, 4.0D) AS e")
+    n = nodes(spark, 2)
+    want = {"copy_e": [2.0, 4.0], "v_mul_e": [2.0, 8.0], "e_add_u": [2.0, 5.0], "e_sub_v": [1.0, 2.0], "v_dot_u": [2.0]}
+    for op, first in want.items():
+        got = {r.id: r.x for r in message.update_all(e, n, op, "sum", 2).collect()}
+        assert first is None or got[1] == first
+
+
+def test_path_longer_than_any_cap(spark):
+    e = edges(spark, [(i, i + 1) for i in range(40)])
+    got = {r.id: r.level for r in order.cuthill_mckee(e, spark.range(41)).collect()}
+    assert got[40] == 40 and got[0] == 0
