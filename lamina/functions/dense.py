@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,17 +20,23 @@ def bias(layer: int, cols: int) -> np.ndarray:
     return ((5 * np.arange(cols) + 3 * layer) % 7 - 3) / 16
 
 
-def _stack(xs: pd.Series) -> np.ndarray:
-    return np.stack(xs.to_numpy()).astype(float) if len(xs) else np.zeros((0, 0))
+def _rows(x: pa.Array, width: int) -> np.ndarray:
+    """The vectors of a column without nulls as a matrix, without a copy where Arrow allows it."""
+    return np.asarray(x.flatten(), float).reshape(len(x), width)
+
+
+def _column(out: np.ndarray) -> pa.Array:
+    n, width = out.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(out).ravel()))
 
 
 def linear(x: Column | str, w: np.ndarray, b: np.ndarray | None = None) -> Column:
     """x W + b for each row."""
 
-    @F.pandas_udf("array<double>")
-    def run(xs: pd.Series) -> pd.Series:
-        out = _stack(xs) @ w if len(xs) else np.zeros((0, w.shape[1]))
-        return pd.Series(list(out + b if b is not None else out))
+    @F.arrow_udf("array<double>")
+    def run(xs: pa.Array) -> pa.Array:
+        out = _rows(xs, w.shape[0]) @ w
+        return _column(out + b if b is not None else out)
 
     return run(x)
 
@@ -39,10 +45,10 @@ def head_bilinear(x: Column | str, w: np.ndarray) -> Column:
     """Flat (heads * a) vectors times w (heads, a, b) -> flat (heads * b)."""
     heads, a, _ = w.shape
 
-    @F.pandas_udf("array<double>")
-    def run(xs: pd.Series) -> pd.Series:
-        out = np.einsum("nha,hab->nhb", _stack(xs).reshape(len(xs), heads, a), w)
-        return pd.Series(list(out.reshape(len(xs), -1)))
+    @F.arrow_udf("array<double>")
+    def run(xs: pa.Array) -> pa.Array:
+        out = np.einsum("nha,hab->nhb", _rows(xs, heads * a).reshape(len(xs), heads, a), w)
+        return _column(out.reshape(len(xs), -1))
 
     return run(x)
 
@@ -58,8 +64,10 @@ _erf = np.vectorize(math.erf, otypes=[float])
 def gelu(x: Column | str) -> Column:
     """v * (1 + erf(v / sqrt 2)) / 2 for each entry."""
 
-    @F.pandas_udf("array<double>")
-    def run(xs: pd.Series) -> pd.Series:
-        return pd.Series([v * 0.5 * (1 + _erf(np.asarray(v, float) / math.sqrt(2))) if len(v) else v for v in xs])
+    @F.arrow_udf("array<double>")
+    def run(xs: pa.Array) -> pa.Array:
+        v = np.asarray(xs.flatten(), float)
+        out = v * 0.5 * (1 + _erf(v / math.sqrt(2))) if len(v) else v
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *xs.value_lengths().to_pylist()]), pa.int32()), pa.array(out))
 
     return run(x)

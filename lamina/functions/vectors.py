@@ -20,6 +20,11 @@ def zipped(a: Column | str, b: Column | str, f: Callable[[Column, Column], Colum
     return F.zip_with(_col(a), _col(b), f)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once: in a lambda, an expression is computed anew for each entry."""
+    return F.transform(F.array(value), f)[0]
+
+
 def add(a, b) -> Column:
     return zipped(a, b, lambda x, y: x + y)
 
@@ -51,27 +56,32 @@ def sigmoid(v: Column) -> Column:
 def layer_norm(x, eps: float = 1e-5, scale=None, shift=None) -> Column:
     """(x - mean) / sqrt(variance + eps), with the variance over all entries; then times scale and plus shift (sequences of numbers), if given."""
     n = F.size(_col(x))
-    mean = total(x) / n
-    centred = mapped(x, lambda v: v - mean)
-    out = mapped(centred, lambda v: v / F.sqrt(dot(centred, centred) / n + eps))
+    squares = lambda mean: F.aggregate(_col(x), F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
+    out = let(total(x) / n, lambda mean: let(F.sqrt(squares(mean) / n + eps), lambda sd: mapped(x, lambda v: (v - mean) / sd)))
     if scale is not None:
         out = zipped(out, F.array(*map(F.lit, map(float, scale))), lambda v, w: v * w)
     return out if shift is None else add(out, F.array(*map(F.lit, map(float, shift))))
 
 
+# Shapes are known when the plan is made, so entries are named one by one: such expressions are compiled, lambdas over arrays aren't.
+
+
 def heads_mean(x, heads: int, width: int) -> Column:
     """A flat vector of heads * width entries -> the mean over heads."""
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: sum((_col(x)[i + h * width] for h in range(1, heads)), _col(x)[i]) / heads)
+    x = _col(x)
+    return F.array(*[sum((x[i + h * width] for h in range(1, heads)), x[i]) / heads for i in range(width)])
 
 
 def heads_dot(a, b, heads: int, width: int) -> Column:
     """One inner product for each head of two flat vectors."""
-    return F.array(*[dot(F.slice(_col(a), h * width + 1, width), F.slice(_col(b), h * width + 1, width)) for h in range(heads)])
+    a, b = _col(a), _col(b)
+    return F.array(*[sum((a[i] * b[i] for i in range(h * width + 1, (h + 1) * width)), a[h * width] * b[h * width]) for h in range(heads)])
 
 
 def heads_scaled(x, by, heads: int, width: int) -> Column:
     """Each head of x times its entry of by."""
-    return F.concat(*[scaled(F.slice(_col(x), h * width + 1, width), _col(by)[h]) for h in range(heads)])
+    x, by = _col(x), _col(by)
+    return F.array(*[x[h * width + i] * by[h] for h in range(heads) for i in range(width)])
 
 
 def argmax(x) -> Column:
@@ -80,8 +90,8 @@ def argmax(x) -> Column:
 
 
 def log_softmax(x) -> Column:
-    top = F.array_max(_col(x))
-    return mapped(x, lambda v: v - top - F.log(total(mapped(x, lambda u: F.exp(u - top)))))
+    spread = lambda top: F.log(F.aggregate(_col(x), F.lit(0.0), lambda a, u: a + F.exp(u - top)))
+    return let(F.array_max(_col(x)), lambda top: let(spread(top), lambda z: mapped(x, lambda v: v - top - z)))
 
 
 def zeros(width: int) -> Column:

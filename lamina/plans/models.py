@@ -106,11 +106,12 @@ def sum_net(widths: list[int]) -> tuple[L.Plan, L.Step]:
     return L.Plan((L.add("sum", *kept[::-1]),)), start
 
 
-def branching_net(width: int) -> tuple[L.Plan, L.Step]:
-    """Eight convolutions in a branching graph with a mean over all nodes inside."""
-    start = L.source(width)
+def branching_net(in_width: int, width: int) -> tuple[L.Plan, L.Step]:
+    """Eight convolutions in a branching graph with a mean over all nodes inside, over features projected to width."""
+    start = L.source(in_width)
+    first = L.node_map("x0", width, lambda v: D.linear(v, D.weights(0, in_width, width) / 16), start)
     conv = lambda k, x: L.node_map(f"x{k}", width, lambda v: D.linear(v, D.weights(k, width, width) / 4), L.normalised(f"conv{k}", x))
-    x1 = conv(1, start)
+    x1 = conv(1, first)
     x2, x3 = conv(2, x1), conv(3, x1)
     m = L.add("shifted", x2, L.global_mean("mean", x3))
     x4, x5 = conv(4, m), conv(5, x2)

@@ -86,14 +86,15 @@ def id_densify(s, d):
     return graph_files.densify(named)[1]
 
 
-@query(_sql(lambda q: q.text("SELECT src, dst FROM edges WHERE dst % 7 = 0")))
+@query(_sql(lambda q: q.text("SELECT src, dst FROM edges WHERE dst IN (SELECT p_partkey FROM part WHERE p_size <= 10)")))
 def one_hop_block(s, d):
-    return graph.restrict(tables.edges(s, d), tables.node_ids(s, d).where("id % 7 = 0"))
+    return graph.restrict(tables.edges(s, d), tables.table(s, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("id")))
 
 
-@query(_sql(lambda q: (q.add("s0", "SELECT id FROM ids WHERE id % 997 = 5"), q.add("s1", "SELECT id FROM s0 UNION SELECT src FROM bi WHERE dst IN (SELECT id FROM s0)"), q.text("SELECT id FROM s1 UNION SELECT src FROM bi WHERE dst IN (SELECT id FROM s1)"))[-1]))
+@query(_sql(lambda q: (q.add("s0", "SELECT s_suppkey + (SELECT n FROM np) AS id FROM supplier WHERE s_nationkey = 7"), q.add("s1", "SELECT id FROM s0 UNION SELECT src FROM bi WHERE dst IN (SELECT id FROM s0)"), q.text("SELECT id FROM s1 UNION SELECT src FROM bi WHERE dst IN (SELECT id FROM s1)"))[-1]))
 def two_hop_frontier(s, d):
-    return graph.hops(_bi(s, d), tables.node_ids(s, d).where("id % 997 = 5"), 2)[0]
+    seeds = tables.table(s, d, "supplier").where("s_nationkey = 7").select((F.col("s_suppkey") + tables.n_parts(s, d)).alias("id"))
+    return graph.hops(_bi(s, d), seeds, 2)[0]
 
 
 @query(_sql(lambda q: q.text("SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY md5('0:' || src || ':' || dst), src) AS k FROM edges) WHERE k <= 10")))
@@ -208,9 +209,9 @@ def batch_statistics(s, d):
 # Joins, messages and reductions
 
 
-@query(_sql(lambda q: q.text("SELECT src, dst, i, v FROM edges JOIN x ON x.id = src WHERE i < 4")))
+@query(_sql(lambda q: q.text("SELECT src, dst, i, v FROM edges JOIN x ON x.id = src")))
 def gather_join(s, d):
-    joined = message.gathered(tables.edges(s, d), tables.nodes(s, d, 4), "u")
+    joined = message.gathered(tables.edges(s, d), tables.nodes(s, d, WIDTH), "u")
     return joined.select("src", "dst", F.posexplode("u").alias("i", "v"))
 
 
@@ -224,7 +225,7 @@ def fill_missing_zeros(s, d):
 def embedding_lookup(s, d):
     """Parts have features; other types take a learned row, here a formula of the id."""
     n = tables.typed_nodes(s, d)
-    learned = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: ((5 * i + 3 * F.pmod("id", F.lit(7))) % 7 - 3) / 16.0)
+    learned = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: ((5 * i + 3 * F.pmod("id", F.lit(7))) % 7 - 3) / 16.0)
     feats = n.where("ntype = 'part'").select("ntype", "id", F.col("x").alias("feat"))
     full = n.select("ntype", "id").join(feats, ["ntype", "id"], "left").select("ntype", "id", F.coalesce("feat", learned).alias("x"))
     return full.select("ntype", "id", F.posexplode("x").alias("i", "v"))
@@ -242,7 +243,7 @@ for _how, _sql_how in (("sum", "sum"), ("mean", "avg"), ("max", "max"), ("min",
     _copy(_how, _sql_how)
 
 
-def _pair(op: str, expr: str, width: int = 8):
+def _pair(op: str, expr: str, width: int = WIDTH):
     def run(s, d):
         n = tables.nodes(s, d, width).withColumn("x", V.mapped("x", lambda v: v + 2))
         return _long(message.update_all(tables.edges(s, d), n, f"u_{op}_v", "sum", width))
@@ -290,8 +291,8 @@ def _multi(how: str, sql_how: str):
         parts, own = [], n.where("ntype = 'part'")
         for src, etype in (("order", "contains"), ("supplier", "supplies")):
             of = graph.relation(e, src, etype, "part")
-            parts.append(message.fill_missing(message.update_all(of, n.where(F.col("ntype") == src), "copy_u", "mean", 8), own, 8))
-        return _long(message.cross_reduced(parts, how, 8))
+            parts.append(message.fill_missing(message.update_all(of, n.where(F.col("ntype") == src), "copy_u", "mean", WIDTH), own, WIDTH))
+        return _long(message.cross_reduced(parts, how, WIDTH))
 
     run.__name__ = f"multi_relation_{how}"
 
@@ -335,14 +336,14 @@ _dense("leaky_relu", lambda: V.leaky_relu("x", 0.2), lambda q: q.map("x", "CASE
 _dense("gelu", lambda: D.gelu("x"), None)
 _dense("sigmoid_gate", lambda: V.mapped("x", lambda v: V.sigmoid(v)), lambda q: q.map("x", "1 / (1 + exp(-v))"))
 _dense("layer_norm", lambda: V.layer_norm("x"), lambda q: q.new("SELECT id, i, (v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5) AS v FROM x WINDOW w AS (PARTITION BY id)"))
-_dense("heads_mean", lambda: V.heads_mean("x", 4, 4), lambda q: q.new("SELECT id, i % 4 AS i, avg(v) AS v FROM x GROUP BY id, i % 4"))
-_dense("head_bilinear", lambda: D.head_bilinear("x", D.weights(2, 4, 4)[None].repeat(4, 0)), lambda q: q.new("SELECT id, (i // 4 * 4 + j)::INTEGER AS i, sum(v * (((31 * (i % 4) + 17 * j + 14) % 13 - 6) / 16.0::DOUBLE)) AS v FROM x, range(4) r(j) GROUP BY id, i // 4 * 4 + j"))
+_dense("heads_mean", lambda: V.heads_mean("x", 4, 16), lambda q: q.new("SELECT id, i % 16 AS i, avg(v) AS v FROM x GROUP BY id, i % 16"))
+_dense("head_bilinear", lambda: D.head_bilinear("x", D.weights(2, 16, 16)[None].repeat(4, 0)), lambda q: q.new("SELECT id, (i // 16 * 16 + j)::INTEGER AS i, sum(v * (((31 * (i % 16) + 17 * j + 14) % 13 - 6) / 16.0::DOUBLE)) AS v FROM x, range(16) r(j) GROUP BY id, i // 16 * 16 + j"))
 _dense("concat_jk", lambda: F.concat(F.col("x"), V.relu("x")), lambda q: q.new(f"SELECT id, i, v FROM x UNION ALL SELECT id, i + {WIDTH}, greatest(v, 0.0) FROM x"))
 _dense("add_scaled", lambda: V.add("x", V.scaled("x", 0.5)), lambda q: q.map("x", "v + v * 0.5::DOUBLE"))
 _dense("log_softmax", lambda: V.log_softmax("x"), lambda q: q.new("SELECT id, i, v - m - ln(sum(exp(v - m)) OVER (PARTITION BY id)) AS v FROM (SELECT *, max(v) OVER (PARTITION BY id) AS m FROM x)"))
 
 
-@query(_sql(lambda q: (q.add("w", "SELECT i, j, sum((((31 * 1 + 17 * b + 9 * 7) % 13 - 6) / 16.0::DOUBLE) * (((31 * i + 17 * j + 7 * (5 + b)) % 13 - 6) / 16.0::DOUBLE)) AS w FROM range(16) a(i), range(8) c(j), range(2) e(b) GROUP BY i, j"), q.add("z", "SELECT id, j::INTEGER AS i, sum(v * w.w) AS v FROM x JOIN w ON w.i = x.i GROUP BY id, j"), q.long("z"))[-1]))
+@query(_sql(lambda q: (q.add("w", f"SELECT i, j, sum((((31 * 1 + 17 * b + 9 * 7) % 13 - 6) / 16.0::DOUBLE) * (((31 * i + 17 * j + 7 * (5 + b)) % 13 - 6) / 16.0::DOUBLE)) AS w FROM range({WIDTH}) a(i), range(8) c(j), range(2) e(b) GROUP BY i, j"), q.add("z", "SELECT id, j::INTEGER AS i, sum(v * w.w) AS v FROM x JOIN w ON w.i = x.i GROUP BY id, j"), q.long("z"))[-1]))
 def basis_linear(s, d):
     """Relation 1 of three, from two bases."""
     import numpy as np
@@ -380,8 +381,9 @@ def _run(s: SparkSession, d: str, made: tuple[L.Plan, L.Step], width: int = WIDT
     edges = _bi(s, d)
     if loops:
         edges = graph.add_self_loops(edges, nodes)
-    if plan.layers > 1:  # read by every layer
-        edges, nodes = L.durable(edges), L.durable(nodes)
+    edges = L.durable(edges)  # read by every layer, and within one by degrees and messages
+    if plan.layers > 1:
+        nodes = L.durable(nodes)
     return _long(plan.run(L.Graph(edges, nodes.select("id")), {start: nodes}, keep=L.durable if plan.layers > 1 else None)[0])
 
 
@@ -391,12 +393,12 @@ def _loops(q: Sql) -> str:
 
 @query(_sql(lambda q: (e := _loops(q), q.long(q.relu(q.linear(q.conv("x", e), 0, 16, bias=0))))[-1]))
 def gcn_1layer(s, d):
-    return _run(s, d, models.gcn([16, 16]), loops=True)
+    return _run(s, d, models.gcn([WIDTH, 16]), loops=True)
 
 
 @query(_sql(lambda q: (e := _loops(q), a := q.relu(q.linear(q.conv("x", e), 0, 16, bias=0)), q.long(q.relu(q.linear(q.conv(a, e), 1, 8, bias=1))))[-1]))
 def gcn_2layer(s, d):
-    return _run(s, d, models.gcn([16, 16, 8]), loops=True)
+    return _run(s, d, models.gcn([WIDTH, 16, 8]), loops=True)
 
 
 def _sage_sql(q: Sql) -> str:
@@ -406,7 +408,7 @@ def _sage_sql(q: Sql) -> str:
 
 @query(_sql(_sage_sql))
 def sage_2layer(s, d):
-    return _run(s, d, models.sage([16, 16, 8]))
+    return _run(s, d, models.sage([WIDTH, 16, 8]))
 
 
 def _gat_sql(q: Sql) -> str:
@@ -427,7 +429,7 @@ def _gat_sql(q: Sql) -> str:
 
 @query(_sql(lambda q: (_loops(q), _gat_sql(q))[-1]))
 def gat_2layer(s, d):
-    return _run(s, d, models.gat(16, 4, 2), loops=True)
+    return _run(s, d, models.gat(WIDTH, 4, 2), loops=True)
 
 
 def _jk_sql(q: Sql) -> str:
@@ -439,7 +441,7 @@ def _jk_sql(q: Sql) -> str:
 
 @query(_sql(_jk_sql))
 def jknet(s, d):
-    return _run(s, d, models.jknet(16, 8, 6))
+    return _run(s, d, models.jknet(WIDTH, 8, 6))
 
 
 def _sum_net_sql(q: Sql) -> str:
@@ -450,12 +452,12 @@ def _sum_net_sql(q: Sql) -> str:
 
 @query(_sql(_sum_net_sql))
 def sum_net(s, d):
-    return _run(s, d, models.sum_net([16, 8, 8, 8]))
+    return _run(s, d, models.sum_net([WIDTH, 8, 8, 8]))
 
 
 def _branching_sql(q: Sql) -> str:
     conv = lambda k, t: q.linear(q.conv(t, "bi"), k, 8, by=64.0)
-    x1 = conv(1, "x")
+    x1 = conv(1, q.linear("x", 0, 8, by=256.0))
     x2, x3 = conv(2, x1), conv(3, x1)
     m = q.new(f"SELECT id, t.i, v + m.m AS v FROM {x2} t JOIN (SELECT i, avg(v) AS m FROM {x3} GROUP BY i) m ON m.i = t.i")
     x4, x5 = conv(4, m), conv(5, x2)
@@ -464,9 +466,9 @@ def _branching_sql(q: Sql) -> str:
     return q.long(q.plus(conv(8, x7), x5))
 
 
-@query(_sql(_branching_sql, 8))
+@query(_sql(_branching_sql))
 def branching_net(s, d):
-    return _run(s, d, models.branching_net(8), 8)
+    return _run(s, d, models.branching_net(WIDTH, 8))
 
 
 _RELATIONS = [("customer", "places", "order"), ("order", "contains", "part"), ("supplier", "supplies", "part")]
@@ -489,13 +491,13 @@ def _rgcn_sql(q: Sql, layers: int) -> str:
 @query(_sql(lambda q: _rgcn_sql(q, 2)))
 def rgcn_2layer(s, d):
     n, e = tables.typed_nodes(s, d), tables.typed_edges(s, d)
-    h = models.rgcn_layer(e, n, _RELATIONS, 8, 8, 0)
+    h = L.durable(models.rgcn_layer(L.durable(e), n, _RELATIONS, WIDTH, 8, 0))
     return _long(models.rgcn_layer(e, h, _RELATIONS, 8, 8, 1, act=False), "ntype", "id")
 
 
 def _rgcn_basis_sql(q: Sql) -> str:
     q.typed()
-    q.add("w", "SELECT r, i, j, sum((((31 * r + 17 * b + 21) % 13 - 6) / 16.0::DOUBLE) * (((31 * i + 17 * j + 7 * (4 + b)) % 13 - 6) / 16.0::DOUBLE)) AS w FROM range(3) q(r), range(8) a(i), range(8) c(j), range(2) e(b) GROUP BY r, i, j")
+    q.add("w", f"SELECT r, i, j, sum((((31 * r + 17 * b + 21) % 13 - 6) / 16.0::DOUBLE) * (((31 * i + 17 * j + 7 * (4 + b)) % 13 - 6) / 16.0::DOUBLE)) AS w FROM range(3) q(r), range({WIDTH}) a(i), range(8) c(j), range(2) e(b) GROUP BY r, i, j")
     loop = q.linear("tx", 2, 8, bias=2, keys="ntype, id")
     parts = [f"SELECT ntype, id, i, v FROM {loop}"]
     for k, (s, e, d) in enumerate(_RELATIONS):
@@ -507,15 +509,16 @@ def _rgcn_basis_sql(q: Sql) -> str:
 
 @query(_sql(_rgcn_basis_sql))
 def rgcn_basis_layer(s, d):
-    return _long(models.rgcn_basis_layer(tables.typed_edges(s, d), tables.typed_nodes(s, d), _RELATIONS, 8, 8, 2), "ntype", "id")
+    return _long(models.rgcn_basis_layer(tables.typed_edges(s, d), tables.typed_nodes(s, d), _RELATIONS, WIDTH, 8, 2), "ntype", "id")
 
 
 def _hgt_sql(q: Sql) -> str:
     q.typed()
     types, hd = ["customer", "order", "part", "supplier"], 4
     kqv = {}
+    hidden = q.linear("tx", 50, 8, by=256.0, keys="ntype, id")
     for t, ntype in enumerate(types):
-        own = q.new(f"SELECT id, i, v FROM tx WHERE ntype = '{ntype}'")
+        own = q.new(f"SELECT id, i, v FROM {hidden} WHERE ntype = '{ntype}'")
         kqv[ntype] = (own, *(q.linear(own, 3 * t + i, 8, by=64.0) for i in range(3)))
     done = []
     for t, ntype in enumerate(types):
@@ -542,21 +545,23 @@ def _hgt_sql(q: Sql) -> str:
 
 @query(_sql(_hgt_sql))
 def hgt_layer(s, d):
-    return _long(models.hgt_layer(tables.typed_edges(s, d), tables.typed_nodes(s, d), _RELATIONS, 8, 2), "ntype", "id")
+    """The features are projected to the hidden width first."""
+    hidden = tables.typed_nodes(s, d).select("ntype", "id", D.linear("x", D.weights(50, WIDTH, 8) / 16).alias("x"))
+    return _long(models.hgt_layer(tables.typed_edges(s, d), hidden, _RELATIONS, 8, 2), "ntype", "id")
 
 
-@query(_sql(lambda q: (a := q.relu(q.plus(q.linear("x", 0, 16, bias=0), q.reduce(q.linear("x", 1, 16), "avg", "bi"))), b := q.plus(q.linear(a, 2, 8, bias=1), q.reduce(q.linear(a, 3, 8), "avg", "bi")), q.text(f"SELECT id, i::INTEGER AS i, round(v + {SHIFT}, 6) + 0.0 AS v FROM {b} WHERE id % 50 = 3"))[-1]))
+@query(_sql(lambda q: (a := q.relu(q.plus(q.linear("x", 0, 16, bias=0), q.reduce(q.linear("x", 1, 16), "avg", "bi"))), b := q.plus(q.linear(a, 2, 8, bias=1), q.reduce(q.linear(a, 3, 8), "avg", "bi")), q.text(f"SELECT id, i::INTEGER AS i, round(v + {SHIFT}, 6) + 0.0 AS v FROM {b} WHERE id IN (SELECT p_partkey FROM part WHERE p_size = 1)"))[-1]))
 def sage_targets(s, d):
     """The two-layer model for stated target nodes only: each layer runs over the nodes that the later ones need."""
-    plan, start = models.sage([16, 16, 8])
+    plan, start = models.sage([WIDTH, 16, 8])
     nodes = L.durable(tables.nodes(s, d, WIDTH).select("id", "x"))
     g = L.Graph(L.durable(_bi(s, d)), nodes.select("id"))
-    return _long(plan.run(g, {start: nodes}, targets=nodes.select("id").where("id % 50 = 3"))[0])
+    return _long(plan.run(g, {start: nodes}, targets=tables.table(s, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("id")))[0])
 
 
 @query(_sql(lambda q: (q.add("f", "SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY md5('0:' || src || ':' || dst), src) AS k FROM bi) WHERE k <= 10"), q.long(q.plus(q.linear("x", 0, 8, bias=0), q.reduce(q.linear("x", 1, 8), "avg", "f"))))[-1]))
 def sage_fanout(s, d):
-    plan, start = models.sage([16, 8])
+    plan, start = models.sage([WIDTH, 8])
     nodes = tables.nodes(s, d, WIDTH).select("id", "x")
     return _long(plan.run(L.Graph(graph.fan_out(_bi(s, d), 10), nodes.select("id")), {start: nodes}, keep=None)[0])
 
@@ -569,7 +574,7 @@ def windowed_degree(s, d):
 @query(_sql(lambda q: q.text(f"SELECT id, predicted FROM (SELECT id, (arg_min(i, (-v, i)))::INTEGER AS predicted FROM (SELECT id, i, round(v + {SHIFT}, 6) + 0.0 AS v FROM " + q.relu(q.plus(q.linear("x", 0, 10, bias=0), q.reduce(q.linear("x", 1, 10), "avg", "bi"))) + ") GROUP BY id)")))
 def node_classes(s, d):
     """The flagship: one layer over the whole graph, then the class of each node."""
-    plan, start = models.sage([16, 10])
+    plan, start = models.sage([WIDTH, 10])
     nodes = tables.nodes(s, d, WIDTH).select("id", "x")
     out = plan.run(L.Graph(_bi(s, d), nodes.select("id")), {start: nodes}, keep=None)[0]
     return models.predictions(out.select("id", V.mapped(V.relu("x"), lambda v: F.round(v + SHIFT, 6) + 0.0).alias("x")))

@@ -62,7 +62,7 @@ def typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 NODE_TABLES = {"customer": ("customer", "c_custkey"), "order": ("orders", "o_orderkey"), "part": ("part", "p_partkey"), "supplier": ("supplier", "s_suppkey")}
 
 
-def typed_nodes(spark: SparkSession, sf_dir: str, width: int = 8) -> DataFrame:
+def typed_nodes(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame:
     """(ntype, id, x)."""
     emb = table(spark, sf_dir, "embeddings")
     n = emb.count()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-WIDTH = 16
+#: All features of a node.
+WIDTH = 64
 #: Added before rounding to six places, on both sides.
 SHIFT = 1.3e-8
 
@@ -65,7 +66,7 @@ class Sql:
         by = {"both": "sqrt(coalesce(c, 1))", "right": "coalesce(c, 1)", "none": "1"}[norm]
         return self.new(f"SELECT t.id, i, v / {by} AS v FROM {s} t LEFT JOIN {din} d ON d.id = t.id")
 
-    def typed(self, width: int = 8) -> None:
+    def typed(self, width: int = WIDTH) -> None:
         """tedges(src_type, etype, dst_type, src, dst), tids(ntype, id) and tx(ntype, id, i, v)."""
         self.add("tedges", """SELECT 'customer' AS src_type, 'places' AS etype, 'order' AS dst_type, o_custkey AS src, o_orderkey AS dst FROM orders
             UNION ALL SELECT 'order', 'contains', 'part', l_orderkey, l_partkey FROM lineitem UNION ALL SELECT 'supplier', 'supplies', 'part', l_suppkey, l_partkey FROM lineitem""")

@@ -92,7 +92,7 @@ def test_text_round_trip_and_densify(spark, tmp_path):
 def test_plan_stages_and_liveness():
     plan, _ = models.gcn([16, 16, 8])
     assert plan.layers == 2 and len(plan.stages()) == 3
-    plan, _ = models.branching_net(4)
+    plan, _ = models.branching_net(4, 4)
     assert plan.layers == 7  # six convolutions and the mean in a row
     text = plan.explain()
     assert text.count("stage") == 8 and "x5" in text
