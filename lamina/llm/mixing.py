@@ -65,7 +65,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature
         rated = F.broadcast(rated)
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))) if "text" in own else F.col("doc_id").cast("string")
     joined = docs.select(*own, key.alias("_key")).join(rated, F.col("source").eqNullSafe(F.col("_source")))
-    draw = lambda j: F.size(F.filter("cdf", lambda c: c <= unit(F.lit(str(seed)), "_key", j.cast("string"))))
+    # The number is an array of one first, so that it is computed once for each draw and not for each entry of the cdf.
+    draw = lambda j: F.transform(F.array(unit(F.lit(str(seed)), "_key", j.cast("string"))), lambda u: F.size(F.filter("cdf", lambda c: c <= u)))[0]
     drawn = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda a, j: a + draw(j))
     counted = joined.withColumn("_n", drawn).where("_n > 0")
     copies = counted.select(*own, "_key", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("replica"))

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lamina.llm import decontam, mixing, quality, simhash, suffix, toxicity
+from lamina.llm.common import pieces
 from lamina.llm.components import components
 
 DOCS = "doc_id long, text string"
@@ -293,6 +294,29 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     assert toxicity.training_rows(d, labels).where(toxicity.held_out("doc_id")).count() == 0
 
 
+def test_windows_cover_every_byte_and_start_at_words():
+    rng = random.Random(14)
+    texts = [toxicity.folded("".join(rng.choice("abcdefg  .é") for _ in range(rng.randrange(200)))) for _ in range(60)] + [toxicity.folded(None), toxicity.folded("x" * 5000)]
+    data, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
+    first = ends - [len(t) for t in texts]
+    starts = toxicity.window_starts(data, first)
+    covered = np.zeros(len(data), bool)
+    for s in starts:
+        e = ends[np.searchsorted(first, s, side="right") - 1]
+        covered[s : min(s + toxicity.WINDOW, e)] = True
+    assert covered.all() and (np.diff(starts) > 0).all()
+    words = [m.start() - 1 for m in re.finditer(rb"(?<![a-z\x80-\xff])[a-z\x80-\xff]{%d}" % toxicity.LETTERS, data)]
+    assert set(words) <= set(starts.tolist())
+    model = toxicity.CompressionModel(toxicity.WindowLengths(b"abc def"), toxicity.WindowLengths(b"gfe dcb"), np.zeros(7))
+    together, alone = model.distances(texts), [model.distances([t])[0] for t in texts]
+    assert all((a == b).all() for a, b in zip(together, alone, strict=True))
+
+
+def test_pieces_of_long_rows():
+    data = bytes(range(256)) * 100
+    assert pieces(data, 1 << 20) == data and len(pieces(data, 4096)) == 4096 and pieces(data, 4096).endswith(data[-512:])
+
+
 # 10 decontamination
 
 
