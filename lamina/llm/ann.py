@@ -151,3 +151,16 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     # At most k rows from each lane are left of a query.
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+#: The 20 nearest of queries whose vec_id is divisible by 20, over all pairs.
+ORACLE = """
+WITH vectors AS (
+  SELECT DISTINCT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+pairs AS (
+  SELECT q.id AS query_id, c.id AS vec_id, list_inner_product(q.x, c.x) AS score
+  FROM vectors q JOIN vectors c ON len(q.x) = len(c.x) AND q.id <> c.id WHERE q.id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 20
+"""

@@ -153,3 +153,24 @@ def digest(formatted: DataFrame) -> DataFrame:
 
 def _sha256(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _escaped_length(column: str) -> str:
+    """The length of escape()'s result in SQL: one more for each backslash and each place where a control string starts."""
+    starts = {first: "|".join(re.escape(c[1:]) for c in sorted(CONTROLS, key=len, reverse=True) if c[0] == first) for first in ("<", "[")}
+    found = [f"len(regexp_extract_all({column}, '{re.escape(first)}(?:{rest})'))" for first, rest in starts.items()]
+    return " + ".join([f"length({column})", f"length({column}) - length(replace({column}, '\\', ''))", *found])
+
+
+#: What the formatted text must lead back to, from the rows themselves.
+ORACLE = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS said FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || said || chr(10), '' ORDER BY turn NULLS FIRST, role, said)) AS turns_sha256,
+  coalesce(sum(length(said)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(said, '' ORDER BY turn NULLS FIRST, said) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({len(START + MIDDLE + END)} + {_escaped_length("role")} + {_escaped_length("said")})::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""

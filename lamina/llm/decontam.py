@@ -193,3 +193,29 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 
+
+
+#: Windows as joined strings, by an equi-join of the item's with the documents' of that length.
+ORACLE = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+starts AS (SELECT item, w, least(len(w), {WINDOW}) AS m, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) AS p FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, m, array_to_string(w[p : p + m - 1], ' ') AS k FROM starts),
+sizes AS (SELECT DISTINCT m FROM windows),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs),
+runs AS (
+  SELECT r, p, m, count(*) OVER ahead AS n, string_agg(word, ' ') OVER ahead AS k FROM words, sizes WHERE m = {WINDOW}
+  WINDOW ahead AS (PARTITION BY r, m ORDER BY p ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+short AS (
+  SELECT r, p, m, array_to_string(w[p : p + m - 1], ' ') AS k
+  FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM docs, sizes WHERE m < {WINDOW})),
+found AS (
+  SELECT r, p, m, item FROM (SELECT r, p, m, k FROM runs WHERE n = m UNION ALL SELECT * FROM short) JOIN windows USING (m, k)),
+hit AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + m)) AS place FROM found) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""

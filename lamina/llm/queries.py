@@ -70,4 +70,4 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op4_poisson_mix": mixing.ORACLE}
+ORACLES = {"op4_poisson_mix": mixing.ORACLE, "op5_block_ann": ann.ORACLE, "op6_suffix_dedup": suffix.ORACLE, "op7_chat_spans": chat.ORACLE, "op10_wu_manber": decontam.ORACLE}

@@ -463,3 +463,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False,
 
     kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema.fields)
     return joined.mapInArrow(cut, f"{kept_schema}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
+
+
+#: All 400-byte strings by the hash of each; runs of starts that touch are one removed run.
+ORACLE = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+strings AS (SELECT r, p, md5(b[p : p + 399]) AS k FROM (SELECT r, b, unnest(range(1, n - 398)) AS p FROM docs)),
+repeated AS (SELECT r, p FROM strings JOIN (SELECT k FROM strings GROUP BY k HAVING count(*) > 1) USING (k)),
+opened AS (SELECT r, p, coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + 400, TRUE) AS opens FROM repeated),
+numbered AS (SELECT r, p, count(*) FILTER (opens) OVER (PARTITION BY r ORDER BY p) AS run FROM opened),
+runs AS (SELECT r, min(p) AS s, max(p) + 400 AS e FROM numbered GROUP BY r, run),
+pieces AS (
+  SELECT r, 1 AS s, (SELECT min(s) FROM runs WHERE runs.r = docs.r) AS e FROM docs
+  UNION ALL SELECT r, e, lead(s) OVER (PARTITION BY r ORDER BY s) FROM runs),
+kept AS (
+  SELECT r, unhex(string_agg(CASE WHEN coalesce(e, n + 1) > s THEN hex(b[s : coalesce(e, n + 1) - 1]) ELSE '' END, '' ORDER BY s)) AS bytes
+  FROM pieces JOIN docs USING (r) GROUP BY r),
+removed AS (SELECT r, sum(e - s) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(bytes) AS kept_sha256
+FROM docs JOIN kept USING (r) LEFT JOIN removed USING (r)
+"""
