@@ -184,7 +184,7 @@ def fixed_batches(s, d):
     q.add("w", """SELECT id, pos, degree, 0 AS batch, 1 AS n, degree AS e FROM o WHERE pos = 0 UNION ALL
         SELECT o.id, o.pos, o.degree, w.batch + (w.n >= 200 OR w.e + o.degree >= 2000)::INTEGER, CASE WHEN w.n >= 200 OR w.e + o.degree >= 2000 THEN 1 ELSE w.n + 1 END,
         CASE WHEN w.n >= 200 OR w.e + o.degree >= 2000 THEN o.degree ELSE w.e + o.degree END FROM w JOIN o ON o.pos = w.pos + 1"""),
-    q.text("SELECT id, pos, degree, 0::BIGINT AS section, batch::BIGINT AS batch FROM w"))[-1]))
+    q.text("SELECT id, pos, degree, batch::BIGINT AS batch FROM w"))[-1]))
 def edge_budget_batches(s, d):
     return batches.by_budget(degree_order(s, d), 200, 2000)
 
@@ -194,7 +194,7 @@ def edge_budget_bins(s, d):
     return batches.by_budget_bins(degree_order(s, d), 2000)
 
 
-@query(_sql(lambda q: (q.typed(), q.text("SELECT ntype, id, id // 200 AS batch FROM tids"))[-1]))
+@query(_sql(lambda q: (q.typed(), q.text("SELECT ntype, id, (row_number() OVER (PARTITION BY ntype ORDER BY id) - 1) // 200 AS batch FROM tids"))[-1]))
 def typed_batches(s, d):
     return batches.by_type(tables.typed_nodes(s, d).select("ntype", "id"), 200)
 

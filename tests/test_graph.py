@@ -62,6 +62,24 @@ def test_pack_meets_budgets():
     assert batches.next_budget(2000, 8.0, 4.0) == 3600 and batches.halved(1) == 1
 
 
+@pytest.mark.parametrize("section", [1, 16, 100, 1 << 20])
+def test_budget_batches_equal_one_greedy_packing(spark, section):
+    rng = np.random.default_rng(section)
+    degrees_ = rng.integers(0, 9, 301)
+    degrees_[[0, 40, 41, 300]] = 50, 90, 90, 99
+    df = spark.createDataFrame([(i, i, int(d)) for i, d in enumerate(degrees_)], "id long, pos long, degree long")
+    for max_nodes, max_edges in ((5, 20), (40, 30), (7, 10_000)):
+        got = [r.batch for r in batches.by_budget(df, max_nodes, max_edges, section).orderBy("pos").collect()]
+        assert got == batches.pack(degrees_, max_nodes, max_edges).tolist()
+    assert batches.by_budget(df.limit(0), 5, 20).count() == 0
+
+
+def test_typed_batches_of_ids_with_gaps(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 5), ("a", 9), ("b", 2), ("b", 1000)], "ntype string, id long")
+    got = {(r.ntype, r.id): r.batch for r in batches.by_type(df, 2).collect()}
+    assert got == {("a", 1): 0, ("a", 5): 0, ("a", 9): 1, ("b", 2): 0, ("b", 1000): 0}
+
+
 def test_positions_and_sums(spark):
     df = spark.range(1000).selectExpr("999 - id AS id", "id AS degree")
     assert order.with_position(df, ["id"]).where("pos != id").count() == 0
