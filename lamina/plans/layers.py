@@ -8,6 +8,7 @@ are dropped after their last use. Steps that depend on one end of an edge only r
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -79,6 +80,10 @@ def global_mean(name: str, x: Step) -> Step:
     return Step(name, (x,), run, x.width, True)
 
 
+#: Called with a stage's number, tables by step name, and seconds (of Spark work where the stage's results are made durable).
+StageHook = Callable[[int, dict[str, DataFrame], float], None]
+
+
 @dataclass
 class Plan:
     outputs: tuple[Step, ...]
@@ -120,8 +125,8 @@ class Plan:
             lines.append(f"stage {n}: {', '.join(s.name for s in stage) or '-'}; kept: {', '.join(s.name for s in self.live_after(n)) or '-'}")
         return "\n".join(lines)
 
-    def run(self, graph: Graph, inputs: dict[Step, DataFrame], keep: Callable[[DataFrame], DataFrame] | None = durable, targets: DataFrame | None = None) -> list[DataFrame]:
-        """The outputs, in order. inputs gives the table of each source step (id, x).
+    def run(self, graph: Graph, inputs: dict[Step, DataFrame], keep: Callable[[DataFrame], DataFrame] | None = durable, targets: DataFrame | None = None, before: StageHook | None = None, after: StageHook | None = None) -> list[DataFrame]:
+        """The outputs, in order. before and after are called with each stage's number, the tables at hand by step name and the seconds since its start. inputs gives the table of each source step (id, x).
 
         keep makes a stage's live results durable (None: leave all to one Spark plan). With targets (id), each stage is
         restricted to the nodes that the later stages need, and the outputs have rows for the targets only.
@@ -131,7 +136,11 @@ class Plan:
             raise ValueError(f"inputs must be given for the sources, neither more nor less; missing: {missing}")
         needed = [keep(t) if keep else t for t in G.hops(graph.edges, targets, self.layers)] if targets is not None else None
         done = dict(inputs)
+        named = lambda: {s.name: t for s, t in done.items()}
         for n, stage in enumerate(self.stages()):
+            began = time.perf_counter()
+            if before:
+                before(n, named(), 0.0)
             at = Graph(G.restrict(graph.edges, needed[n]), needed[n]) if needed else graph
             for step in stage:
                 tables = [done[x] for x in step.inputs]
@@ -142,6 +151,8 @@ class Plan:
             for step in stage:
                 if keep and step in live and n < self.layers:
                     done[step] = keep(done[step])
+            if after:
+                after(n, named(), time.perf_counter() - began)
             for step in [s for s in done if s.inputs and s not in live and s not in stage]:
                 del done[step]
         if needed:

@@ -16,6 +16,7 @@ from ..functions import vectors as V
 from ..operators import message as M
 from ..operators.durable import durable
 from . import layers as L
+from . import typed
 
 
 def gcn(widths: list[int]) -> tuple[L.Plan, L.Step]:
@@ -163,7 +164,7 @@ def rgcn_basis_layer(edges: DataFrame, nodes: DataFrame, relations: list[Relatio
     return out
 
 
-def hgt_layer(edges: DataFrame, nodes: DataFrame, relations: list[Relation], width: int, heads: int, skip: Mapping[str, float] | float = 0.5, norm: bool = True, priors: Mapping[Relation, list[float]] | None = None) -> DataFrame:
+def hgt_layer(edges: DataFrame, nodes: DataFrame, relations: list[Relation], width: int, heads: int, skip: Mapping[str, float] | float = 0.5, norm: bool = True, priors: Mapping[Relation, list[float]] | None = None, layer: int = 0) -> DataFrame:
     """(ntype, id, x): k, q, v by type, attention and message maps by relation, softmax over in-edges, mean over the relations into a type, gated skip, layer norm.
 
     priors: for each relation a factor of the scores of each head.
@@ -174,7 +175,7 @@ def hgt_layer(edges: DataFrame, nodes: DataFrame, relations: list[Relation], wid
     types = sorted({r[0] for r in relations} | {r[2] for r in relations})
     tables = {}
     for t, ntype in enumerate(types):
-        k, q, v = (D.weights(3 * t + i, width, width) / 4 for i in range(3))
+        k, q, v = (D.weights(100 * layer + 3 * t + i, width, width) / 4 for i in range(3))
         own = nodes.where(F.col("ntype") == ntype)
         tables[ntype] = durable(own.select("id", "x", D.linear("x", k).alias("k"), D.linear("x", q).alias("q"), D.linear("x", v).alias("v")))
     out = None
@@ -183,7 +184,7 @@ def hgt_layer(edges: DataFrame, nodes: DataFrame, relations: list[Relation], wid
         for r, (s, e, dst) in enumerate(relations):
             if dst != ntype:
                 continue
-            att, msg = (np.stack([D.weights(40 + 2 * r + i + 7 * h, d, d) for h in range(heads)]) for i in (0, 1))
+            att, msg = (np.stack([D.weights(100 * layer + 40 + 2 * r + i + 7 * h, d, d) for h in range(heads)]) for i in (0, 1))
             src = durable(tables[s].select(F.col("id").alias("src"), D.head_bilinear("k", att).alias("k"), D.head_bilinear("v", msg).alias("u")))
             of = edges.where((F.col("src_type") == s) & (F.col("etype") == e) & (F.col("dst_type") == dst)).select("src", "dst")
             joined = of.join(src.select("src", "k"), "src").join(tables[dst].select(F.col("id").alias("dst"), "q"), "dst")
@@ -191,7 +192,7 @@ def hgt_layer(edges: DataFrame, nodes: DataFrame, relations: list[Relation], wid
             scores = M.edge_softmax(joined.select("src", "dst", V.zipped(V.heads_dot("q", "k", heads, d), F.array(*map(F.lit, by)), lambda v, w: v * w).alias("s")), heads)
             weighted = scores.join(src.select("src", "u"), "src").select("dst", V.heads_scaled("u", "a", heads, d).alias("m"))
             parts.append(M.fill_missing(M.reduced(weighted, "sum", width), tables[ntype], width))
-        a = D.weights(30 + t, width, width) / 4
+        a = D.weights(100 * layer + 30 + t, width, width) / 4
         gate = skip if isinstance(skip, float) else skip[ntype]
         alpha = float(1 / (1 + np.exp(-gate)))
         if parts:
@@ -204,6 +205,23 @@ def hgt_layer(edges: DataFrame, nodes: DataFrame, relations: list[Relation], wid
     return out
 
 
+def rgcn(relations: list[Relation], widths: list[int]) -> list[typed.Layer]:
+    """R-GCN layers of these widths for typed.run(); no activation on the last."""
+    last = len(widths) - 2
+    return [lambda e, n, k=k: rgcn_layer(e, n, relations, widths[k], widths[k + 1], k, act=k < last) for k in range(last + 1)]
+
+
+def rgcn_basis(relations: list[Relation], widths: list[int], n_bases: int) -> list[typed.Layer]:
+    """As rgcn(), with weights from bases; the layers share the weights' formula."""
+    last = len(widths) - 2
+    return [lambda e, n, k=k: rgcn_basis_layer(e, n, relations, widths[k], widths[k + 1], n_bases, act=k < last) for k in range(last + 1)]
+
+
+def hgt(relations: list[Relation], width: int, heads: int, layers: int, **options) -> list[typed.Layer]:
+    """HGT layers for typed.run(); options as of hgt_layer()."""
+    return [lambda e, n, k=k: hgt_layer(e, n, relations, width, heads, layer=k, **options) for k in range(layers)]
+
+
 def predictions(result: DataFrame) -> DataFrame:
     return result.select("id", V.argmax("x").alias("predicted"))
 

@@ -11,7 +11,7 @@ from .functions import dense as D
 from .functions import vectors as V
 from .operators import batches, graph, message, order
 from .plans import layers as L
-from .plans import models
+from .plans import models, typed
 from .sources import graph_files, tables
 from .sql import SHIFT, WIDTH, Sql
 from .streaming import degrees
@@ -221,14 +221,36 @@ def fill_missing_zeros(s, d):
     return _long(message.fill_missing(message.update_all(tables.edges(s, d), n, "copy_u", "sum", WIDTH), n, WIDTH))
 
 
-@query(_sql(lambda q: (q.typed(), q.text("SELECT ntype, id, i, CASE WHEN ntype = 'part' THEN v ELSE ((5 * i + 3 * (id % 7)) % 7 - 3) / 16.0::DOUBLE END AS v FROM tx"))[-1]))
+def _embedding_sql(q: Sql) -> str:
+    q.typed()
+    parts = q.linear("(SELECT * FROM tx WHERE ntype = 'part')", 7, 16)
+    t = q.new(f"SELECT 'part' AS ntype, id, i, v FROM {parts} UNION ALL SELECT ntype, id, i::INTEGER, ((5 * i + 3 * (id % 7)) % 7 - 3) / 16.0::DOUBLE FROM tids, range(16) r(i) WHERE ntype <> 'part'")
+    return q.long(t, "ntype, id")
+
+
+@query(_sql(_embedding_sql))
 def embedding_lookup(s, d):
-    """Parts have features; other types take a learned row, here a formula of the id."""
+    """Parts have features, projected to 16 entries; other types take a learned row, here a formula of the id."""
     n = tables.typed_nodes(s, d)
-    learned = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: ((5 * i + 3 * F.pmod("id", F.lit(7))) % 7 - 3) / 16.0)
-    feats = n.where("ntype = 'part'").select("ntype", "id", F.col("x").alias("feat"))
-    full = n.select("ntype", "id").join(feats, ["ntype", "id"], "left").select("ntype", "id", F.coalesce("feat", learned).alias("x"))
-    return full.select("ntype", "id", F.posexplode("x").alias("i", "v"))
+    learned = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: ((5 * i + 3 * F.pmod("id", F.lit(7))) % 7 - 3) / 16.0)
+    found = typed.embedded(n, n.where("ntype = 'part'"), n.select("ntype", "id", learned.alias("x")), {"part": D.weights(7, WIDTH, 16)})
+    return _long(found, "ntype", "id")
+
+
+_UNIT = "('0x' || substr(md5('20:' || id || ':' || {i}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+@query(_sql(lambda q: q.text(f"SELECT id, floor({_UNIT.format(i='-1')} * 10)::INTEGER AS label, i::INTEGER AS i, {_UNIT.format(i='i')} AS v FROM ids, range(16) r(i)")))
+def hashed_features(s, d):
+    n = tables.hashed_nodes(tables.node_ids(s, d), 16, 10)
+    return n.select("id", "label", F.posexplode("x").alias("i", "v"))
+
+
+@query(_sql(lambda q: q.text("SELECT p_partkey AS id, p_size <= 10 AS train, p_size > 40 AS test FROM part")))
+def index_masks(s, d):
+    """Split masks from index tables."""
+    parts = tables.table(s, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    return graph.masks_by_index(parts, train=parts.where("p_size <= 10"), test=parts.where("p_size > 40"))
 
 
 def _copy(how: str, sql_how: str):
@@ -264,6 +286,22 @@ def u_mul_e(s, d):
     return _long(message.update_all(e, tables.nodes(s, d, WIDTH), "u_mul_e", "sum", WIDTH))
 
 
+def _edge_form(op: str, expr: str):
+    def run(s, d):
+        e = tables.edges(s, d).withColumn("e", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: ((F.col("src") + F.col("dst") + i) % 9 + 1) / 8.0))
+        return _long(message.update_all(e, tables.nodes(s, d, 8), op, "sum", 8))
+
+    run.__name__ = op
+    query(_sql(lambda q: (
+        q.add("w", "SELECT src, dst, i::INTEGER AS i, ((src + dst + i) % 9 + 1) / 8.0::DOUBLE AS e FROM edges, range(8) r(i)"),
+        q.add("r", f"SELECT w.dst AS id, w.i, sum({expr}) AS v FROM w JOIN x u ON u.id = w.src AND u.i = w.i JOIN x v ON v.id = w.dst AND v.i = w.i GROUP BY w.dst, w.i"),
+        q.long("r"))[-1], 8))(run)
+
+
+for _op, _expr in (("copy_e", "w.e"), ("e_sub_u", "w.e - u.v"), ("v_div_e", "v.v / w.e"), ("v_add_e", "v.v + w.e")):
+    _edge_form(_op, _expr)
+
+
 _SCORES = "SELECT src, dst, ((src * 7 + dst * 3) % 17 - 8) / 4.0::DOUBLE AS s FROM edges"
 
 
@@ -490,9 +528,14 @@ def _rgcn_sql(q: Sql, layers: int) -> str:
 
 @query(_sql(lambda q: _rgcn_sql(q, 2)))
 def rgcn_2layer(s, d):
-    n, e = tables.typed_nodes(s, d), tables.typed_edges(s, d)
-    h = L.durable(models.rgcn_layer(L.durable(e), n, _RELATIONS, WIDTH, 8, 0))
-    return _long(models.rgcn_layer(e, h, _RELATIONS, 8, 8, 1, act=False), "ntype", "id")
+    return _long(typed.run(models.rgcn(_RELATIONS, [WIDTH, 8, 8]), tables.typed_edges(s, d), tables.typed_nodes(s, d)), "ntype", "id")
+
+
+@query(_sql(lambda q: _rgcn_sql(q, 2) + " WHERE ntype = 'part' AND id IN (SELECT p_partkey FROM part WHERE p_size = 1)"))
+def rgcn_targets(s, d):
+    """The two-layer model for stated parts only: each layer runs over the nodes that the later ones need."""
+    targets = tables.table(s, d, "part").where("p_size = 1").select(F.lit("part").alias("ntype"), F.col("p_partkey").alias("id"))
+    return _long(typed.run(models.rgcn(_RELATIONS, [WIDTH, 8, 8]), tables.typed_edges(s, d), tables.typed_nodes(s, d), targets), "ntype", "id")
 
 
 def _rgcn_basis_sql(q: Sql) -> str:
@@ -512,14 +555,20 @@ def rgcn_basis_layer(s, d):
     return _long(models.rgcn_basis_layer(tables.typed_edges(s, d), tables.typed_nodes(s, d), _RELATIONS, WIDTH, 8, 2), "ntype", "id")
 
 
-def _hgt_sql(q: Sql) -> str:
+def _hgt_sql(q: Sql, layers: int = 1) -> str:
     q.typed()
+    hidden = q.linear("tx", 50, 8, by=256.0, keys="ntype, id")
+    for layer in range(layers):
+        hidden = _hgt_layer_sql(q, hidden, 100 * layer)
+    return q.long(hidden, "ntype, id")
+
+
+def _hgt_layer_sql(q: Sql, hidden: str, at: int) -> str:
     types, hd = ["customer", "order", "part", "supplier"], 4
     kqv = {}
-    hidden = q.linear("tx", 50, 8, by=256.0, keys="ntype, id")
     for t, ntype in enumerate(types):
         own = q.new(f"SELECT id, i, v FROM {hidden} WHERE ntype = '{ntype}'")
-        kqv[ntype] = (own, *(q.linear(own, 3 * t + i, 8, by=64.0) for i in range(3)))
+        kqv[ntype] = (own, *(q.linear(own, at + 3 * t + i, 8, by=64.0) for i in range(3)))
     done = []
     for t, ntype in enumerate(types):
         own, into = kqv[ntype][0], [(r, s, e) for r, (s, e, d) in enumerate(_RELATIONS) if d == ntype]
@@ -528,7 +577,7 @@ def _hgt_sql(q: Sql) -> str:
             continue
         parts = []
         for r, s, e in into:
-            maps = [q.new(f"SELECT id, (i // {hd} * {hd} + j)::INTEGER AS i, sum(v * (((31 * (i % {hd}) + 17 * j + 7 * ({40 + 2 * r + n} + 7 * (i // {hd}))) % 13 - 6) / 16.0::DOUBLE)) AS v FROM {kqv[s][c]}, range({hd}) x(j) GROUP BY id, i // {hd} * {hd} + j") for n, c in ((0, 1), (1, 3))]
+            maps = [q.new(f"SELECT id, (i // {hd} * {hd} + j)::INTEGER AS i, sum(v * (((31 * (i % {hd}) + 17 * j + 7 * ({at + 40 + 2 * r + n} + 7 * (i // {hd}))) % 13 - 6) / 16.0::DOUBLE)) AS v FROM {kqv[s][c]}, range({hd}) x(j) GROUP BY id, i // {hd} * {hd} + j") for n, c in ((0, 1), (1, 3))]
             dots = q.new(f"SELECT k.id AS src, q.id AS dst, k.i // {hd} AS h, sum(k.v * q.v) / 2.0 AS s FROM (SELECT DISTINCT src, dst FROM tedges WHERE etype = '{e}') e JOIN {maps[0]} k ON k.id = e.src JOIN {kqv[ntype][2]} q ON q.id = e.dst AND q.i = k.i GROUP BY k.id, q.id, k.i // {hd}")
             full = q.new(f"SELECT e.src, e.dst, h, s FROM (SELECT src, dst FROM tedges WHERE etype = '{e}') e JOIN {dots} s ON s.src = e.src AND s.dst = e.dst")
             x = q.new(f"SELECT *, exp(s - max(s) OVER (PARTITION BY dst, h)) AS e FROM {full}")
@@ -536,18 +585,27 @@ def _hgt_sql(q: Sql) -> str:
             o = q.new(f"SELECT dst AS id, i, sum(v * a) AS v FROM {a} JOIN {maps[1]} u ON u.id = src AND u.i // {hd} = h GROUP BY dst, i")
             parts.append(f"SELECT n.id, n.i, coalesce(o.v, 0.0) AS v FROM {own} n LEFT JOIN {o} o ON o.id = n.id AND o.i = n.i")
         agg = q.new(f"SELECT id, i, avg(v) AS v FROM ({' UNION ALL '.join(parts)}) GROUP BY id, i")
-        y = q.linear(agg, 30 + t, 8, by=64.0)
+        y = q.linear(agg, at + 30 + t, 8, by=64.0)
         alpha = "(1 / (1 + exp(-0.5::DOUBLE)))"
         mixed = q.new(f"SELECT y.id, y.i, y.v * {alpha} + x.v * (1 - {alpha}) AS v FROM {y} y JOIN {own} x ON x.id = y.id AND x.i = y.i")
         done.append(f"SELECT '{ntype}' AS ntype, id, i, (v - avg(v) OVER (PARTITION BY id)) / sqrt(var_pop(v) OVER (PARTITION BY id) + 1e-5) AS v FROM {mixed}")
-    return q.long(q.new(" UNION ALL ".join(done)), "ntype, id")
+    return q.new(" UNION ALL ".join(done))
 
 
-@query(_sql(_hgt_sql))
-def hgt_layer(s, d):
+def _hgt(s: SparkSession, d: str, layers: int) -> DataFrame:
     """The features are projected to the hidden width first."""
     hidden = tables.typed_nodes(s, d).select("ntype", "id", D.linear("x", D.weights(50, WIDTH, 8) / 16).alias("x"))
-    return _long(models.hgt_layer(tables.typed_edges(s, d), hidden, _RELATIONS, 8, 2), "ntype", "id")
+    return _long(typed.run(models.hgt(_RELATIONS, 8, 2, layers), tables.typed_edges(s, d), hidden), "ntype", "id")
+
+
+@query(_sql(_hgt_sql))
+def hgt_layer(s, d):
+    return _hgt(s, d, 1)
+
+
+@query(_sql(lambda q: _hgt_sql(q, 2)))
+def hgt_2layer(s, d):
+    return _hgt(s, d, 2)
 
 
 @query(_sql(lambda q: (a := q.relu(q.plus(q.linear("x", 0, 16, bias=0), q.reduce(q.linear("x", 1, 16), "avg", "bi"))), b := q.plus(q.linear(a, 2, 8, bias=1), q.reduce(q.linear(a, 3, 8), "avg", "bi")), q.text(f"SELECT id, i::INTEGER AS i, round(v + {SHIFT}, 6) + 0.0 AS v FROM {b} WHERE id IN (SELECT p_partkey FROM part WHERE p_size = 1)"))[-1]))

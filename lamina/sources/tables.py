@@ -72,3 +72,10 @@ def typed_nodes(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame:
         one = table(spark, sf_dir, name).select(F.lit(ntype).alias("ntype"), F.col(key).cast("long").alias("id"))
         ids = one if ids is None else ids.unionByName(one)
     return ids.withColumn("vec_id", F.pmod("id", F.lit(n))).join(feats, "vec_id").select("ntype", "id", "x")
+
+
+def hashed_nodes(ids: DataFrame, width: int, classes: int, seed: int = 20) -> DataFrame:
+    """(id, x, label) for ids (id): width features uniform in [0, 1) and a label below classes, from hashes, so that they repeat."""
+    unit = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), i.cast("string"))), 1, 13), 16, 10).cast("double") / float(2**52)
+    label = F.floor(unit(F.lit(-1)) * classes).cast("int")
+    return ids.select("id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), unit).alias("x"), label.alias("label"))

@@ -8,8 +8,8 @@ import pytest
 from lamina.functions import dense as D
 from lamina.operators import batches, graph, message, order
 from lamina.plans import layers as L
-from lamina.plans import models
-from lamina.sources import graph_files
+from lamina.plans import models, typed
+from lamina.sources import graph_files, tables
 from lamina.streaming import degrees
 
 
@@ -188,3 +188,48 @@ def test_path_longer_than_any_cap(spark):
     e = edges(spark, [(i, i + 1) for i in range(40)])
     got = {r.id: r.level for r in order.cuthill_mckee(e, spark.range(41)).collect()}
     assert got[40] == 40 and got[0] == 0
+
+
+RELATIONS = [("a", "to", "b"), ("b", "back", "a"), ("a", "same", "a")]
+
+
+def typed_graph(spark):
+    rows = [(s, e, d, i, (i * k + r) % 12) for r, (s, e, d) in enumerate(RELATIONS) for k in (3, 5) for i in range(12) if i % 4 != r]
+    e = spark.createDataFrame(rows, "src_type string, etype string, dst_type string, src long, dst long")
+    n = [(t, i, [(i * 3 + j + len(t)) % 7 / 8 for j in range(4)]) for t in ("a", "b") for i in range(12)]
+    return e, spark.createDataFrame(n, "ntype string, id long, x array<double>")
+
+
+@pytest.mark.parametrize("made", [models.rgcn(RELATIONS, [4, 3, 2]), models.rgcn_basis(RELATIONS, [4, 3, 2], 2), models.hgt(RELATIONS, 4, 2, 2)])
+def test_typed_targets_equal_the_full_run(spark, made):
+    e, n = typed_graph(spark)
+    seen = []
+    full = {(r.ntype, r.id): r.x for r in typed.run(made, e, n, after=lambda k, x, took: seen.append((k, x.count(), took >= 0))).collect()}
+    assert seen == [(0, 24, True)] and len(full) == 24
+    targets = n.where("ntype = 'a' AND id IN (2, 5) OR ntype = 'b' AND id = 7")
+    part = {(r.ntype, r.id): r.x for r in typed.run(made, e, n, targets).collect()}
+    assert sorted(part) == [("a", 2), ("a", 5), ("b", 7)] and all(part[k] == pytest.approx(full[k]) for k in part)
+    assert typed.run(made, e, n, targets.limit(0)).count() == 0
+
+
+def test_embedded_features_go_before_learned_rows(spark):
+    schema = "ntype string, id long, x array<double>"
+    own = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("c", 1)], "ntype string, id long")
+    feats = spark.createDataFrame([("a", 1, [1.0, 2.0]), ("b", 1, [5.0]), ("a", 9, [0.0, 0.0])], schema)
+    learned = spark.createDataFrame([("b", 1, [6.0]), ("b", 2, [7.0])], schema)
+    got = {(r.ntype, r.id): r.x for r in typed.embedded(own, feats, learned, {"a": np.array([[1.0], [10.0]])}).collect()}
+    assert got == {("a", 1): [21.0], ("b", 1): [5.0], ("b", 2): [7.0]}
+
+
+def test_stage_hooks(spark):
+    plan, start = models.gcn([2, 2, 2])
+    n, calls = nodes(spark, 3), []
+    g = L.Graph(edges(spark, [(0, 1), (1, 2)]), n.select("id"))
+    plan.run(g, {start: n}, before=lambda k, t, took: calls.append(("before", k, took)), after=lambda k, t, took: calls.append(("after", k, sorted(t), took >= 0)))
+    assert [c[:2] for c in calls] == [(when, k) for k in range(3) for when in ("before", "after")] and all("x" in c[2] for c in calls if c[0] == "after" and c[1] < 1)
+
+
+def test_hashed_features_are_uniform(spark):
+    r = tables.hashed_nodes(spark.range(2000), 2, 4).collect()
+    x = np.array([v.x for v in r])
+    assert 0 <= x.min() and x.max() < 1 and abs(x.mean() - 0.5) < 0.03 and {v.label for v in r} == {0, 1, 2, 3}
