@@ -47,6 +47,12 @@ def released(*tables: DataFrame) -> None:
         removed(df.sparkSession, df.stored_at)
 
 
+def by_position(df: DataFrame, drop: list[str]) -> tuple[DataFrame, list[str]]:
+    """(df without the columns in drop, its columns named c0, c1 and so on; their old names): no name clashes with an operator's own, whatever it holds."""
+    own = [(f"c{i}", c) for i, c in enumerate(df.columns) if c not in drop]
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[c for c, _ in own]), [c for _, c in own]
+
+
 def row_hash(text: Column) -> Column:
     """Tells rows that share a doc_id apart; null and empty text differ."""
     return F.xxhash64(F.coalesce(text, F.lit("\u0000null")), F.lit(7))

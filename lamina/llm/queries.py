@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, html_main, mixing, quality, simhash, suffix, toxicity, url_filter
+from . import ann, chat, decontam, heavy_light, html_main, mixing, quality, simhash, suffix, tandem, toxicity, url_filter, vector_codes
 from .common import table
 
 
@@ -62,12 +62,26 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text"))
 
 
+def op11_heavy_light_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heavy_light.joined(table(spark, sf_dir, "documents"))
+
+
+def op12_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(table(spark, sf_dir, "embeddings"))
+
+
+def op13_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return tandem.digest(tandem.find_runs(docs.select("doc_id", tandem.with_planted_runs(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_vptree, op2_line_blocks, op3_quality_ordinal, op4_poisson_mix, op5_block_ann,
         op6_suffix_dedup, op7_chat_spans, op8_url_words, op9_compression_toxicity, op10_wu_manber,
+        op11_heavy_light_join, op12_annular_codes, op13_tandem_runs,
     )
 }
 
-ORACLES = {"op4_poisson_mix": mixing.ORACLE, "op5_block_ann": ann.ORACLE, "op6_suffix_dedup": suffix.ORACLE, "op7_chat_spans": chat.ORACLE, "op10_wu_manber": decontam.ORACLE}
+ORACLES = {"op4_poisson_mix": mixing.ORACLE, "op5_block_ann": ann.ORACLE, "op6_suffix_dedup": suffix.ORACLE, "op7_chat_spans": chat.ORACLE, "op10_wu_manber": decontam.ORACLE, "op11_heavy_light_join": heavy_light.ORACLE, "op12_annular_codes": vector_codes.ORACLE}
