@@ -3,19 +3,112 @@
 from __future__ import annotations
 
 import tempfile
+import time
+import uuid
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and read from spark.checkpoint.dir from then on. Where that is unset, from a temporary folder in local mode, in which all run on one machine; else it is an error.
-
-    With spark.cleaner.referenceTracking.cleanCheckpoints Spark deletes the files once nothing refers to the table any more.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one in local mode, in which all run on one machine; else it is an error."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and (sc.master or "").split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lamina-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, computed once and read from the shared folder from then on.
+
+    With spark.cleaner.referenceTracking.cleanCheckpoints Spark deletes the files once nothing refers to the table any more.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """df as Parquet in that many buckets of key, sorted by it: joins with tables of the same buckets, and groupings by key, need no exchange."""
+    name = f"lamina_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    out = df.sparkSession.table(name)
+    out.bucketed_as = name
+    return out
+
+
+def read_bucketed(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
+    """A table of write_bucketed(), in any session."""
+    name = f"lamina_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    out = spark.table(name)
+    out.bucketed_as = name
+    return out
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+class StageStore:
+    """Columnar tables of a layer-wise run in the shared folder, bucketed by their key, with lifetimes and measures.
+
+    put() writes one, release() deletes it. measures has a record of each: name, rows, bytes, seconds and what counters were asked for,
+    observed while it was written.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None, counters: Mapping[str, Mapping[str, Column]] | None = None) -> None:
+        """counters: for a table's name further aggregates over its columns, by counter name."""
+        self.spark, self.counters = spark, dict(counters or {})
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.folder = f"{shared_folder(spark).rstrip('/')}/stages-{uuid.uuid4().hex}"
+        self.measures: list[dict] = []
+        self._tables: dict[int, tuple[DataFrame, str]] = {}
+
+    def put(self, df: DataFrame, name: str = "table", key: str = "id") -> DataFrame:
+        began, seen = time.perf_counter(), Observation()
+        more = [c.alias(k) for k, c in self.counters.get(name, {}).items()]
+        path = f"{self.folder}/{''.join(c if c.isalnum() else '_' for c in name)}-{uuid.uuid4().hex[:12]}"
+        out = write_bucketed(df.observe(seen, F.count(F.lit(1)).alias("rows"), *more), path, key, self.buckets)
+        where, fs = _at(self.spark, path)
+        self.measures.append({"name": name, **seen.get, "bytes": fs.getContentSummary(where).getLength(), "seconds": time.perf_counter() - began})
+        self._tables[id(out)] = (out, path)
+        return out
+
+    def put_all(self, tables: Sequence[tuple[DataFrame, str, str]]) -> list[DataFrame]:
+        """put() of several (df, name, key), a few at a time: small tables don't wait for each other."""
+        if len(tables) < 2:
+            return [self.put(*t) for t in tables]
+        with ThreadPoolExecutor(4) as pool:
+            return list(pool.map(lambda t: self.put(*t), tables))
+
+    def owns(self, df: DataFrame) -> bool:
+        return id(df) in self._tables
+
+    def release(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more; others than this store's own are left alone."""
+        for df in tables:
+            if self.owns(df):
+                _, path = self._tables.pop(id(df))
+                self.spark.sql(f"DROP TABLE {df.bucketed_as}")
+                where, fs = _at(self.spark, path)
+                fs.delete(where, True)
+
+    def release_all_but(self, *kept: DataFrame) -> None:
+        held = {id(df) for df in kept}
+        self.release(*[df for df, _ in list(self._tables.values()) if id(df) not in held])
+
+    def totals(self) -> dict[str, float]:
+        """Each measure summed over all tables put so far."""
+        out: dict[str, float] = {}
+        for m in self.measures:
+            for k, v in m.items():
+                if k != "name" and v is not None:
+                    out[k] = out.get(k, 0) + v
+        return out

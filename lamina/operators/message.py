@@ -6,6 +6,8 @@ shuffle and a hub's edges never meet in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,13 +68,13 @@ def fill_missing(result: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return nodes.select("id").join(result, "id", "left").select("id", F.coalesce("x", V.zeros(width)).alias("x"))
 
 
-def edge_softmax(scores: DataFrame, heads: int = 1, key: str = "dst") -> DataFrame:
+def edge_softmax(scores: DataFrame, heads: int = 1, key: str = "dst", keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
     """scores (key, s array of heads numbers, ...) plus a, the softmax over the edges of each key and head.
 
     Two small aggregates are joined back, instead of a window, so that a hub's edges may be split over tasks. scores is
-    read three times, so it is made durable; leave vectors out of it and join them afterwards.
+    read three times, so it is made durable by keep; leave vectors out of it and join them afterwards.
     """
-    scores = durable(scores)
+    scores = keep(scores)
     each = range(heads)
     top = scores.groupBy(key).agg(*[F.max(F.col("s")[h]).alias(f"_t{h}") for h in each])
     sums = scores.join(top, key).groupBy(key).agg(*[F.max(f"_t{h}").alias(f"_t{h}") for h in each], *[F.sum(F.exp(F.col("s")[h] - F.col(f"_t{h}"))).alias(f"_s{h}") for h in each])

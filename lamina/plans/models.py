@@ -92,7 +92,7 @@ def jknet(in_width: int, hidden: int, out_width: int, layers: int = 2, mode: str
 def _maximum(vs):
     out = vs[0]
     for v in vs[1:]:
-        out = V.zipped(out, v, F.greatest)
+        out = V.zipped(out, v, lambda a, b: F.greatest(a, b))
     return out
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .functions import dense as D
 from .functions import vectors as V
 from .operators import batches, graph, message, order
+from .operators.durable import StageStore
+from .plans import dataflow, forwards, models, trace, typed
 from .plans import layers as L
-from .plans import models, typed
 from .sources import graph_files, tables
 from .sql import SHIFT, WIDTH, Sql
 from .streaming import degrees
@@ -288,14 +289,14 @@ def u_mul_e(s, d):
 
 def _edge_form(op: str, expr: str):
     def run(s, d):
-        e = tables.edges(s, d).withColumn("e", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: ((F.col("src") + F.col("dst") + i) % 9 + 1) / 8.0))
-        return _long(message.update_all(e, tables.nodes(s, d, 8), op, "sum", 8))
+        e = tables.edges(s, d).withColumn("e", F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: ((F.col("src") + F.col("dst") + i) % 9 + 1) / 8.0))
+        return _long(message.update_all(e, tables.nodes(s, d, WIDTH), op, "sum", WIDTH))
 
     run.__name__ = op
     query(_sql(lambda q: (
-        q.add("w", "SELECT src, dst, i::INTEGER AS i, ((src + dst + i) % 9 + 1) / 8.0::DOUBLE AS e FROM edges, range(8) r(i)"),
+        q.add("w", f"SELECT src, dst, i::INTEGER AS i, ((src + dst + i) % 9 + 1) / 8.0::DOUBLE AS e FROM edges, range({WIDTH}) r(i)"),
         q.add("r", f"SELECT w.dst AS id, w.i, sum({expr}) AS v FROM w JOIN x u ON u.id = w.src AND u.i = w.i JOIN x v ON v.id = w.dst AND v.i = w.i GROUP BY w.dst, w.i"),
-        q.long("r"))[-1], 8))(run)
+        q.long("r"))[-1]))(run)
 
 
 for _op, _expr in (("copy_e", "w.e"), ("e_sub_u", "w.e - u.v"), ("v_div_e", "v.v / w.e"), ("v_add_e", "v.v + w.e")):
@@ -425,6 +426,33 @@ def _run(s: SparkSession, d: str, made: tuple[L.Plan, L.Step], width: int = WIDT
     return _long(plan.run(L.Graph(edges, nodes.select("id")), {start: nodes}, keep=L.durable if plan.layers > 1 else None)[0])
 
 
+def _flow(s: SparkSession, d: str, traced: trace.Traced, loops: bool = False, targets: DataFrame | None = None, store: StageStore | None = None) -> list[DataFrame]:
+    """The outputs of a traced function over the bucketed graph."""
+    store = store or StageStore(s)
+    x = store.put(tables.nodes(s, d).select("id", "x").repartition(store.buckets, "id"), "features")
+    edges = graph.add_self_loops(_bi(s, d), x) if loops else _bi(s, d)
+    g = dataflow.stored_graph({None: edges}, {None: x}, store)
+    return traced.flow.run(g, {traced.sources[0]: x}, store, None if targets is None else {None: targets})
+
+
+def _typed_flow(s: SparkSession, d: str, forward, targets: DataFrame | None = None, width: int | None = None, store: StageStore | None = None) -> DataFrame:
+    """(ntype, id, x) of a traced function over the typed graph, each relation and type in tables of its own; with targets, of parts only. width projects the features first."""
+    store = store or StageStore(s)
+    e, n = tables.typed_edges(s, d), tables.typed_nodes(s, d)
+    types = sorted(tables.NODE_TABLES)
+    traced = trace.trace_typed(forward, _RELATIONS, width or WIDTH, "part" if targets is not None else None)
+    own = lambda t: n.where(F.col("ntype") == t).select("id", (D.linear("x", D.weights(50, WIDTH, width) / 16) if width else F.col("x")).alias("x"))
+    x = dict(zip(types, store.put_all([(own(t).repartition(store.buckets, "id"), f"features {t}", "id") for t in types]), strict=True))
+    g = dataflow.stored_graph({r: graph.relation(e, *r) for r in _RELATIONS}, x, store)
+    read = {traced.sources[t]: x[t] for t in types if traced.sources[t] in traced.flow.level}
+    found = traced.flow.run(g, read, store, None if targets is None else {"part": targets})
+    out = None
+    for t, table in zip(["part"] if targets is not None else types, found, strict=True):
+        one = table.select(F.lit(t).alias("ntype"), "id", "x")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _loops(q: Sql) -> str:
     return q.add("loops", "SELECT src, dst FROM bi UNION ALL SELECT id, id FROM ids")
 
@@ -446,7 +474,7 @@ def _sage_sql(q: Sql) -> str:
 
 @query(_sql(_sage_sql))
 def sage_2layer(s, d):
-    return _run(s, d, models.sage([WIDTH, 16, 8]))
+    return _long(_flow(s, d, trace.trace(forwards.sage([WIDTH, 16, 8]), WIDTH))[0])
 
 
 def _gat_sql(q: Sql) -> str:
@@ -470,6 +498,56 @@ def gat_2layer(s, d):
     return _run(s, d, models.gat(WIDTH, 4, 2), loops=True)
 
 
+@query(_sql(lambda q: (_loops(q), _gat_sql(q))[-1]))
+def traced_gat(s, d):
+    """The same model, from a plain forward function with edge frames."""
+    return _long(_flow(s, d, trace.trace(forwards.gat(2, 4), WIDTH), loops=True)[0])
+
+
+def _attention_sql(q: Sql) -> str:
+    l, r = (q.linear("x", k, 2) for k in (11, 12))
+    s = q.new(f"SELECT src, dst, l.i, (CASE WHEN l.v + r.v >= 0 THEN l.v + r.v ELSE (l.v + r.v) * 0.2::DOUBLE END) / 16.0 AS s FROM bi JOIN {l} l ON l.id = src JOIN {r} r ON r.id = dst AND r.i = l.i")
+    x = q.new(f"SELECT *, exp(s - max(s) OVER (PARTITION BY dst, i)) AS e FROM {s}")
+    return q.new(f"SELECT src, dst, i, e / sum(e) OVER (PARTITION BY dst, i) AS v FROM {x}")
+
+
+def _attention(g: trace.GraphProxy, x: trace.Value) -> trace.Value:
+    """Two heads of scores for each edge: apply_edges, a function of the edge's value, softmax."""
+    g.srcdata["l"], g.dstdata["r"] = trace.linear(x, D.weights(11, WIDTH, 2)), trace.linear(x, D.weights(12, WIDTH, 2))
+    g.apply_edges(trace.u_add_v("l", "r", "e"))
+    return trace.edge_softmax(g, trace.leaky_relu(g.edata.pop("e"), 0.2) / 16.0)
+
+
+@query(_sql(lambda q: q.long(_attention_sql(q), "src, dst")))
+def edge_attention(s, d):
+    """An output that is a value of edges."""
+    return _long(_flow(s, d, trace.trace(_attention, WIDTH))[0], "src", "dst")
+
+
+def _smoothed_sql(q: Sql) -> str:
+    a, t = _attention_sql(q), q.linear("x", 13, 4)
+    for _ in range(2):
+        t = q.new(f"SELECT dst AS id, t.i, sum(t.v * a.v) AS v FROM {a} a JOIN {t} t ON t.id = src AND t.i // 2 = a.i GROUP BY dst, t.i")
+        t = q.fill(t, "(SELECT i FROM range(4) r(i))")
+    return q.long(t)
+
+
+@query(_sql(_smoothed_sql))
+def edge_state_two_rounds(s, d):
+    """Edge values made once and read by two stages."""
+
+    def forward(g, x):
+        a = _attention(g, x).view(trace.ROWS, 2, 1)
+        h = trace.linear(x, D.weights(13, WIDTH, 4)).view(trace.ROWS, 2, 2)
+        for _ in range(2):
+            g.srcdata["h"], g.edata["a"] = h, a
+            g.update_all(trace.u_mul_e("h", "a", "m"), trace.sum_("m", "h"))
+            h = g.dstdata["h"]
+        return h
+
+    return _long(_flow(s, d, trace.trace(forward, WIDTH))[0])
+
+
 def _jk_sql(q: Sql) -> str:
     a = q.relu(q.linear(q.conv("x", "bi"), 0, 8, bias=0))
     b = q.relu(q.linear(q.conv(a, "bi"), 1, 8, bias=1))
@@ -477,11 +555,23 @@ def _jk_sql(q: Sql) -> str:
     return q.long(q.linear(q.reduce(j, "sum", "bi"), 9, 6, bias=9))
 
 
+def _jk_max_sql(q: Sql) -> str:
+    a = q.relu(q.linear(q.conv("x", "bi"), 0, 8, bias=0))
+    b = q.relu(q.linear(q.conv(a, "bi"), 1, 8, bias=1))
+    j = q.new(f"SELECT id, i, max(v) AS v FROM (SELECT * FROM {a} UNION ALL SELECT * FROM {b}) GROUP BY id, i")
+    return q.long(q.linear(q.reduce(j, "sum", "bi"), 9, 6, bias=9))
+
+
 @query(_sql(_jk_sql))
 def jknet(s, d):
     return _run(s, d, models.jknet(WIDTH, 8, 6))
 
 
+@query(_sql(lambda q: _jk_max_sql(q)))
+def jknet_max(s, d):
+    return _long(_flow(s, d, trace.trace(forwards.jknet(8, 6, mode="max"), WIDTH))[0])
+
+
 def _sum_net_sql(q: Sql) -> str:
     a = q.relu(q.linear(q.conv("x", "bi"), 0, 8))
     b = q.relu(q.linear(q.conv(a, "bi"), 1, 8))
@@ -493,6 +583,12 @@ def sum_net(s, d):
     return _run(s, d, models.sum_net([WIDTH, 8, 8, 8]))
 
 
+@query(_sql(_sum_net_sql))
+def traced_sum_net(s, d):
+    """The same net, from a function over blocks with slices of the destinations' rows."""
+    return _long(_flow(s, d, trace.trace(forwards.sum_net([WIDTH, 8, 8, 8]), WIDTH))[0])
+
+
 def _branching_sql(q: Sql) -> str:
     conv = lambda k, t: q.linear(q.conv(t, "bi"), k, 8, by=64.0)
     x1 = conv(1, q.linear("x", 0, 8, by=256.0))
@@ -509,6 +605,11 @@ def branching_net(s, d):
     return _run(s, d, models.branching_net(WIDTH, 8))
 
 
+@query(_sql(_branching_sql))
+def traced_branching_net(s, d):
+    return _long(_flow(s, d, trace.trace(forwards.branching_net(8), WIDTH))[0])
+
+
 _RELATIONS = [("customer", "places", "order"), ("order", "contains", "part"), ("supplier", "supplies", "part")]
 
 
@@ -528,14 +629,20 @@ def _rgcn_sql(q: Sql, layers: int) -> str:
 
 @query(_sql(lambda q: _rgcn_sql(q, 2)))
 def rgcn_2layer(s, d):
+    return _long(_typed_flow(s, d, forwards.rgcn([WIDTH, 8, 8])), "ntype", "id")
+
+
+@query(_sql(lambda q: _rgcn_sql(q, 2)))
+def rgcn_typed_layers(s, d):
+    """The same model as a list of layers over one edge table and one node table."""
     return _long(typed.run(models.rgcn(_RELATIONS, [WIDTH, 8, 8]), tables.typed_edges(s, d), tables.typed_nodes(s, d)), "ntype", "id")
 
 
 @query(_sql(lambda q: _rgcn_sql(q, 2) + " WHERE ntype = 'part' AND id IN (SELECT p_partkey FROM part WHERE p_size = 1)"))
 def rgcn_targets(s, d):
     """The two-layer model for stated parts only: each layer runs over the nodes that the later ones need."""
-    targets = tables.table(s, d, "part").where("p_size = 1").select(F.lit("part").alias("ntype"), F.col("p_partkey").alias("id"))
-    return _long(typed.run(models.rgcn(_RELATIONS, [WIDTH, 8, 8]), tables.typed_edges(s, d), tables.typed_nodes(s, d), targets), "ntype", "id")
+    targets = tables.table(s, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("id"))
+    return _long(_typed_flow(s, d, forwards.rgcn([WIDTH, 8, 8]), targets), "ntype", "id")
 
 
 def _rgcn_basis_sql(q: Sql) -> str:
@@ -552,7 +659,7 @@ def _rgcn_basis_sql(q: Sql) -> str:
 
 @query(_sql(_rgcn_basis_sql))
 def rgcn_basis_layer(s, d):
-    return _long(models.rgcn_basis_layer(tables.typed_edges(s, d), tables.typed_nodes(s, d), _RELATIONS, WIDTH, 8, 2), "ntype", "id")
+    return _long(_typed_flow(s, d, forwards.rgcn_basis(8, 2)), "ntype", "id")
 
 
 def _hgt_sql(q: Sql, layers: int = 1) -> str:
@@ -592,10 +699,9 @@ def _hgt_layer_sql(q: Sql, hidden: str, at: int) -> str:
     return q.new(" UNION ALL ".join(done))
 
 
-def _hgt(s: SparkSession, d: str, layers: int) -> DataFrame:
+def _hgt(s: SparkSession, d: str, layers: int, **options) -> DataFrame:
     """The features are projected to the hidden width first."""
-    hidden = tables.typed_nodes(s, d).select("ntype", "id", D.linear("x", D.weights(50, WIDTH, 8) / 16).alias("x"))
-    return _long(typed.run(models.hgt(_RELATIONS, 8, 2, layers), tables.typed_edges(s, d), hidden), "ntype", "id")
+    return _long(_typed_flow(s, d, forwards.hgt(8, 2, layers, **options), width=8), "ntype", "id")
 
 
 @query(_sql(_hgt_sql))
@@ -611,10 +717,8 @@ def hgt_2layer(s, d):
 @query(_sql(lambda q: (a := q.relu(q.plus(q.linear("x", 0, 16, bias=0), q.reduce(q.linear("x", 1, 16), "avg", "bi"))), b := q.plus(q.linear(a, 2, 8, bias=1), q.reduce(q.linear(a, 3, 8), "avg", "bi")), q.text(f"SELECT id, i::INTEGER AS i, round(v + {SHIFT}, 6) + 0.0 AS v FROM {b} WHERE id IN (SELECT p_partkey FROM part WHERE p_size = 1)"))[-1]))
 def sage_targets(s, d):
     """The two-layer model for stated target nodes only: each layer runs over the nodes that the later ones need."""
-    plan, start = models.sage([WIDTH, 16, 8])
-    nodes = L.durable(tables.nodes(s, d, WIDTH).select("id", "x"))
-    g = L.Graph(L.durable(_bi(s, d)), nodes.select("id"))
-    return _long(plan.run(g, {start: nodes}, targets=tables.table(s, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("id")))[0])
+    targets = tables.table(s, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("id"))
+    return _long(_flow(s, d, trace.trace(forwards.sage([WIDTH, 16, 8]), WIDTH), targets=targets)[0])
 
 
 @query(_sql(lambda q: (q.add("f", "SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY md5('0:' || src || ':' || dst), src) AS k FROM bi) WHERE k <= 10"), q.long(q.plus(q.linear("x", 0, 8, bias=0), q.reduce(q.linear("x", 1, 8), "avg", "f"))))[-1]))
@@ -624,6 +728,25 @@ def sage_fanout(s, d):
     return _long(plan.run(L.Graph(graph.fan_out(_bi(s, d), 10), nodes.select("id")), {start: nodes}, keep=None)[0])
 
 
+@query(_sql(lambda q: (q.typed(), q.text("""SELECT 'edges ' || etype AS name, count(*) AS rows FROM tedges GROUP BY etype UNION ALL SELECT 'features ' || ntype, count(*) FROM tids GROUP BY ntype
+    UNION ALL SELECT 'order h', count(*) * 2 FROM tids WHERE ntype = 'order' UNION ALL SELECT 'edges weighed', sum(src % 7)::BIGINT FROM tedges WHERE etype = 'supplies'"""))[-1]))
+def stage_measures(s, d):
+    """What the stages of the typed model wrote, as observed while they ran: rows by table, and a counter of its own."""
+    supplies = ("supplier", "supplies", "part")
+    store = StageStore(s, counters={f"edges {supplies} by src": {"weighed": F.sum(F.col("src") % 7)}})
+    _typed_flow(s, d, forwards.rgcn([WIDTH, 8, 8]), store=store)
+    found = []
+    for m in store.measures:
+        if m["name"].startswith("edges"):
+            found.append((f"edges {m['name'].split(', ')[1][1:-1]}" if "'" in m["name"] else m["name"], m["rows"]))
+        elif m["name"].startswith("features"):
+            found.append((m["name"], m["rows"]))
+    orders = next(m["rows"] for m in store.measures if m["name"] == "features order")
+    layers = [m["rows"] for m in store.measures if m["rows"] == orders and not m["name"].startswith(("features", "edges"))]
+    found += [("order h", sum(layers)), ("edges weighed", next(m["weighed"] for m in store.measures if "weighed" in m))]
+    return s.createDataFrame(found, "name string, rows long")
+
+
 @query("SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS start, event_type AS dst, count(user_id) AS degree, round(sum(value), 4) AS weight FROM events GROUP BY ALL")
 def windowed_degree(s, d):
     return degrees.windowed_degrees(tables.table(s, d, "events")).withColumn("weight", F.round("weight", 4))

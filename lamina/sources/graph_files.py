@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.durable import read_bucketed, write_bucketed
 from ..operators.order import with_position
 
 
@@ -76,3 +77,19 @@ def read_csc(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     if least:
         raise ValueError(f"the first edge has number {least}, not 0")
     return index, spark.read.parquet(f"{path}/adjacency")
+
+
+def write_bucketed_graph(edges: DataFrame, nodes: DataFrame, path: str, buckets: int) -> None:
+    """Edges (src, dst, ...) once in buckets of src and once in buckets of dst, and nodes (id, ...) in buckets of id: layers over them exchange neither edges nor node rows.
+
+    The number of buckets is kept beside them. It should let a bucket of edges fit a task's memory several times over.
+    """
+    for name, df, key in (("by_src", edges, "src"), ("by_dst", edges, "dst"), ("nodes", nodes, "id")):
+        write_bucketed(df.repartition(buckets, key), f"{path}/{name}", key, buckets)
+    edges.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.json(f"{path}/layout")
+
+
+def read_bucketed_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges by src, edges by dst, nodes) of write_bucketed_graph(), from any session."""
+    buckets = int(spark.read.json(f"{path}/layout").first().buckets)
+    return tuple(read_bucketed(spark, f"{path}/{name}", key, buckets) for name, key in (("by_src", "src"), ("by_dst", "dst"), ("nodes", "id")))
