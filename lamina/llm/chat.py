@@ -27,7 +27,6 @@ CONTROLS = (START, MIDDLE, END, "<s>", "[INST]", "<<SYS>>", "<</SYS>>", "<|im_st
 _CONTROL = re.compile("|".join(re.escape(c) for c in sorted(CONTROLS, key=len, reverse=True)))
 
 
-@functools.lru_cache(2048)  # prefixes render the same turns again and again
 def escape(text: str) -> str:
     """Doubles backslashes and puts one behind the first character of each control string; unescape() takes them away."""
     text = text.replace("\\", "\\\\")
@@ -40,9 +39,9 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
-def inst_template(turns: list[Turn]) -> str:
+def inst_template(turns: list[Turn], escaped: Callable[[str], str] = escape) -> str:
     """<s>[INST]role[/INST]text</s> for each turn, with role and text escaped."""
-    return "".join(f"{START}{escape(role)}{MIDDLE}{escape(text)}{END}" for role, text in turns)
+    return "".join(f"{START}{escaped(role)}{MIDDLE}{escaped(text)}{END}" for role, text in turns)
 
 
 def parse_inst(formatted: str) -> list[Turn]:
@@ -117,12 +116,16 @@ def format_conversations(conversations: DataFrame, template: Template = inst_tem
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     gathered = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
+    cached = template is inst_template
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.list_(pa.int64()))
         for batch in batches:
             rows = []
             for turns in batch.column("turns").to_pylist():
-                done = render_incrementally([(t["role"], t["text"]) for t in turns], template)
+                # Prefixes render the same turns again and again: what is escaped is kept as long as its conversation.
+                render = functools.partial(template, escaped=functools.cache(escape)) if cached else template
+                done = render_incrementally([(t["role"], t["text"]) for t in turns], render)
                 loss = [s for s, t in zip(done.text_spans, turns, strict=True) if t["role"] == "assistant"]
                 rows.append((done.text, done.turn_spans, done.text_spans, loss, done.rewrites))
             cols = list(zip(*rows, strict=True)) or [()] * 5

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,15 @@ def by_position(df: DataFrame, drop: list[str]) -> tuple[DataFrame, list[str]]:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[c for c, _ in own]), [c for _, c in own]
 
 
+def by_value(spark: SparkSession, value):
+    """A broadcast of a value whose class executors needn't have; received() gives it back."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent):
+    return pickle.loads(sent.value)
+
+
 def row_hash(text: Column) -> Column:
     """Tells rows that share a doc_id apart; null and empty text differ."""
     return F.xxhash64(F.coalesce(text, F.lit("\u0000null")), F.lit(7))

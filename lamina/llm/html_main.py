@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 
 #: Lines in a window, and the share of the page's highest window sum that a region's highest must have.
 WINDOW, SHARE = 3, 0.1
+#: A region with a window of so many characters is kept whatever its share.
+PASSAGE = 60
 
 # Element names and class words of HTML.
 _RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -35,12 +37,13 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _WORDS = frozenset(
     """ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs
     header masthead footer sidebar aside related share sharing social cookie cookies consent notice notices gdpr popup modal overlay
-    newsletter subscribe subscription signup login search comment comments disqus respond replies pagination pager toolbar widget""".split()
+    newsletter subscribe subscription signup login search comment comments commentlist reactions disqus respond replies pagination pager toolbar widget""".split()
 )
 #: Words that stand beside those without changing what they say.
 _BESIDE = frozenset(
     """site page global top bottom main primary secondary left right box area list wrap wrapper bar block container section link links
-    panel inner outer item items slot unit zone content text body group row col column form buttons posts stories icons media""".split()
+    panel inner outer item items slot unit zone content text body group row col column form buttons posts stories icons media
+    reader readers user users post thread""".split()
 )
 
 _OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)")
@@ -52,7 +55,7 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in _RAW}
 def _says_aside(value: str) -> bool:
     """A class or id of which some word, taken whole, names what is no main text: 'cookie-notice' or 'site-header', but not 'related-work'."""
     for token in value.lower().split():
-        words = [w for w in re.split(r"[^a-z]+", token) if w]
+        words = [w for w in re.split(r"[^a-z]+", token) if len(w) > 1]
         if not _WORDS.isdisjoint(words) and all(w in _WORDS or w in _BESIDE for w in words):
             return True
     return False
@@ -267,7 +270,7 @@ def regions(sums: list[int]) -> list[tuple[int, int]]:
 def main_lines(lines: list[Line]) -> list[str]:
     weights = weights_of(lines)
     sums = window_sums(weights)
-    least = SHARE * max(sums, default=0)
+    least = min(PASSAGE, SHARE * max(sums, default=0))
     chosen = [(a, b) for a, b in regions(sums) if max(sums[a:b]) >= least]
     # An article of which one region is chosen is main text as a whole: an advert inside it doesn't part it.
     whole = {lines[k].article for a, b in chosen for k in range(a, b) if weights[k]} - {0}

@@ -13,6 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_position
+
 SEED = 1729
 #: Target share of a source is its size to this power, where no weights are given.
 TEMPERATURE = 0.5
@@ -57,21 +59,22 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature
 
     A null source is a source of its own; a null n_chars counts as size 0; a null doc_id draws by its text's md5.
     Rows that repeat a doc_id draw the same count. Empty docs give no rows; weights that sum to zero give rate 0.
-    Columns replica and mix_key of docs are replaced.
+    Columns replica and mix_key of docs are replaced, others may have any name.
     """
-    own = [c for c in docs.columns if c not in ("replica", "mix_key")]
+    named, own = by_position(docs, ["replica", "mix_key"])
+    at = {c: F.col(named.columns[own.index(c)]) for c in ("doc_id", "source", "text") if c in own}
     rated = with_cdf(rates(docs, weights, temperature, volume)).select(F.col("source").alias("_source"), "draws", "cdf")
     if rated.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rated = F.broadcast(rated)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))) if "text" in own else F.col("doc_id").cast("string")
-    joined = docs.select(*own, key.alias("_key")).join(rated, F.col("source").eqNullSafe(F.col("_source")))
+    key = F.coalesce(at["doc_id"].cast("string"), F.md5(F.coalesce(at["text"], F.lit("")))) if "text" in own else at["doc_id"].cast("string")
+    joined = named.select("*", key.alias("_key")).join(rated, at["source"].eqNullSafe(F.col("_source")))
     # The number is an array of one first, so that it is computed once for each draw and not for each entry of the cdf.
     draw = lambda j: F.transform(F.array(unit(F.lit(str(seed)), "_key", j.cast("string"))), lambda u: F.size(F.filter("cdf", lambda c: c <= u)))[0]
     drawn = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda a, j: a + draw(j))
     counted = joined.withColumn("_n", drawn).where("_n > 0")
-    copies = counted.select(*own, "_key", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("replica"))
+    copies = counted.select(*named.columns, "_key", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("replica"))
     mix_key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"order{seed}"), "_key", F.col("replica").cast("string"))), 1, 15), 16, 10).cast("long")
-    return copies.withColumn("mix_key", mix_key).drop("_key").repartition("mix_key").sortWithinPartitions("mix_key")
+    return copies.withColumn("mix_key", mix_key).drop("_key").repartition("mix_key").sortWithinPartitions("mix_key").toDF(*own, "replica", "mix_key")
 
 
 ORACLE = f"""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import by_value, pieces, received
 
 BITS = 16
 #: Hashed buckets, then the share of words that repeat the word before them.
@@ -131,10 +131,10 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """
     new = ["grade_score", "expected_grade", "tail_probs", "tail_prob"]
     frame = docs.select(*[c for c in docs.columns if c not in new])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = by_value(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = received(sent)
         for batch in batches:
             scores = np.zeros(batch.num_rows)
             for i, text in enumerate(batch.column("text").to_pylist()):

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_position, by_value, received
+
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
@@ -118,17 +120,18 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, model
     names are replaced. Repeated rows stay and are judged alike.
     """
     new = ["host", "path", "rule", "url_words", "url_score", "verdict"]
-    own = [c for c in pages.columns if c not in new]
-    host, path = host_and_path(F.col("url"))
-    frame = pages.select(*own, host.alias("host"), path.alias("path"))
+    named, own = by_position(pages, new)
+    url = F.col(named.columns[own.index("url")])
+    host, path = host_and_path(url)
+    frame = named.select("*", host.alias("host"), path.alias("path"))
     fits = [F.when(((F.col("host") == h) | F.col("host").endswith(f".{h}")) & F.col("path").startswith(p), F.struct(F.lit(len(h) + len(p)).alias("n"), F.lit(h + p).alias("rule"), F.lit(v).alias("says"))) for h, p, v in rules]
     best = F.array_max(F.filter(F.array(*fits), lambda x: x.isNotNull())) if fits else F.lit(None).cast("struct<n:int,rule:string,says:string>")
-    frame = frame.withColumn("_fit", best).select(*own, "host", "path", F.col("_fit.rule").alias("rule"), F.col("_fit.says").alias("_says"))
+    frame = frame.withColumn("fit", best).select(*named.columns, "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.says").alias("says"))
     m = model or UrlModel({r.word: r.hosts for r in word_counts(pages).collect()})  # VOCABULARY words at most
-    sent = pages.sparkSession.sparkContext.broadcast(m)
+    sent = by_value(pages.sparkSession, m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = received(sent)
         known: dict[str, list[str]] = {}
         for batch in batches:
             words = []
@@ -141,7 +144,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, model
             scores = pa.array([m.score(w) for w in words], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.list_(pa.string())), scores], names=[*batch.schema.names, "url_words", "url_score"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema.fields)
     scored = frame.mapInArrow(run, f"{kept}, url_words array<string>, url_score double")
-    verdict = F.coalesce("_says", F.when(F.col("url_score") > 0, "block").otherwise("allow"))
-    return scored.withColumn("verdict", verdict).select(*own, *new)
+    verdict = F.coalesce("says", F.when(F.col("url_score") > 0, "block").otherwise("allow"))
+    return scored.withColumn("verdict", verdict).select(*named.columns, *new).toDF(*own, *new)

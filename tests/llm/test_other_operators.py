@@ -229,3 +229,14 @@ def test_rules(spark):
     assert got[urls[6]].host == "" and got[None].host == "" and got[None].verdict == "allow"
     assert got[urls[9]].verdict == "block" and got[urls[10]].rule == "com/" and got[urls[11]].rule == "com/"
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+@pytest.mark.parametrize("box", ["div class='reader-comments'", "div class='post-comments'", "ol class='commentlist'", "section class='reactions'", "div class='comment-thread'", "div class='advert-300x250'"])
+def test_comment_and_advert_boxes_by_parts_of_names(box):
+    page = f"<article><p>{'text ' * 60}</p><{box}><p>{'me too ' * 20}</p></{box.split()[0]}><p>the end</p></article>"
+    assert html_main.main_text(page) == f"{('text ' * 60).strip()}\nthe end"
+
+
+def test_a_short_section_behind_an_advert_stays():
+    page = f"<body><p>{'long ' * 600}</p><div class=ad><p>1<p>2<p>3<p>4</div><p>{'end ' * 30}</p></body>"
+    assert html_main.main_text(page).endswith(("end " * 30).strip())
