@@ -35,8 +35,8 @@ ORDERED = 5
 BUCKETS = 64
 #: Members of a list, and sets and elements of a component, that are compared in one task against as many others.
 LIST_TILE, TILE_SETS, TILE_ELEMENTS = 2048, 2048, 1 << 20
-#: Tables of at most so many rows of a few numbers are broadcast.
-BROADCAST_ROWS = 100_000
+#: Tables of at most so many rows of a few numbers are broadcast: cuts of components, and the ids of sets whose texts are fetched (some 100 MB); more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_IDS = 100_000, 1_000_000
 _WORDS = 1 << 19
 
 
@@ -258,6 +258,7 @@ def verified(links: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, p
     large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
     wanted = members.join(large, "cluster", "left").select("sid", "key", "doc_id", "cluster", F.coalesce("cuts", F.lit(1)).alias("cuts"))
     wanted = stored(wanted, "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
