@@ -54,22 +54,87 @@ def by_in_degree(degrees: DataFrame) -> DataFrame:
     return with_position(degrees.select("id", "degree"), ["degree", "id"])
 
 
+def _roots(both: DataFrame, degree: DataFrame) -> DataFrame:
+    """(id, root struct(degree, root)): the node of least (degree, id) that each node reaches. In each round only nodes that changed in the last one offer."""
+    state = changed = durable(degree.select("id", F.struct(F.col("degree"), F.col("id").alias("root")).alias("root")))
+    while True:  # as many rounds as the longest distance from a root
+        offered = both.join(changed, both["src"] == changed["id"]).groupBy(F.col("dst").alias("id")).agg(F.min("root").alias("offer"))
+        better = durable(offered.join(state, "id").where("offer < root").select("id", F.col("offer").alias("root")))
+        if better.isEmpty():
+            return state
+        state = durable(state.join(better.select("id", F.col("root").alias("new")), "id", "left").select("id", F.coalesce("new", "root").alias("root")))
+        changed = better
+
+
 def cuthill_mckee(edges: DataFrame, nodes: DataFrame, reverse: bool = True) -> DataFrame:
-    """(id, level, pos): breadth-first levels from the node of least degree in each component, by level, degree and id, reversed on request.
+    """(id, level, pos): the Cuthill-McKee order, reversed on request.
 
-    Levels grow by one join a round. Within a level nodes go by degree and id, where the sequential method goes by
-    parent; bandwidths are alike, but the order isn't the same.
+    Components go by their root, the node of least degree, then id. From a root nodes are taken in breadth-first order; the neighbours of a node that aren't taken
+    yet follow by degree and id. So within a level nodes go by the first of their neighbours in the level before, then by
+    degree and id; each level is one round over its own edges only. Repeated edges, loops and directions don't count.
     """
     both = durable(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct())
     degree = durable(nodes.select("id").join(both.groupBy(F.col("src").alias("id")).count(), "id", "left").select("id", F.coalesce("count", F.lit(0)).alias("degree")))
-    # A node's root is the least (degree, id) it can reach; its level the distance to it.
-    state = degree.select("id", F.struct(F.col("degree"), F.col("id").alias("root"), F.lit(0).alias("level")).alias("best"))
-    while True:  # as many rounds as the longest distance from a root
-        offered = both.join(state, both["src"] == state["id"]).select(F.col("dst").alias("id"), F.struct(F.col("best.degree").alias("degree"), F.col("best.root").alias("root"), (F.col("best.level") + 1).alias("level")).alias("best"))
-        after = durable(state.unionByName(offered).groupBy("id").agg(F.min("best").alias("best")))
-        if after.join(state.withColumnRenamed("best", "was"), "id").where("best != was").isEmpty():
-            break
+    root = _roots(both, degree)
+    kept = ["id", "degree", "root"]
+    known = degree.join(root, "id").select(*kept)
+    before = known.limit(0).select("id")
+    level = durable(with_position(known.where("root.root = id"), ["root"], "rank").select(*kept, "rank"))
+    levels, n = [], 0
+    while not level.isEmpty():
+        levels.append(level.select("id", "root", F.lit(n).alias("level"), "rank"))
+        # Neighbours of a level are in it, in the one before or in the next one.
+        reached = both.join(level.select(F.col("id").alias("src"), F.col("rank").alias("parent")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("parent").alias("parent"))
+        fresh = reached.join(level.select("id").unionByName(before), "id", "left_anti").join(known, "id")
+        before, n = level.select("id"), n + 1
+        level = durable(with_position(fresh, ["parent", "degree", "id"], "rank").select(*kept, "rank"))
+    out = known.limit(0).select("id", "root", F.lit(0).alias("level"), F.lit(0).cast("long").alias("rank"))
+    while levels:  # joined in pairs, so that the plan stays flat
+        out = out.unionByName(levels.pop())
+        if len(levels) % 50 == 49:
+            out = durable(out)
+    by = ["root", "level", "rank"]
+    return with_position(out, [F.desc(c) for c in by] if reverse else by).select("id", "level", "pos")
+
+
+def balanced_parts(edges: DataFrame, nodes: DataFrame, parts: int, slack: float = 0.1, rounds: int = 10) -> DataFrame:
+    """(id, part): a partition of nodes into parts of at most ceil((1 + slack) * n / parts) nodes each that cuts few edges, by label propagation under a size bound.
+
+    Nodes start in equal ranges of their ids' hashes. In a round each node asks for the part that most of its neighbours are in, if that is more than are in its own (ties
+    to the smallest part). Of those that ask for a part, the ones with the greatest gain, then least hash and id, are let in, as many as the part has room for at the
+    start of the round, so the bound always holds. Only every other node asks in a round, by a hash, lest neighbours swap for ever. Repeated edges count as often as they stand; directions
+    and loops don't. Rounds end early when nobody moves in two of them.
+    """
+    n = nodes.count()
+    most = -(-int((1 + slack) * n) // parts) if n else 0
+    both = durable(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")))
+    state = durable(by_hash(nodes).select("id", F.floor(F.col("pos") * parts / max(n, 1)).cast("int").alias("part")))
+    still = 0
+    for k in range(rounds):
+        weight = both.join(state.select(F.col("id").alias("dst"), "part"), "dst").groupBy(F.col("src").alias("id"), "part").agg(F.sum("w").alias("w"))
+        own = weight.join(state, ["id", "part"]).select("id", F.col("w").alias("own"))
+        best = weight.groupBy("id").agg(F.max(F.struct("w", (-F.col("part")).alias("part"))).alias("best")).select("id", F.col("best.w").alias("w"), (-F.col("best.part")).alias("to"))
+        asks = best.join(own, "id", "left").withColumn("gain", F.col("w") - F.coalesce("own", F.lit(0))).where((F.col("gain") > 0) & (F.pmod(F.xxhash64("id", F.lit(k // 2)), F.lit(2)) == F.lit(k % 2)))
+        room = {r.part: most - r.c for r in state.groupBy("part").agg(F.count(F.lit(1)).alias("c")).collect()}  # parts rows
+        free = F.create_map(*[F.lit(x) for p in range(parts) for x in (p, room.get(p, most))])
+        ranked = with_position(asks.select("id", "to", "gain", F.xxhash64("id").alias("h")), ["to", F.desc("gain"), "h", "id"], "at")
+        first = {r.to: r.at for r in ranked.groupBy("to").agg(F.min("at").alias("at")).collect()}  # parts rows
+        if not first:
+            still += 1
+            if still == 2:
+                break
+            continue
+        start = F.create_map(*[F.lit(x) for p, at in first.items() for x in (p, at)])
+        moved = ranked.where(F.col("at") - start[F.col("to")] < free[F.col("to")]).select("id", "to")
+        after = durable(state.join(moved, "id", "left").select("id", F.coalesce("to", "part").alias("part")))
+        still = still + 1 if moved.isEmpty() else 0
         state = after
-    ranked = state.join(degree, "id").select("id", F.col("best.degree").alias("_d"), F.col("best.root").alias("_root"), F.col("best.level").alias("level"), "degree")
-    order = ["_d", "_root", "level", "degree", "id"]
-    return with_position(ranked, [F.desc(c) for c in order] if reverse else order).select("id", "level", "pos")
+        if still == 2:
+            break
+    return state
+
+
+def edge_cut(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row: cut (edges between parts, loops left out) and edges."""
+    ends = edges.where("src != dst").join(parts.select(F.col("id").alias("src"), F.col("part").alias("p")), "src").join(parts.select(F.col("id").alias("dst"), F.col("part").alias("q")), "dst")
+    return ends.agg(F.count(F.when(F.col("p") != F.col("q"), 1)).alias("cut"), F.count(F.lit(1)).alias("edges"))

@@ -126,6 +126,12 @@ def cuthill_mckee_order(s, d):
     return order.cuthill_mckee(tables.edges(s, d), tables.node_ids(s, d))
 
 
+@query()
+def balanced_parts(s, d):
+    """Five parts of the undirected graph, none above a tenth more than its share."""
+    return order.balanced_parts(_bi(s, d), tables.node_ids(s, d), 5)
+
+
 @query(_sql(lambda q: q.text(f"SELECT id, degree, (sum(degree) OVER (ORDER BY id))::BIGINT AS running FROM ({_IN_DEGREE})")))
 def degree_prefix_sum(s, d):
     return order.with_running_sum(in_degree(s, d), "degree", ["id"], "running")
