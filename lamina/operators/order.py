@@ -55,15 +55,28 @@ def by_in_degree(degrees: DataFrame) -> DataFrame:
 
 
 def _roots(both: DataFrame, degree: DataFrame) -> DataFrame:
-    """(id, root struct(degree, root)): the node of least (degree, id) that each node reaches. In each round only nodes that changed in the last one offer."""
-    state = changed = durable(degree.select("id", F.struct(F.col("degree"), F.col("id").alias("root")).alias("root")))
-    while True:  # as many rounds as the longest distance from a root
-        offered = both.join(changed, both["src"] == changed["id"]).groupBy(F.col("dst").alias("id")).agg(F.min("root").alias("offer"))
-        better = durable(offered.join(state, "id").where("offer < root").select("id", F.col("offer").alias("root")))
-        if better.isEmpty():
-            return state
-        state = durable(state.join(better.select("id", F.col("root").alias("new")), "id", "left").select("id", F.coalesce("new", "root").alias("root")))
-        changed = better
+    """(id, root struct(degree, root)): the node of least (degree, id) that each node reaches. In each round nodes take the least of their neighbours' roots and of that root's own: distances double."""
+    state = durable(degree.select("id", F.struct(F.col("degree"), F.col("id").alias("root")).alias("root")))
+    while True:
+        offered = both.join(state, both["src"] == state["id"]).select(F.col("dst").alias("id"), "root").unionByName(state).groupBy("id").agg(F.min("root").alias("root"))
+        further = state.select(F.col("id").alias("via"), F.col("root").alias("next"))
+        after = durable(offered.join(further, F.col("root.root") == F.col("via")).select("id", F.least("root", "next").alias("root")))
+        if after.join(state.withColumnRenamed("root", "was"), "id").where("root != was").isEmpty():
+            return after
+        state = after
+
+
+#: Levels of up to so many nodes are numbered in one task.
+SMALL_LEVEL = 100_000
+
+
+def _ranked(rows: DataFrame, by: list[str]) -> tuple[DataFrame, int]:
+    """(rows with rank from 0 by these columns, their number)."""
+    rows = durable(rows)
+    n = rows.count()
+    if n <= SMALL_LEVEL:
+        return rows.withColumn("rank", (F.row_number().over(Window.orderBy(*by)) - 1).cast("long")), n
+    return durable(with_position(rows, by, "rank")), n
 
 
 def cuthill_mckee(edges: DataFrame, nodes: DataFrame, reverse: bool = True) -> DataFrame:
@@ -77,17 +90,17 @@ def cuthill_mckee(edges: DataFrame, nodes: DataFrame, reverse: bool = True) -> D
     degree = durable(nodes.select("id").join(both.groupBy(F.col("src").alias("id")).count(), "id", "left").select("id", F.coalesce("count", F.lit(0)).alias("degree")))
     root = _roots(both, degree)
     kept = ["id", "degree", "root"]
-    known = degree.join(root, "id").select(*kept)
+    known = durable(degree.join(root, "id").select(*kept))
     before = known.limit(0).select("id")
-    level = durable(with_position(known.where("root.root = id"), ["root"], "rank").select(*kept, "rank"))
+    level, size = _ranked(known.where("root.root = id"), ["root"])
     levels, n = [], 0
-    while not level.isEmpty():
+    while size:
         levels.append(level.select("id", "root", F.lit(n).alias("level"), "rank"))
         # Neighbours of a level are in it, in the one before or in the next one.
         reached = both.join(level.select(F.col("id").alias("src"), F.col("rank").alias("parent")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("parent").alias("parent"))
         fresh = reached.join(level.select("id").unionByName(before), "id", "left_anti").join(known, "id")
         before, n = level.select("id"), n + 1
-        level = durable(with_position(fresh, ["parent", "degree", "id"], "rank").select(*kept, "rank"))
+        level, size = _ranked(fresh.select(*kept, "parent"), ["parent", "degree", "id"])
     out = known.limit(0).select("id", "root", F.lit(0).alias("level"), F.lit(0).cast("long").alias("rank"))
     while levels:  # joined in pairs, so that the plan stays flat
         out = out.unionByName(levels.pop())
