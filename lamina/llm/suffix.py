@@ -18,6 +18,7 @@ A hash only rules out; every removed string was compared byte by byte.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -34,12 +35,12 @@ LENGTH = 400
 MAX_WINDOW = 1024
 #: Text bytes handled by one vectorised step, and suffixes sorted into one run.
 PIECE, RUN = 1 << 19, 60_000
-#: Anchors of one range of the merge; one hash with more anchors is split by its left contexts.
+#: Anchors of one range of the merge; strings of a hash with more anchors are dealt by cells of their offsets.
 RANGE_ROWS = 40_000
 #: Splitters that the driver holds; beyond so many ranges each is parted by the hashes of the shared bytes.
 MAX_RANGES = 10_000
-#: Left bytes that tell the parts of a split hash apart.
-LEFT_KEY = 8
+#: Widths of the cells of offsets that a hot hash is cut into: the next width is for cells that hold too many different contexts. In cells of one offset equal keys are equal strings.
+CELLS = (64, 8, 1)
 _POS = np.uint64((1 << 24) - 1)
 
 
@@ -351,6 +352,54 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_h": row_hash(F.col("text"))})
 
 
+def _digest(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), signed=True)
+
+
+def _cut_to_cells(batches: Iterator[pa.RecordBatch], width: int, length: int) -> Iterator[pa.RecordBatch]:
+    names = ("id", "h", "pos", "lo", "hi", "deal", "context")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.int64())
+    packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+    rows = []
+    for batch in batches:
+        for doc, h, text, at in zip(*(batch.column(c) for c in ("_id", "_h", "text", "_at")), strict=True):
+            doc, h, data = doc.as_py(), h.as_py(), text.as_py().encode("utf-8", "surrogatepass")
+            for x in at.as_py():
+                p = x["pos"]
+                for first in range(x["lo"] // width * width, x["hi"] + 1, width):
+                    last = min(first + width - 1, length)
+                    lo, hi = max(x["lo"], first), min(x["hi"], last)
+                    deal = _digest(first.to_bytes(2), data[p - first : p + length - last])  # all strings of the cell hold these bytes
+                    rows.append((doc, h, p, lo, hi, deal, _digest(lo.to_bytes(2), hi.to_bytes(2), data[p - hi : p + length - lo])))
+                if len(rows) >= RUN:
+                    yield packed(rows)
+                    rows = []
+    if rows:
+        yield packed(rows)
+
+
+def dealt_cells(docs: DataFrame, hot: DataFrame, length: int) -> DataFrame:
+    """Anchors hot (id, h, pos, lo, hi) of docs, cut to cells of their offsets, each with deal and context.
+
+    Equal strings have the same offset, so the same cell, and equal bytes where all strings of the cell overlap: deal is a hash of these. No deal has more than RANGE_ROWS
+    different contexts, as cells with more are cut further, down to single strings. What surrounds a frequent passage thus parts its copies, and the passage itself is one context.
+    """
+    found, ready = hot, None
+    for width in CELLS:
+        listed = found.groupBy(F.col("id").alias("_of"), F.col("h").alias("_of_h")).agg(F.collect_set(F.struct("pos", "lo", "hi")).alias("_at"))
+        texts = docs.select("_id", "_h", "text").join(listed, (docs["_id"] == listed["_of"]) & (docs["_h"] == listed["_of_h"])).drop("_of", "_of_h")
+        cells = stored(texts.mapInArrow(functools.partial(_cut_to_cells, width=width, length=length), "id long, h long, pos long, lo short, hi short, deal long, context long"), "cells")
+        if width == CELLS[-1]:
+            return cells if ready is None else ready.unionByName(cells)
+        different = cells.groupBy("deal", "context").agg(F.lit(1).alias("one")).groupBy("deal").agg(F.count("one").alias("n"))
+        crowded = stored(different.where(F.col("n") > RANGE_ROWS).select("deal"), "crowded-cells")
+        fine = cells.join(crowded, "deal", "left_anti")
+        ready = fine if ready is None else ready.unionByName(fine)
+        if crowded.isEmpty():
+            return ready
+        found = cells.join(crowded, "deal", "left_semi")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs of keyed() -> (_id, _h, _spans array<struct<s,e>>) of those that hold repeated strings; byte spans, not yet merged."""
     spark = docs.sparkSession
@@ -368,22 +417,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = stored(docs.select("_id", "_h", "text").mapInArrow(find, "id long, h long, pos long, lo short, hi short, key long, head long"), "anchors")
     # Written first, so that the join below is of two plain exchanges and a key with very many anchors can be split.
     often = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "repeated-hashes")
-    cuts = F.when(F.col("times") > RANGE_ROWS, F.ceil(F.col("times") / RANGE_ROWS)).otherwise(1).cast("int")
-    kept = stored(found.join(often, "key").select("id", "h", "pos", "lo", "hi", "head", cuts.alias("cuts"), F.pmod("key", F.lit(1 << 30)).cast("int").alias("bits")), "candidates")
-    n = kept.count()
+    hot = F.col("times") > RANGE_ROWS
+    kept = stored(found.join(often, "key").select("id", "h", "pos", "lo", "hi", "head", hot.alias("hot"), F.pmod("key", F.lit(1 << 30)).cast("int").alias("bits")), "candidates")
+    n, any_hot = kept.agg(F.count(F.lit(1)), F.coalesce(F.max("hot"), F.lit(False))).first()
     ranges = min(MAX_RANGES, max(shuffle_partitions(spark), -(-n // RANGE_ROWS)))
     marks = kept.agg(F.percentile_approx("head", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] if n and ranges > 1 else None
     # A head of so many anchors that it is several marks is parted by hashes. Equal strings have equal hashes, and so stay together.
     splitters, times = np.unique(np.array(marks or [], np.int64), return_counts=True)
     shares = np.append(1, times) * max(1, -(-n // (ranges * RANGE_ROWS)))
 
-    listed = kept.groupBy(F.col("id").alias("_of"), F.col("h").alias("_of_h")).agg(F.collect_set(F.struct("pos", "lo", "hi", "cuts", "bits")).alias("_at"))
+    entries = kept.where("NOT hot").select("id", "h", "pos", "lo", "hi", "bits", F.lit(False).alias("hot"))
+    if any_hot:  # deals of hot hashes get numbers below zero, others stay above
+        cells = dealt_cells(docs, kept.where("hot").select("id", "h", "pos", "lo", "hi"), length)
+        entries = entries.unionByName(cells.select("id", "h", "pos", "lo", "hi", (F.lit(-1) - F.pmod("deal", F.lit((1 << 31) - 1))).cast("int").alias("bits"), F.lit(True).alias("hot")))
+    listed = entries.groupBy(F.col("id").alias("_of"), F.col("h").alias("_of_h")).agg(F.collect_set(F.struct("pos", "lo", "hi", "bits", "hot")).alias("_at"))
     # All columns go through, so that the exchange of docs is the same as that of the final join, and Spark makes it once.
     contexts = docs.join(listed.hint("shuffle_hash"), (docs["_id"] == listed["_of"]) & (docs["_h"] == listed["_of_h"]))
 
-    def dealt(data: bytes, parts: int) -> int:
-        return int.from_bytes(hashlib.blake2b(data, digest_size=7).digest()) % parts
-
     def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
         size = 0
@@ -401,20 +451,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for doc, h, text, at in zip(*(batch.column(c) for c in ("_id", "_h", "text", "_at")), strict=True):
                 doc, h, data = doc.as_py(), h.as_py(), text.as_py().encode("utf-8", "surrogatepass")
                 for x in at.as_py():
-                    p, lo, hi, cuts = x["pos"], x["lo"], x["hi"], x["cuts"]
+                    p, lo, hi = x["pos"], x["lo"], x["hi"]
                     right, left = data[p : p + length - lo], data[p - hi : p][::-1]
                     head = int.from_bytes(right[:8]) >> 1
                     target = int(np.searchsorted(splitters, head, side="right"))
                     share = int(shares[target])
-                    part = x["bits"] % share if share > 1 else 0
-                    if cuts == 1:
-                        held.setdefault((target, part), []).append((right, left, doc, h, p, lo, hi))
-                    else:  # a hot hash: strings of short offsets are dealt by the bytes that all of them have on the right, others by their left bytes
-                        if lo < LEFT_KEY:
-                            short = min(hi, LEFT_KEY - 1)
-                            held.setdefault((target, part + share * (1 + dealt(right[: length - LEFT_KEY + 1], cuts))), []).append((right, left[:short], doc, h, p, lo, short))
-                        if hi >= LEFT_KEY:
-                            held.setdefault((target, part + share * (1 + cuts + dealt(left[:LEFT_KEY], cuts))), []).append((right[: length - max(lo, LEFT_KEY)], left, doc, h, p, max(lo, LEFT_KEY), hi))
+                    part = x["bits"] if x["hot"] else x["bits"] % share if share > 1 else 0
+                    held.setdefault((target, part), []).append((right, left, doc, h, p, lo, hi))
                     size += 1
                     if size >= RUN:
                         yield out()

@@ -241,6 +241,22 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch, small, n):
     assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == brute_cut(rows, n)
 
 
+@pytest.mark.parametrize("n", [400, 450])
+def test_hot_passages_between_different_texts_make_no_large_group(spark, monkeypatch, n):
+    monkeypatch.setattr(suffix, "RANGE_ROWS", 60)
+    dealt, made = suffix.dealt_cells, []
+    monkeypatch.setattr(suffix, "dealt_cells", lambda *a: made.append(dealt(*a)) or made[-1])
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    hot = some(n)
+    rows = [(i, some(150) + hot + some(150)) for i in range(400)]
+    d = docs(spark, rows).repartition(8)
+    got = suffix.remove_repeats(d).select(F.col("doc_id").cast("string"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    assert sorted(map(tuple, got.collect())) == brute_cut(rows)
+    sizes = made[0].groupBy("deal").agg(F.countDistinct("context").alias("n"), F.count(F.lit(1)).alias("rows")).agg(F.max("n"), F.max("rows")).first()
+    assert sizes[0] <= 60 < 400 <= sizes[1]
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix.remove_repeats(docs(spark, [])).count() == 0
     text = suffix.remove_repeats(docs(spark, [(1, "é" * 250 + "x"), (2, "é" * 250 + "y")]), as_text=True)
