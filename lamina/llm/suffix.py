@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ PIECE, RUN = 1 << 19, 60_000
 RANGE_ROWS = 40_000
 #: Splitters that the driver holds; beyond so many ranges each is parted by the hashes of the shared bytes.
 MAX_RANGES = 10_000
+#: Hot hashes, and cells to be cut, are no more than this: their least size grows with the corpus. They are broadcast (8 MB).
+MOST_HOT = 1_000_000
 #: Widths of the cells of offsets that a hot hash is cut into: the next width is for cells that hold too many different contexts. In cells of one offset equal keys are equal strings.
 CELLS = (64, 8, 1)
 _POS = np.uint64((1 << 24) - 1)
@@ -356,48 +359,58 @@ def _digest(*parts: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), signed=True)
 
 
-def _cut_to_cells(batches: Iterator[pa.RecordBatch], width: int, length: int) -> Iterator[pa.RecordBatch]:
+def _cells(data: bytes, p: int, lo: int, hi: int, width: int, length: int) -> Iterator[tuple]:
+    """(lo, hi, deal) of each cell that holds offsets from lo to hi of the anchor at p. All strings of a cell hold the bytes that deal is a hash of."""
+    for first in range(lo // width * width, hi + 1, width):
+        last = min(first + width - 1, length)
+        yield max(lo, first), min(hi, last), _digest(first.to_bytes(2), data[p - first : p + length - last])
+
+
+def _hot_cells(batches: Iterator[pa.RecordBatch], hot: Broadcast, crowded: list[Broadcast], length: int) -> Iterator[pa.RecordBatch]:
+    """Cells of the anchors whose hash is hot; with crowded, the deals to be cut at each width so far, only what lies in these."""
     names = ("id", "h", "pos", "lo", "hi", "deal", "context")
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.int64())
     packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+    cut = [set(c.value.tolist()) for c in crowded]
     rows = []
     for batch in batches:
-        for doc, h, text, at in zip(*(batch.column(c) for c in ("_id", "_h", "text", "_at")), strict=True):
-            doc, h, data = doc.as_py(), h.as_py(), text.as_py().encode("utf-8", "surrogatepass")
-            for x in at.as_py():
-                p = x["pos"]
-                for first in range(x["lo"] // width * width, x["hi"] + 1, width):
-                    last = min(first + width - 1, length)
-                    lo, hi = max(x["lo"], first), min(x["hi"], last)
-                    deal = _digest(first.to_bytes(2), data[p - first : p + length - last])  # all strings of the cell hold these bytes
-                    rows.append((doc, h, p, lo, hi, deal, _digest(lo.to_bytes(2), hi.to_bytes(2), data[p - hi : p + length - lo])))
-                if len(rows) >= RUN:
-                    yield packed(rows)
-                    rows = []
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+        which, at, low, high, key, _ = text_anchors(texts, length)
+        for k in np.flatnonzero(np.isin(key.view(np.int64), hot.value)).tolist():
+            data, p = texts[which[k]], int(at[k])
+            found = [(p - int(high[k]), p - int(low[k]), 0)]
+            for width, within in zip(CELLS, [None, *cut]):
+                found = [cell for lo, hi, deal in found if within is None or deal in within for cell in _cells(data, p, lo, hi, width, length)]
+            doc, h = batch.column("_id")[which[k]].as_py(), batch.column("_h")[which[k]].as_py()
+            rows += [(doc, h, p, lo, hi, deal, _digest(lo.to_bytes(2), hi.to_bytes(2), data[p - hi : p + length - lo])) for lo, hi, deal in found]
+            if len(rows) >= RUN:
+                yield packed(rows)
+                rows = []
     if rows:
         yield packed(rows)
 
 
-def dealt_cells(docs: DataFrame, hot: DataFrame, length: int) -> DataFrame:
-    """Anchors hot (id, h, pos, lo, hi) of docs, cut to cells of their offsets, each with deal and context.
+def dealt_cells(docs: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
+    """The strings of anchors with a hash in hot: (id, h, pos, lo, hi), cut to cells of their offsets, with deal and context. Cells whose deal occurs once go, as nothing in them repeats.
 
-    Equal strings have the same offset, so the same cell, and equal bytes where all strings of the cell overlap: deal is a hash of these. No deal has more than RANGE_ROWS
-    different contexts, as cells with more are cut further, down to single strings. What surrounds a frequent passage thus parts its copies, and the passage itself is one context.
+    Equal strings have the same offset, so the same cell, and the same bytes where all strings of the cell overlap, which deal is a hash of. No deal has more than RANGE_ROWS
+    different contexts (nor a millionth of all cells, beyond that), as cells with more are cut further, down to single strings. So what surrounds a frequent passage parts its copies, and
+    the passage itself is one context. Each width is one scan of the texts without a shuffle of them.
     """
-    found, ready = hot, None
-    for width in CELLS:
-        listed = found.groupBy(F.col("id").alias("_of"), F.col("h").alias("_of_h")).agg(F.collect_set(F.struct("pos", "lo", "hi")).alias("_at"))
-        texts = docs.select("_id", "_h", "text").join(listed, (docs["_id"] == listed["_of"]) & (docs["_h"] == listed["_of_h"])).drop("_of", "_of_h")
-        cells = stored(texts.mapInArrow(functools.partial(_cut_to_cells, width=width, length=length), "id long, h long, pos long, lo short, hi short, deal long, context long"), "cells")
-        if width == CELLS[-1]:
-            return cells if ready is None else ready.unionByName(cells)
-        different = cells.groupBy("deal", "context").agg(F.lit(1).alias("one")).groupBy("deal").agg(F.count("one").alias("n"))
-        crowded = stored(different.where(F.col("n") > RANGE_ROWS).select("deal"), "crowded-cells")
-        fine = cells.join(crowded, "deal", "left_anti")
+    share = docs.sparkSession.sparkContext.broadcast
+    keys, crowded, ready = share(hot), [], None
+    while True:
+        scan = functools.partial(_hot_cells, hot=keys, crowded=list(crowded), length=length)
+        cells = stored(docs.select("_id", "_h", "text").mapInArrow(scan, "id long, h long, pos long, lo short, hi short, deal long, context long"), "cells")
+        most = max(RANGE_ROWS, cells.count() // MOST_HOT)
+        contexts = cells.groupBy("deal", "context").agg(F.count(F.lit(1)).alias("times"))
+        deals = stored(contexts.groupBy("deal").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("n")).where("times > 1"), "deals")
+        fine = cells.join(deals.where(F.col("n") <= most).select("deal"), "deal").select(*cells.columns)
         ready = fine if ready is None else ready.unionByName(fine)
-        if crowded.isEmpty():
+        further = np.array([r.deal for r in deals.where(F.col("n") > most).select("deal").collect()], np.int64)  # MOST_HOT at most
+        if not len(further):
             return ready
-        found = cells.join(crowded, "deal", "left_semi")
+        crowded.append(share(further))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -417,9 +430,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = stored(docs.select("_id", "_h", "text").mapInArrow(find, "id long, h long, pos long, lo short, hi short, key long, head long"), "anchors")
     # Written first, so that the join below is of two plain exchanges and a key with very many anchors can be split.
     often = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "repeated-hashes")
-    hot = F.col("times") > RANGE_ROWS
+    total = often.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    least = max(RANGE_ROWS, total // MOST_HOT)
+    hot = F.col("times") > least
     kept = stored(found.join(often, "key").select("id", "h", "pos", "lo", "hi", "head", hot.alias("hot"), F.pmod("key", F.lit(1 << 30)).cast("int").alias("bits")), "candidates")
-    n, any_hot = kept.agg(F.count(F.lit(1)), F.coalesce(F.max("hot"), F.lit(False))).first()
+    n = kept.count()
+    hot_keys = np.array([r.key for r in often.where(hot).select("key").collect()], np.int64)  # MOST_HOT at most
     ranges = min(MAX_RANGES, max(shuffle_partitions(spark), -(-n // RANGE_ROWS)))
     marks = kept.agg(F.percentile_approx("head", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] if n and ranges > 1 else None
     # A head of so many anchors that it is several marks is parted by hashes. Equal strings have equal hashes, and so stay together.
@@ -427,8 +443,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shares = np.append(1, times) * max(1, -(-n // (ranges * RANGE_ROWS)))
 
     entries = kept.where("NOT hot").select("id", "h", "pos", "lo", "hi", "bits", F.lit(False).alias("hot"))
-    if any_hot:  # deals of hot hashes get numbers below zero, others stay above
-        cells = dealt_cells(docs, kept.where("hot").select("id", "h", "pos", "lo", "hi"), length)
+    if len(hot_keys):  # deals of hot hashes get numbers below zero, others stay above
+        cells = dealt_cells(docs, hot_keys, length)
         entries = entries.unionByName(cells.select("id", "h", "pos", "lo", "hi", (F.lit(-1) - F.pmod("deal", F.lit((1 << 31) - 1))).cast("int").alias("bits"), F.lit(True).alias("hot")))
     listed = entries.groupBy(F.col("id").alias("_of"), F.col("h").alias("_of_h")).agg(F.collect_set(F.struct("pos", "lo", "hi", "bits", "hot")).alias("_at"))
     # All columns go through, so that the exchange of docs is the same as that of the final join, and Spark makes it once.
