@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import time
 import uuid
@@ -61,28 +62,78 @@ class StageStore:
 
     put() writes one, release() deletes it. measures has a record of each: name, rows, bytes, seconds and what counters were asked for,
     observed while it was written.
+
+    A store with a run's name keeps a manifest of its tagged tables and of marks: one opened later under the same name, in any session, has those of
+    the run before, and put() of a tag that is there gives the table instead of making it. Folders of tables that were not finished are deleted.
+    A name stands for one graph and one step graph; runs of other data need another.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, counters: Mapping[str, Mapping[str, Column]] | None = None) -> None:
-        """counters: for a table's name further aggregates over its columns, by counter name."""
+    def __init__(self, spark: SparkSession, buckets: int | None = None, counters: Mapping[str, Mapping[str, Column]] | None = None, run: str | None = None) -> None:
+        """counters: for a table's name further aggregates over its columns, by counter name. run: the name that the store can be opened by again."""
         self.spark, self.counters = spark, dict(counters or {})
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.folder = f"{shared_folder(spark).rstrip('/')}/stages-{uuid.uuid4().hex}"
+        self.folder = f"{shared_folder(spark).rstrip('/')}/{f'run-{run}' if run else f'stages-{uuid.uuid4().hex}'}"
         self.measures: list[dict] = []
-        self._tables: dict[int, tuple[DataFrame, str]] = {}
-
-    def put(self, df: DataFrame, name: str = "table", key: str = "id") -> DataFrame:
+        self._tables: dict[int, tuple[DataFrame, str, str | None]] = {}
+        self.resumable, self._entries, self._by_tag = run is not None, {}, {}
+        where, fs = _at(spark, self.folder)
+        if self.resumable and fs.exists(where):
+            listed, _ = _at(spark, f"{self.folder}/manifest")
+            if fs.exists(listed):
+                self._entries = {e["tag"]: e for e in (json.loads(r.value) for r in spark.read.text(f"{self.folder}/manifest").collect())}
+            named = {e["path"].rpartition("/")[2] for e in self._entries.values() if "path" in e} | {"manifest"}
+            for x in fs.listStatus(where):
+                if x.getPath().getName() not in named:
+                    fs.delete(x.getPath(), True)
+
+    def _entry(self, tag: str):
+        return _at(self.spark, f"{self.folder}/manifest/{uuid.uuid5(uuid.NAMESPACE_OID, tag).hex}.json")
+
+    def mark(self, tag: str, **values) -> None:
+        """Record values under a tag, once what came before is written."""
+        if self.resumable:
+            where, fs = self._entry(tag)
+            out = fs.create(where, True)
+            out.write(bytearray(json.dumps({"tag": tag, **values}).encode()))
+            out.close()
+            self._entries[tag] = {"tag": tag, **values}
+
+    def marked(self, tag: str) -> dict | None:
+        return self._entries.get(tag)
+
+    def put(self, df: DataFrame, name: str = "table", key: str = "id", tag: str | None = None) -> DataFrame:
+        if tag in self._by_tag:
+            return self._by_tag[tag]
+        if tag in self._entries:
+            return self.opened(tag)
         began, seen = time.perf_counter(), Observation()
         more = [c.alias(k) for k, c in self.counters.get(name, {}).items()]
         path = f"{self.folder}/{''.join(c if c.isalnum() else '_' for c in name)}-{uuid.uuid4().hex[:12]}"
         out = write_bucketed(df.observe(seen, F.count(F.lit(1)).alias("rows"), *more), path, key, self.buckets)
         where, fs = _at(self.spark, path)
         self.measures.append({"name": name, **seen.get, "bytes": fs.getContentSummary(where).getLength(), "seconds": time.perf_counter() - began})
-        self._tables[id(out)] = (out, path)
+        return self._listed(out, path, tag, key)
+
+    def _listed(self, out: DataFrame, path: str, tag: str | None, key: str) -> DataFrame:
+        tag = tag if self.resumable else None
+        self._tables[id(out)] = (out, path, tag)
+        if tag is not None:
+            if tag not in self._entries:
+                self.mark(tag, path=path, key=key, buckets=self.buckets)
+            self._by_tag[tag] = out
         return out
 
-    def put_all(self, tables: Sequence[tuple[DataFrame, str, str]]) -> list[DataFrame]:
-        """put() of several (df, name, key), a few at a time: small tables don't wait for each other."""
+    def opened(self, tag: str) -> DataFrame:
+        """The table of a tag that the manifest has."""
+        if tag not in self._by_tag:
+            e = self._entries[tag]
+            if e["buckets"] != self.buckets:
+                raise ValueError(f"the run was begun with {e['buckets']} buckets, not {self.buckets}")
+            self._listed(read_bucketed(self.spark, e["path"], e["key"], e["buckets"]), e["path"], tag, e["key"])
+        return self._by_tag[tag]
+
+    def put_all(self, tables: Sequence[tuple]) -> list[DataFrame]:
+        """put() of several (df, name, key) or (df, name, key, tag), a few at a time: small tables don't wait for each other."""
         if len(tables) < 2:
             return [self.put(*t) for t in tables]
         with ThreadPoolExecutor(4) as pool:
@@ -95,14 +146,18 @@ class StageStore:
         """Delete tables that nothing reads any more; others than this store's own are left alone."""
         for df in tables:
             if self.owns(df):
-                _, path = self._tables.pop(id(df))
+                _, path, tag = self._tables.pop(id(df))
+                if tag is not None:  # first of all, so that the manifest never names what is gone
+                    del self._entries[tag], self._by_tag[tag]
+                    where, fs = self._entry(tag)
+                    fs.delete(where, False)
                 self.spark.sql(f"DROP TABLE {df.bucketed_as}")
                 where, fs = _at(self.spark, path)
                 fs.delete(where, True)
 
     def release_all_but(self, *kept: DataFrame) -> None:
         held = {id(df) for df in kept}
-        self.release(*[df for df, _ in list(self._tables.values()) if id(df) not in held])
+        self.release(*[df for df, *_ in list(self._tables.values()) if id(df) not in held])
 
     def totals(self) -> dict[str, float]:
         """Each measure summed over all tables put so far."""

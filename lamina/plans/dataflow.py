@@ -7,6 +7,7 @@ later stages read is written in buckets of its key and deleted after its last us
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Hashable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -45,7 +46,7 @@ class _ByDst(dict):
 
     def __missing__(self, relation: Key) -> DataFrame:
         edges = self.by_src[relation].repartition(self.store.buckets, "dst")
-        self[relation] = self.store.put(edges, f"edges {relation} by dst", "dst")
+        self[relation] = self.store.put(edges, f"edges {relation} by dst", "dst", f"graph: edges {relation} by dst")
         return self[relation]
 
 
@@ -55,7 +56,7 @@ def stored_graph(edges: Mapping[Key, DataFrame], nodes: Mapping[Key, DataFrame],
     """
     numbered = {r: e.select("src", "dst").repartition(store.buckets, "src").withColumn("eid", F.monotonically_increasing_id()) for r, e in edges.items()}
     fresh = {t: n.select("id").repartition(store.buckets, "id") for t, n in nodes.items() if not store.owns(n)}
-    put = store.put_all([*[(e, f"edges {r} by src", "src") for r, e in numbered.items()], *[(n, f"nodes {t}", "id") for t, n in fresh.items()]])
+    put = store.put_all([*[(e, f"edges {r} by src", "src", f"graph: edges {r} by src") for r, e in numbered.items()], *[(n, f"nodes {t}", "id", f"graph: nodes {t}") for t, n in fresh.items()]])
     by_src, ids = dict(zip(numbered, put, strict=False)), dict(zip(fresh, put[len(numbered) :], strict=True))
     return Graph({t: ids[t] if t in ids else n.select("id") for t, n in nodes.items()}, by_src, _ByDst(by_src, store))
 
@@ -266,7 +267,7 @@ class Dataflow:
                 all_ = parts[0]
                 for p in parts[1:]:
                     all_ = all_.unionByName(p)
-                found[n, t] = store.put(all_.distinct(), f"needed {n} {t}")
+                found[n, t] = store.put(all_.distinct(), f"needed {n} {t}", "id", f"needed {n} {t}")
                 for s in steps:
                     for x, far in zip(s.inputs, s.far, strict=True):
                         if s.at == t and self.level[x] < n:
@@ -289,13 +290,29 @@ class Dataflow:
 
         inputs has the table of each source. after(stage, kept tables by step name, seconds) is called once a stage is done. With only_outputs the store
         holds nothing but the outputs in the end: graph tables and inputs of the store go as well.
+
+        In a store with a run's name, a run that was stopped goes on behind the last stage that was finished, and what that stage's successor had written is read;
+        after is called for the stages only that this run works on. Another step graph under the same name is refused.
         """
+        plan = hashlib.sha256(self.explain().encode()).hexdigest()
+        if (before := store.marked("plan")) and before["plan"] != plan:
+            raise ValueError("the store holds a run of another step graph")
+        store.mark("plan", plan=plan)
+        place = {s: k for k, s in enumerate(self.order)}
+        tag = lambda s: f"step {place[s]}: {s.name}"
         missing = [s.name for s in self.sources() if s not in inputs]
         if missing or any(s.run is not None for s in inputs):
             raise ValueError(f"inputs must be given for the sources only; missing: {missing}")
         needed = self.needs(graph, store, targets) if targets is not None else None
         done = {s: t for s, t in inputs.items() if s in self.level}
-        for n in range(self.depth + 1):
+        start = 0
+        for n in range(self.depth, -1, -1):
+            live = [s for s in self.live_after(n) if s.run is not None]
+            if store.marked(f"stage {n}") and all(store.marked(tag(s)) for s in live):
+                done |= {s: store.opened(tag(s)) for s in live}
+                start = n + 1
+                break
+        for n in range(start, self.depth + 1):
             began = time.perf_counter()
             stage = Stage(graph, store, None if needed is None else {t: ids for (k, t), ids in needed.items() if k == n})
             steps = [s for s in self.order if self.level[s] == n and s.run is not None]
@@ -310,7 +327,8 @@ class Dataflow:
                     if s not in done and wave[s] <= w:
                         made[s] = s.run(stage, [done[x] if x in done else made[x] for x in s.inputs])
                 now = [s for s in made if s in kept]
-                done |= zip(now, store.put_all([(made[s], s.name, "dst" if s.on_edges else "id") for s in now]), strict=True)
+                done |= zip(now, store.put_all([(made[s], s.name, "dst" if s.on_edges else "id", tag(s)) for s in now]), strict=True)
+            store.mark(f"stage {n}")
             if after:
                 after(n, {s.name: t for s, t in done.items()}, time.perf_counter() - began)
             store.release(*stage.kept, *[done.pop(s) for s in list(done) if s not in live and s.run is not None])  # inputs may hold the graph's nodes

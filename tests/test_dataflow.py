@@ -224,3 +224,79 @@ def test_empty_graphs(spark):
     g = P.stored_graph({None: spark.createDataFrame([], "src long, dst long")}, {None: x}, store)
     traced = trace.trace(forwards.gat(2, 4), 3)
     assert traced.flow.run(g, {traced.sources[0]: x}, store)[0].count() == 0
+
+
+class Stopped(Exception):
+    pass
+
+
+class Failing(StageStore):
+    """Stops at the n-th table that is written."""
+
+    left = 10**9
+
+    def put(self, df, name="table", key="id", tag=None):
+        if tag not in self._entries:
+            self.left -= 1
+            if self.left < 0:
+                raise Stopped(name)
+        return super().put(df, name, key, tag)
+
+
+def resumed(spark, name, nodes, edges, only=None, left=10**9, targets=None, stop_after=None):
+    store = Failing(spark, 4, run=name)
+    store.left = left
+    traced = trace.trace(forwards.gat(2, 4), 3)
+    seen = []
+
+    def after(n, tables, seconds):
+        seen.append(n)
+        if n == stop_after:
+            raise Stopped(n)
+
+    try:
+        x = store.put(nodes.repartition(4, "id"), "features", "id", "features")
+        g = P.stored_graph({None: edges}, {None: nodes.select("id")}, store)
+        out = traced.flow.run(g, {traced.sources[0]: x}, store, targets, after=after)[0]
+    except Stopped:
+        return store, seen, None
+    return store, seen, vectors(out)
+
+
+def test_stopped_runs_go_on_behind_the_last_finished_stage(spark, graph):
+    *_, edges, nodes = graph
+    _, stages, want = resumed(spark, "whole", nodes, edges)
+    assert stages == list(range(len(stages))) and len(stages) > 1
+    store, seen, none = resumed(spark, "after-0", nodes, edges, stop_after=0)
+    assert none is None and seen == [0]
+    store, seen, got = resumed(spark, "after-0", nodes, edges)
+    assert seen == stages[1:] and not any("features" == m["name"] or m["name"].startswith("edges") for m in store.measures)  # nothing was made twice
+    same(got, want)
+    left = [e["path"] for e in store._entries.values() if "path" in e]
+    assert len(left) == 1 and {p.rpartition("/")[2] for p in left} | {"manifest"} == {p.rpartition("/")[2] for p in glob.glob(f"{store.folder.removeprefix('file:')}/*")}
+    store, seen, got = resumed(spark, "after-0", nodes, edges)  # a finished run is read
+    assert seen == []
+    same(got, want)
+
+
+@pytest.mark.parametrize("left", [1, 4, 6])
+def test_runs_stopped_within_a_stage(spark, graph, left):
+    *_, edges, nodes = graph
+    targets = {None: spark.createDataFrame([(2,), (6,)], "id long")}
+    for given in (None, targets):
+        name = f"within-{left}-{given is None}"
+        assert resumed(spark, name, nodes, edges, left=left, targets=given)[2] is None
+        got = resumed(spark, name, nodes, edges, targets=given)[2]
+        want = resumed(spark, f"{name}-whole", nodes, edges, targets=given)[2]
+        same(got, want)
+
+
+def test_a_run_of_another_step_graph_is_refused(spark, graph):
+    *_, edges, nodes = graph
+    resumed(spark, "other", nodes, edges, stop_after=0)
+    store = StageStore(spark, 4, run="other")
+    traced = trace.trace(forwards.sage([3, 4, 2]), 3)
+    with pytest.raises(ValueError, match="another step graph"):
+        traced.flow.run(P.stored_graph({None: edges}, {None: nodes.select("id")}, store), {traced.sources[0]: store.opened("features")}, store)
+    with pytest.raises(ValueError, match="4 buckets"):
+        StageStore(spark, 8, run="other").opened("features")
