@@ -33,6 +33,30 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Parquet tables of an iteration in the shared folder. Plans that read them know nothing of the rounds before, and released ones are deleted."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self._tables = spark, f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}", {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._tables[id(out)] = (out, path)
+        return out
+
+    def release(self, *tables: DataFrame) -> None:
+        for df in tables:
+            where, fs = _at(self.spark, self._tables.pop(id(df))[1])
+            fs.delete(where, True)
+
+    def close(self) -> None:
+        """Delete all that is left."""
+        where, fs = _at(self.spark, self.folder)
+        fs.delete(where, True)
+
+
 def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
     """df as Parquet in that many buckets of key, sorted by it: joins with tables of the same buckets, and groupings by key, need no exchange."""
     name = f"lamina_{uuid.uuid4().hex}"

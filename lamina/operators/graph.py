@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import durable
+
 
 def symmetrised(edges: DataFrame) -> DataFrame:
     """Edges and their reverses, repeats kept: one relation of a type to itself."""
@@ -74,11 +76,12 @@ def targets_by_ratio(order: DataFrame, ratio: float) -> DataFrame:
 def ratio_layers(edges: DataFrame, nodes: DataFrame, targets: DataFrame, layers: int, limit: float = 0.8) -> list[DataFrame]:
     """Node sets from the first layer to the last: the targets widened by a hop a layer, or all nodes once targets * average degree exceeds limit * n."""
     n, avg = nodes.count(), average_in_degree(edges, nodes).first()[0]
-    out = [targets]
+    out = [durable(targets)]
     whole = False
     for _ in range(layers - 1):
         whole = whole or out[-1].count() * avg > limit * n
-        out.append(nodes.select("id") if whole else frontier(edges, out[-1]))
+        # Stored: the next layer counts it and widens it.
+        out.append(nodes.select("id") if whole else durable(frontier(edges, out[-1])))
     return out[::-1]
 
 

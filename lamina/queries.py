@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import dense as D
 from .functions import vectors as V
-from .operators import batches, graph, message, order
+from .operators import batches, communities, graph, message, order
 from .operators.durable import StageStore
 from .plans import dataflow, forwards, models, trace, typed
 from .plans import layers as L
@@ -132,6 +132,19 @@ def balanced_parts(s, d):
     return order.balanced_parts(_bi(s, d), tables.node_ids(s, d), 5)
 
 
+@query()
+def community_order(s, d):
+    """Communities by modularity gains, and the depth-first order of their merges."""
+    return communities.community_order(tables.edges(s, d), tables.node_ids(s, d))
+
+
+@query(_sql(lambda q: (q.add("ends", "SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION ALL SELECT dst, src FROM edges WHERE src <> dst"), q.text("SELECT round(sum(inside) / sum(k) - sum(k::DOUBLE * k) / (sum(k)::DOUBLE * sum(k)), 9) AS modularity FROM (SELECT a % 5 AS c, count(*) AS k, count(*) FILTER (b % 5 = a % 5) AS inside FROM ends GROUP BY ALL)"))[-1]))
+def parts_modularity(s, d):
+    """The modularity of the parts by id modulo 5."""
+    parts = tables.node_ids(s, d).select("id", F.pmod("id", F.lit(5)).alias("community"))
+    return communities.modularity(tables.edges(s, d), parts).select(F.round("modularity", 9).alias("modularity"))
+
+
 @query(_sql(lambda q: q.text(f"SELECT id, degree, (sum(degree) OVER (ORDER BY id))::BIGINT AS running FROM ({_IN_DEGREE})")))
 def degree_prefix_sum(s, d):
     return order.with_running_sum(in_degree(s, d), "degree", ["id"], "running")
