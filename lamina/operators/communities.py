@@ -95,15 +95,18 @@ def community_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     community is the id of its first node. Larger communities come first, then smaller ids. Nodes without edges are communities of their own. A null id is left out, repeated ones count once.
     """
     nodes = nodes.select("id").where("id IS NOT NULL").distinct()
-    made = durable(merges(edges.where("src IS NOT NULL AND dst IS NOT NULL"), nodes))
+    scratch = Scratch(edges.sparkSession)
+    made = scratch.put(merges(edges.where("src IS NOT NULL AND dst IS NOT NULL"), nodes))
     # A node's place in its community is the sum of the places along its merges; each round of joins doubles how many of them are summed, and no path is longer than the rounds.
-    place = durable(nodes.join(made, "id", "left").select("id", F.coalesce("parent", "id").alias("top"), F.coalesce("at", F.lit(0)).alias("within")))
+    place = scratch.put(nodes.join(made, "id", "left").select("id", F.coalesce("parent", "id").alias("top"), F.coalesce("at", F.lit(0)).alias("within")))
     for _ in range((made.agg(F.coalesce(F.max("round") + 1, F.lit(0))).first()[0]).bit_length()):
         above = place.select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("within").alias("further"))
-        place = durable(place.join(above, "top").select("id", F.col("next").alias("top"), (F.col("within") + F.col("further")).alias("within")))
+        place = scratch.put(place.join(above, "top").select("id", F.col("next").alias("top"), (F.col("within") + F.col("further")).alias("within")))
     sizes = place.groupBy(F.col("top").alias("community")).agg(F.count(F.lit(1)).alias("size"))
     starts = with_running_sum(sizes, "size", [F.desc("size"), "community"], "upto").select("community", (F.col("upto") - F.col("size")).alias("start"))
-    return place.withColumnRenamed("top", "community").join(starts, "community").select("id", "community", (F.col("start") + F.col("within")).alias("pos"))
+    out = durable(place.withColumnRenamed("top", "community").join(starts, "community").select("id", "community", (F.col("start") + F.col("within")).alias("pos")))
+    scratch.close()
+    return out
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
