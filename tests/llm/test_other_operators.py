@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import time
 
@@ -216,6 +217,55 @@ def test_words_are_counted_by_hosts(spark):
     assert url_filter.word_counts(pages.limit(0)).count() == 0
 
 
+def _site_urls():
+    rng = random.Random(21)
+    bad, good = ["spielbank", "einzahlung", "hotgirls", "quickcash"], ["garten", "rezept", "wetter", "verein"]
+    urls = [None, "no scheme"]
+    for i in range(400):
+        listed = i % 2 == 0  # the other half can only be known by the words they share with these
+        words, seeds = (bad, ["casino", "poker", "jackpot"]) if i % 4 < 2 else (good, ["museum", "library", "recipes"])
+        name = f"q{chr(97 + i % 26)}{chr(97 + i // 26)}z"
+        for _ in range(1 + 30 * (i == 0)):
+            path = "/".join([*rng.sample(words, 2), *([rng.choice(seeds)] * listed)])
+            urls.append(f"http://{rng.choice(words)}.{name}.org/{path}/{rng.randrange(99)}")
+    return urls, bad, good
+
+
+def test_classes_spread_from_the_lists_to_words_that_share_their_hosts(spark):
+    urls, bad, good = _site_urls()
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").repartition(5)
+    counts = {r.word: r.hosts for r in url_filter.word_counts(pages).collect()}
+    plain = url_filter.UrlModel(counts)
+    assert not {*bad, *good} & {*plain.odds}
+    m = url_filter.learn(pages, plain)
+    # the same in plain Python, over all hosts
+    hosts = {}
+    for u in filter(lambda u: u and "://" in u, urls):
+        host, _, path = u.partition("://")[2].partition("/")
+        hosts.setdefault(host, set()).update(w for w in plain.tokens(host, "/" + path) if w in plain.words.logp)
+    odds = dict(plain.odds)
+    for _ in range(url_filter.ROUNDS):
+        n = {}
+        for words in hosts.values():
+            p = 1 / (1 + math.exp(-plain.prior - sum(odds.get(w, 0) for w in words)))
+            for w in words - plain.odds.keys():
+                a, b = n.get(w, (0, 0))
+                n[w] = a + p, b + 1 - p
+        block, allow = (sum(x[k] for x in n.values()) for k in (0, 1))
+        for w, (a, b) in n.items():
+            spread = url_filter.SHRINK * (a + b) / (block + allow)
+            odds[w] = math.log((a + spread) / (block + url_filter.SHRINK)) - math.log((b + spread) / (allow + url_filter.SHRINK))
+    assert m.odds == pytest.approx(odds)
+    got = {r.url: r for r in url_filter.judge(pages, rules=()).collect()}
+    for u in filter(lambda u: u and "://" in u, urls):
+        host, _, path = u.partition("://")[2].partition("/")
+        score = plain.prior + sum(odds.get(w, 0) for w in plain.tokens(host, "/" + path))
+        assert got[u].url_score == pytest.approx(score) and got[u].verdict == ("block" if score > 0 else "allow")
+        assert got[u].verdict == ("block" if any(w in u for w in bad) else "allow")
+    assert m.score(m.tokens("hotgirlsspielbank.net", "")) > 0 > m.score(m.tokens("wettergarten.net", "")) and plain.score(plain.tokens("hotgirlsspielbank.net", "")) < 0
+    assert url_filter.learn(pages.limit(0), plain).odds == plain.odds
+
+
 def test_rules(spark):
     urls = [
         "http://A.Example.com/en/x?q", "https://www.example.com/en/", "http://x.com", "http://x.com?/en/", "http://x.net/es/1", "http://notnet/es/", "x.com/", None,
