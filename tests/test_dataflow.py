@@ -300,3 +300,12 @@ def test_a_run_of_another_step_graph_is_refused(spark, graph):
         traced.flow.run(P.stored_graph({None: edges}, {None: nodes.select("id")}, store), {traced.sources[0]: store.opened("features")}, store)
     with pytest.raises(ValueError, match="4 buckets"):
         StageStore(spark, 8, run="other").opened("features")
+
+
+def test_each_softmax_is_written_once(spark):
+    """Three relations in two layers, however many waves their stages have."""
+    from lamina import queries as Q
+
+    store = StageStore(spark, 4)
+    Q._typed_flow(spark, "/root/testdata/sf0.001", forwards.hgt(8, 2, 2), width=8, store=store).count()
+    assert sum(m["name"] == "within a stage" for m in store.measures) == 6
