@@ -119,22 +119,27 @@ def edge_softmax(scores: DataFrame, heads: int = 1, key: str = "dst", keep: Call
     return scores.join(sums, key).withColumn("a", a).drop(*[f"_{c}{h}" for c in "ts" for h in each])
 
 
-def degree_scaled(nodes: DataFrame | Coded, edges: DataFrame, end: str, power: float) -> DataFrame | Coded:
-    """Node vectors times max(degree, 1) ** power, the degree counted at that end (src or dst) of the whole graph's edges."""
-    degree = edges.groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias("_d"))
+def degrees(edges: DataFrame, end: str) -> DataFrame:
+    """(id, _d): how many edges have each node at that end (src or dst); nodes without one have no row."""
+    return edges.groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias("_d"))
+
+
+def degree_scaled(nodes: DataFrame | Coded, degree: DataFrame, power: float) -> DataFrame | Coded:
+    """Node vectors times max(degree, 1) ** power; degree as of degrees(), of the whole graph's edges."""
     by = F.pow(F.greatest(F.coalesce("_d", F.lit(1)), F.lit(1)).cast("double"), F.lit(power))
     if isinstance(nodes, Coded):
         return Coded(nodes.ids.join(degree, "id", "left").select("id", "code", by.alias("by")), nodes.vectors)
     return nodes.join(degree, "id", "left").withColumn("x", V.scaled("x", by)).drop("_d")
 
 
-def graph_conv(edges: DataFrame, nodes: DataFrame | Coded, width: int, norm: str = "both") -> DataFrame:
-    """(id, x): normalised sums over in-edges. norm: both (1 / sqrt(dout din)), right (1 / din) or none. Nodes without in-edges get zeros."""
+def graph_conv(edges: DataFrame, nodes: DataFrame | Coded, width: int, norm: str = "both", degree: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """(id, x): normalised sums over in-edges. norm: both (1 / sqrt(dout din)), right (1 / din) or none. Nodes without in-edges get zeros. degree(end) gives degrees() that are at hand."""
+    degree = degree or (lambda end: degrees(edges, end))
     start = nodes if isinstance(nodes, Coded) else nodes.select("id", "x")
     if norm == "both":
-        start = degree_scaled(start, edges, "src", -0.5)
+        start = degree_scaled(start, degree("src"), -0.5)
     summed = fill_missing(update_all(edges, start, "copy_u", "sum", width), nodes, width)
-    return summed if norm == "none" else degree_scaled(summed, edges, "dst", -0.5 if norm == "both" else -1.0)
+    return summed if norm == "none" else degree_scaled(summed, degree("dst"), -0.5 if norm == "both" else -1.0)
 
 
 def cross_reduced(parts: list[DataFrame], how: str, width: int) -> DataFrame:

@@ -34,8 +34,17 @@ class Step:
 
 @dataclass
 class Graph:
+    """counted: degrees of the whole graph by end, made when they are first asked for and read by all layers."""
+
     edges: DataFrame
     nodes: DataFrame
+    counted: dict[str, DataFrame] = field(default_factory=dict)
+    whole: DataFrame | None = None  # the edges that degrees are counted over, where they aren't edges
+
+    def degrees(self, end: str) -> DataFrame:
+        if end not in self.counted:
+            self.counted[end] = durable(M.degrees(self.edges if self.whole is None else self.whole, end))
+        return self.counted[end]
 
 
 def source(width: int, name: str = "x") -> Step:
@@ -62,7 +71,7 @@ def propagate(name: str, x: Step, op: str = "copy_u", how: str = "sum") -> Step:
 
 
 def normalised(name: str, x: Step, norm: str = "both") -> Step:
-    return Step(name, (x,), lambda graph, t: M.graph_conv(graph.edges, t[0], x.width, norm), x.width, True)
+    return Step(name, (x,), lambda graph, t: M.graph_conv(graph.edges, t[0], x.width, norm, graph.degrees), x.width, True)
 
 
 def custom(name: str, width: int, run: Callable[[Graph, Sequence[DataFrame]], DataFrame], *inputs: Step) -> Step:
@@ -141,7 +150,7 @@ class Plan:
             began = time.perf_counter()
             if before:
                 before(n, named(), 0.0)
-            at = Graph(G.restrict(graph.edges, needed[n]), needed[n]) if needed else graph
+            at = Graph(G.restrict(graph.edges, needed[n]), needed[n], graph.counted, graph.edges) if needed else graph
             for step in stage:
                 tables = [done[x] for x in step.inputs]
                 if needed:  # own rows of the stage's nodes only; a propagating step also reads its neighbours' rows
