@@ -309,3 +309,30 @@ def test_each_softmax_is_written_once(spark):
     store = StageStore(spark, 4)
     Q._typed_flow(spark, "/root/testdata/sf0.001", forwards.hgt(8, 2, 2), width=8, store=store).count()
     assert sum(m["name"] == "within a stage" for m in store.measures) == 6
+
+
+def test_edges_stay_in_cells_and_those_of_hubs_lie_in_many(spark):
+    """Nothing with a row for each edge is written after the graph; a softmax is that of all cells, masked edges (-inf) too."""
+    edges = [(0, d) for d in range(2, 300)] + [(s, 1) for s in range(2, 300)] + [(0, 1), (0, 1), (1, 1)]
+    store = StageStore(spark, 8)
+    x = store.put(spark.createDataFrame([(i, [float("-inf") if i == 1 or i % 50 == 7 else i / 64.0]) for i in range(301)], "id long, x array<double>").repartition(8, "id"), "features")
+    g = P.stored_graph({None: spark.createDataFrame(edges, "src long, dst long")}, {None: x}, store)
+    placed = g.placed[None]
+    assert sorted((r.src, r.dst) for r in placed.edges.collect()) == sorted(edges)
+    assert all(placed.edges.where(f"{end} = {hub}").select("cell").distinct().count() == store.cells > 1 for end, hub in (("src", 0), ("dst", 1)))
+
+    def forward(g, x):
+        g.srcdata["x"], g.srcdata["h"] = x, x.mapped(lambda c: F.array(F.when(c[0] < 0, 1.0).otherwise(c[0])))
+        g.apply_edges(trace.copy_u("x", "s"))
+        g.edata["a"] = trace.edge_softmax(g, g.edata["s"])
+        g.update_all(trace.u_mul_e("h", "a", "m"), trace.sum_("m", "h"))
+        return g.dstdata["h"]
+
+    traced = trace.trace(forward, 1)
+    seen = len(store.measures)
+    got = vectors(traced.flow.run(g, {traced.sources[0]: x}, store)[0])
+    assert all(m["rows"] <= 301 for m in store.measures[seen:])
+    v = {s: s / 64.0 for s, d in edges if d == 1 and s != 1 and s % 50 != 7}
+    e = [np.exp(v[s]) for s, d in edges if d == 1 and s in v]
+    assert np.allclose(got[1], sum(w * v[s] for w, s in zip(e, [s for s, d in edges if d == 1 and s in v], strict=True)) / sum(e))
+    assert all(got[d][0] == 0 for d in (2, 200, 300))
