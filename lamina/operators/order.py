@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .durable import durable
+from .durable import StageStore, durable
 
 
 def _ranged(df: DataFrame, order: list[str | Column]) -> DataFrame:
@@ -54,16 +54,21 @@ def by_in_degree(degrees: DataFrame) -> DataFrame:
     return with_position(degrees.select("id", "degree"), ["degree", "id"])
 
 
-def _roots(both: DataFrame, degree: DataFrame) -> DataFrame:
-    """(id, root struct(degree, root)): the node of least (degree, id) that each node reaches. In each round nodes take the least of their neighbours' roots and of that root's own: distances double."""
-    state = durable(degree.select("id", F.struct(F.col("degree"), F.col("id").alias("root")).alias("root")))
+def _roots(both: DataFrame, ranked: DataFrame) -> DataFrame:
+    """ranked (id, own) and root: the least own of the nodes that each reaches. both lies by src.
+
+    In each round nodes take the least of their neighbours' roots and of that root's own: distances double. Only roots that are new are offered.
+    """
+    state = fresh = durable(ranked.select("id", "own", F.col("own").alias("root")))
     while True:
-        offered = both.join(state, both["src"] == state["id"]).select(F.col("dst").alias("id"), "root").unionByName(state).groupBy("id").agg(F.min("root").alias("root"))
-        further = state.select(F.col("id").alias("via"), F.col("root").alias("next"))
-        after = durable(offered.join(further, F.col("root.root") == F.col("via")).select("id", F.least("root", "next").alias("root")))
-        if after.join(state.withColumnRenamed("root", "was"), "id").where("root != was").isEmpty():
-            return after
-        state = after
+        # Few nodes of a bucket are met by many edges, so edges are neither sent nor sorted.
+        offered = both.join(fresh.select(F.col("id").alias("src"), "root").hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("root").alias("offer"))
+        least = state.join(offered, "id", "left").select("id", "own", F.col("root").alias("was"), F.least("root", "offer").alias("via"))
+        further = state.select(F.col("own").alias("via"), F.col("root").alias("next"))
+        state = durable(least.join(further, "via").select("id", "own", "was", F.least("via", "next").alias("root")))
+        fresh = state.where("root < was")
+        if fresh.isEmpty():
+            return state.drop("was")
 
 
 #: Levels of up to so many nodes are numbered in one task.
@@ -86,28 +91,31 @@ def cuthill_mckee(edges: DataFrame, nodes: DataFrame, reverse: bool = True) -> D
     yet follow by degree and id. So within a level nodes go by the first of their neighbours in the level before, then by
     degree and id; each level is one round over its own edges only. Repeated edges, loops and directions don't count.
     """
-    both = durable(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct())
-    degree = durable(nodes.select("id").join(both.groupBy(F.col("src").alias("id")).count(), "id", "left").select("id", F.coalesce("count", F.lit(0)).alias("degree")))
-    root = _roots(both, degree)
-    kept = ["id", "degree", "root"]
-    known = durable(degree.join(root, "id").select(*kept))
+    store = StageStore(edges.sparkSession)
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst")
+    both = store.put(both.repartition(store.buckets, "src").distinct(), "edges", "src")  # all rounds find them by src
+    degree = nodes.select("id").join(both.groupBy(F.col("src").alias("id")).count(), "id", "left").select("id", F.coalesce("count", F.lit(0)).alias("degree"))
+    kept = ["id", "own", "root"]
+    known = _roots(both, with_position(degree, ["degree", "id"], "own")).select(*kept)
     before = known.limit(0).select("id")
-    level, size = _ranked(known.where("root.root = id"), ["root"])
+    level, size = _ranked(known.where("root = own"), ["root"])
     levels, n = [], 0
     while size:
         levels.append(level.select("id", "root", F.lit(n).alias("level"), "rank"))
         # Neighbours of a level are in it, in the one before or in the next one.
-        reached = both.join(level.select(F.col("id").alias("src"), F.col("rank").alias("parent")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("parent").alias("parent"))
+        reached = both.join(level.select(F.col("id").alias("src"), F.col("rank").alias("parent")).hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("parent").alias("parent"))
         fresh = reached.join(level.select("id").unionByName(before), "id", "left_anti").join(known, "id")
         before, n = level.select("id"), n + 1
-        level, size = _ranked(fresh.select(*kept, "parent"), ["parent", "degree", "id"])
+        level, size = _ranked(fresh.select(*kept, "parent"), ["parent", "own"])
     out = known.limit(0).select("id", "root", F.lit(0).alias("level"), F.lit(0).cast("long").alias("rank"))
     while levels:  # joined in pairs, so that the plan stays flat
         out = out.unionByName(levels.pop())
         if len(levels) % 50 == 49:
             out = durable(out)
     by = ["root", "level", "rank"]
-    return with_position(out, [F.desc(c) for c in by] if reverse else by).select("id", "level", "pos")
+    placed = with_position(out, [F.desc(c) for c in by] if reverse else by).select("id", "level", "pos")
+    store.release(both)
+    return placed
 
 
 def balanced_parts(edges: DataFrame, nodes: DataFrame, parts: int, slack: float = 0.1, rounds: int = 10) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+from lamina.operators import order
 from lamina.operators.durable import sized
 from lamina.plans import layers as L
 from lamina.plans import models
@@ -40,3 +41,12 @@ def test_attention_sends_edges_only_to_place_them(spark):
     rows, moved = sent(spark, lambda: plan.run(L.Graph(both, ids), {start: nodes})[0].collect())
     assert len(rows) == 450
     assert sum(m >= 2 * n for m in moved) < 4, moved  # to be written by source, then in cells; not once in each layer
+
+
+def test_cuthill_mckee_sends_edges_only_to_place_them(spark):
+    session = sized(spark)
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    edges, ids, n = dense_graph(session, 300, 40, 0.5)
+    rows, moved = sent(spark, lambda: order.cuthill_mckee(edges, ids).collect())
+    assert len(rows) == 340
+    assert sum(m >= 2 * n for m in moved) == 1, moved  # none in a round or level, where each task has a row at most for a destination
