@@ -11,17 +11,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .durable import Scratch, durable
+from .durable import Scratch, StageStore, durable
 from .order import with_running_sum
 
 #: Up to so many merges of a round are summed by parent in windows; beyond, by ranges that cut parents apart.
 SMALL_ROUND = 100_000
 
 
-def _links(edges: DataFrame) -> DataFrame:
-    """(a, b, w) in both directions: the edges between two nodes, whatever their direction. Loops don't count."""
+def _links(edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """(a, b, w) in both directions: the edges between two nodes, whatever their direction. Loops don't count. With parts, so many by a."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return both.where("src != dst").groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count(F.lit(1)).alias("w"))
+    both = both.where("src != dst")
+    return (both if parts is None else both.repartition(parts, "src")).groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count(F.lit(1)).alias("w"))
 
 
 def _whole(c: str | Column) -> Column:
@@ -46,21 +47,24 @@ def merges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     they stand, directions and loops don't count. Of several that ask the same community those with most edges to it for their degree go first; one goes in only
     if the modularity grows even though the ones before it went in, so it grows with every merge. Rounds end when no two communities would gain by merging.
     """
-    scratch = Scratch(edges.sparkSession)
-    unnamed = scratch.put(_links(edges))
+    scratch, store = Scratch(edges.sparkSession), StageStore(edges.sparkSession)
+    # Links lie by a, communities by id: a community's own links are met and compared where they lie, and sent only to be named anew.
+    by = lambda df, key: store.put(df, "communities", key)
+    unnamed = by(_links(edges, store.buckets), "a")
     degree = unnamed.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k"))
-    heads = scratch.put(nodes.select("id").distinct().join(degree, "id", "left").select("id", F.coalesce("k", F.lit(0)).alias("k"), F.lit(1).cast("long").alias("size")))
+    heads = by(nodes.select("id").distinct().join(degree, "id", "left").select("id", F.coalesce("k", F.lit(0)).alias("k"), F.lit(1).cast("long").alias("size")).repartition(store.buckets, "id"), "id")
     total = heads.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
     ends = lambda side: heads.select(F.col("id").alias(side), F.col("k").alias(f"k{side}"))
-    links = scratch.put(unnamed.join(ends("a"), "a").join(ends("b"), "b"))
-    scratch.release(unnamed)
+    # A link is there in both directions, so its b learns a's degree by being the other one's a.
+    links = by(unnamed.join(ends("a"), "a").select(F.col("b").alias("a"), F.col("a").alias("b"), "w", F.col("ka").alias("kb")).repartition(store.buckets, "a"), "a")
+    store.release(unnamed)
     # Edges between two communities, times the degrees' sum, less the product of their degrees: the gain, but for a factor.
     all_ends = _whole(F.lit(total))
     gain = _whole("w") * all_ends - _whole("ka") * _whole("kb")
     first = [F.desc(F.col("w") / F.col("ka")), F.col("id")]
     out, number = [], 0
     while True:
-        best = links.withColumn("gain", gain).where("gain > 0").groupBy("a").agg(F.max(F.struct("gain", (-F.col("b")).alias("other"), "w", "ka", "kb")).alias("best"))
+        best = links.join(ends("a"), "a").withColumn("gain", gain).where("gain > 0").groupBy("a").agg(F.max(F.struct("gain", (-F.col("b")).alias("other"), "w", "ka", "kb")).alias("best"))
         asks = best.select(F.col("a").alias("id"), (-F.col("best.other")).alias("parent"), "best.w", "best.ka", "best.kb")
         # By degrees, so that a hub takes in its leaves at once, and in every other round by hashes, so that chains of growing degrees are short.
         rank = lambda c, k: F.struct((F.col(k) if number % 2 == 0 else F.lit(0)).alias("k"), F.xxhash64(c, F.lit(number)).alias("h"), F.col(c).alias("c"))
@@ -77,13 +81,16 @@ def merges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         out.append(gone)
         number += 1
         into = heads.join(gone.select("id", "parent"), "id", "left").select("id", F.coalesce("parent", "id").alias("to"), "k", "size")
-        fewer = scratch.put(into.groupBy(F.col("to").alias("id")).agg(F.sum("k").alias("k"), F.sum("size").alias("size")))
-        moved = into.select("id", "to").join(fewer.select(F.col("id").alias("to"), F.col("k").alias("now")), "to")
+        fewer = by(into.groupBy(F.col("to").alias("id")).agg(F.sum("k").alias("k"), F.sum("size").alias("size")).repartition(store.buckets, "id"), "id")
+        moved = scratch.put(into.select("id", "to").join(fewer.select(F.col("id").alias("to"), F.col("k").alias("now")), "to"))
         named = lambda side: moved.select(F.col("id").alias(side), F.col("to").alias(f"to_{side}"), F.col("now").alias(f"k{side}"))
         joined = links.select("a", "b", "w").join(named("a"), "a").join(named("b"), "b").where("to_a != to_b")
-        closer = scratch.put(joined.groupBy(F.col("to_a").alias("a"), F.col("to_b").alias("b")).agg(F.sum("w").alias("w"), F.first("ka").alias("ka"), F.first("kb").alias("kb")))
-        scratch.release(asks, heads, links)
+        turned = joined.select(F.col("to_b").alias("a"), F.col("to_a").alias("b"), "w", F.col("ka").alias("kb"))
+        closer = by(turned.repartition(store.buckets, "a").groupBy("a", "b").agg(F.sum("w").alias("w"), F.first("kb").alias("kb")), "a")
+        scratch.release(asks, moved)
+        store.release(heads, links)
         heads, links = fewer, closer
+    store.release_all_but()
     scratch.close()
     none = nodes.sparkSession.createDataFrame([], "id long, parent long, round int, at long")
     return reduce(DataFrame.unionByName, out, none)

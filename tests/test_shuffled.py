@@ -2,7 +2,7 @@
 
 import random
 
-from lamina.operators import order
+from lamina.operators import communities, order
 from lamina.operators.durable import sized
 from lamina.plans import layers as L
 from lamina.plans import models
@@ -50,3 +50,12 @@ def test_cuthill_mckee_sends_edges_only_to_place_them(spark):
     rows, moved = sent(spark, lambda: order.cuthill_mckee(edges, ids).collect())
     assert len(rows) == 340
     assert sum(m >= 2 * n for m in moved) == 1, moved  # none in a round or level, where each task has a row at most for a destination
+
+
+def test_communities_send_links_only_to_name_them(spark):
+    session = sized(spark)
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    edges, ids, n = dense_graph(session, 300, 40, 0.5)
+    made, moved = sent(spark, lambda: communities.merges(edges, ids).count())
+    assert made
+    assert sum(m >= 2 * n for m in moved) < 4, moved  # for both directions, for the degrees and for the first round's names
