@@ -2,10 +2,12 @@
 
 import random
 
+import pytest
+
 from lamina.operators import communities, order
-from lamina.operators.durable import sized
+from lamina.operators.durable import StageStore, sized
+from lamina.plans import dataflow, forwards, models, trace
 from lamina.plans import layers as L
-from lamina.plans import models
 
 
 def sent(spark, work):
@@ -59,3 +61,24 @@ def test_communities_send_links_only_to_name_them(spark):
     made, moved = sent(spark, lambda: communities.merges(edges, ids).count())
     assert made
     assert sum(m >= 2 * n for m in moved) < 4, moved  # for both directions, for the degrees and for the first round's names
+
+
+@pytest.mark.parametrize("made", ["by hand", "traced"])
+def test_edges_stay_in_cells_where_there_are_more_buckets(spark, made):
+    """As on large inputs: values are sent to the cells of edges, not both to the buckets of nodes."""
+    session = sized(spark)
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    session.conf.set("spark.sql.shuffle.partitions", 40)
+    edges, ids, n = dense_graph(session, 400, 50, 0.5)
+    both = L.durable(edges.union(edges.select("dst", "src")))
+    nodes = L.durable(ids.selectExpr("id", "transform(sequence(0, 3), i -> double(pmod(hash(id, i), 64)) / 64) AS x"))
+    if made == "by hand":
+        plan, start = models.gat(4, 4, 2)
+        work = lambda: plan.run(L.Graph(both, ids), {start: nodes})[0].collect()
+    else:
+        store, traced = StageStore(session), trace.trace(forwards.gat(2, 4), 4)
+        assert store.buckets > store.cells
+        work = lambda: traced.flow.run(dataflow.stored_graph({None: both}, {None: nodes}, store), {traced.sources[0]: nodes}, store)[0].collect()
+    rows, moved = sent(spark, work)
+    assert len(rows) == 450
+    assert sum(m >= 2 * n for m in moved) < 4, moved
