@@ -7,14 +7,14 @@ dealt by destination with the vector's code, and get the vector itself where the
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .durable import durable
+from .durable import durable, n_cells
 
 _BINARY = {
     "add": lambda a, b: V.zipped(a, b, lambda x, y: x + y),
@@ -28,25 +28,44 @@ _REDUCE = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}
 
 @dataclass
 class Coded:
-    """Nodes whose vectors are rows of a smaller table: ids (id, code, and by, a factor, if there is one) and vectors (code, x)."""
+    """Nodes whose vectors are rows of a smaller table: ids (id, code, and by, a factor, if there is one) and vectors (code, x). many: there are too many vectors to send all to each task."""
 
     ids: DataFrame
     vectors: DataFrame
+    many: bool = False
 
     def mapped(self, f: Callable[[Column], Column]) -> Coded:
-        return Coded(self.ids, self.vectors.select("code", f(F.col("x")).alias("x")))
+        return Coded(self.ids, self.vectors.select("code", f(F.col("x")).alias("x")), self.many)
 
 
 #: The in-edges of a node are dealt to a task for each so many of them.
 HUB = 1 << 20
 
 
-def _dealt(edges: DataFrame, rows: DataFrame, hub: int = HUB) -> DataFrame:
-    """rows (edges with more columns) by destination, those of a hub by its sources as well."""
+def _marked(edges: DataFrame, rows: DataFrame, hub: int = HUB) -> DataFrame:
+    """rows (edges with more columns) with _deal, which tells a hub's in-edges apart by their sources."""
     # One row at most for each HUB edges.
     hubs = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hub)
     spread = rows.join(F.broadcast(hubs), "dst", "left").withColumn("_deal", F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64("src"), F.ceil(F.col("_n") / hub))))
-    return spread.repartition("dst", "_deal").drop("_n", "_deal")
+    return spread.drop("_n")
+
+
+def _dealt(edges: DataFrame, rows: DataFrame, hub: int = HUB) -> DataFrame:
+    """rows (edges with more columns) by destination, those of a hub by its sources as well."""
+    return _marked(edges, rows, hub).repartition("dst", "_deal").drop("_deal")
+
+
+def _met_in_cells(edges: DataFrame, rows: DataFrame, nodes: Coded, sides: Sequence[str]) -> DataFrame:
+    """rows (edges with codes _u, _v) with columns u, v: edges lie in cells by destination, and a vector is sent once to each cell that has its code."""
+    cells = n_cells(edges.sparkSession)
+    marked = _marked(edges, rows).withColumn("_cell", F.pmod(F.xxhash64("dst", F.coalesce("_deal", F.lit(-1).cast("long"))), F.lit(cells))).drop("_deal")
+    out = marked.repartition(cells, "_cell")
+    for side in sides:
+        code = f"_{side}"
+        at = marked.select("_cell", F.col(code).alias("code")).distinct().join(nodes.vectors, "code").repartition(cells, "_cell")
+        # The names come after the shuffle: two bare shuffles into few parts would both be done again, into as many as are set.
+        out = out.join(at.select("_cell", F.col("code").alias(code), F.col("x").alias(side)), ["_cell", code]).drop(code)
+    return out.drop("_cell")
 
 
 def gathered(edges: DataFrame, nodes: DataFrame | Coded, *sides: str, value: str = "x") -> DataFrame:
@@ -57,6 +76,11 @@ def gathered(edges: DataFrame, nodes: DataFrame | Coded, *sides: str, value: str
         by = "by" in nodes.ids.columns
         for side in sides:
             out = out.join(nodes.ids.select(F.col("id").alias(ends[side]), F.col("code").alias(f"_{side}"), *([F.col("by").alias(f"_by_{side}")] if by else [])), ends[side])
+        if nodes.many:
+            out = _met_in_cells(edges, out, nodes, sides)
+            for side in sides if by else ():
+                out = out.withColumn(side, V.scaled(side, F.col(f"_by_{side}"))).drop(f"_by_{side}")
+            return out
         out = _dealt(edges, out)
         for side in sides:
             x = V.scaled("x", F.col(f"_by_{side}")) if by else F.col("x")
@@ -128,7 +152,7 @@ def degree_scaled(nodes: DataFrame | Coded, degree: DataFrame, power: float) ->
     """Node vectors times max(degree, 1) ** power; degree as of degrees(), of the whole graph's edges."""
     by = F.pow(F.greatest(F.coalesce("_d", F.lit(1)), F.lit(1)).cast("double"), F.lit(power))
     if isinstance(nodes, Coded):
-        return Coded(nodes.ids.join(degree, "id", "left").select("id", "code", by.alias("by")), nodes.vectors)
+        return Coded(nodes.ids.join(degree, "id", "left").select("id", "code", by.alias("by")), nodes.vectors, nodes.many)
     return nodes.join(degree, "id", "left").withColumn("x", V.scaled("x", by)).drop("_d")
 
 

@@ -67,3 +67,31 @@ def test_shuffles_grow_with_the_input(spark, monkeypatch):
     assert Q.QUERIES["edge_dedupe"](spark, SF).count() == 1905
     assert Q.QUERIES["in_degree"](spark, SF).count() == 210
     assert int(seen[0]) > 15 and spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+@pytest.mark.parametrize("op", ["copy_u", "u_sub_v", "u_mul_e"])
+@pytest.mark.parametrize("how", ["mean", "max"])
+def test_many_vectors_go_to_cells(spark, graph, op, how, monkeypatch):
+    from pyspark.sql import functions as F
+
+    edges, coded, nodes = graph
+    monkeypatch.setattr(message, "_marked", lambda e, r, hub=10, of=message._marked: of(e, r, hub))  # 0 is a hub
+    many = message.Coded(coded.ids.withColumn("by", F.lit(2.0)), coded.vectors, True)
+    e = F.array((F.col("src") + 1.0), F.col("dst") * 2.0)
+    want = rows(message.update_all(edges.withColumn("e", e), nodes.withColumn("x", V.scaled("x", 2.0)), op, how, 2))
+    got = rows(message.update_all(edges, many, op, how, 2, e))
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+@pytest.mark.parametrize("name", ["multi_relation_mean", "multi_relation_max", "v_add_e", "gcn_norm_both"])
+def test_queries_over_many_vectors_give_what_sql_gives(spark, name, monkeypatch):
+    import duckdb
+
+    monkeypatch.setattr(Q.tables, "FEW_VECTORS", 10)
+    duck = duckdb.connect()
+    for t in ("part", "supplier", "customer", "orders", "lineitem", "embeddings"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = duck.execute(Q.ORACLES[name]).fetchall()
+    columns = [c[0] for c in duck.description]
+    got = [tuple(r) for r in Q.QUERIES[name](spark, SF).select(*columns).collect()]
+    assert sorted(got) == sorted(want)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lamina.operators import communities, order
+from lamina.operators import communities, message, order
 from lamina.operators.durable import StageStore, sized
 from lamina.plans import dataflow, forwards, models, trace
 from lamina.plans import layers as L
@@ -82,3 +82,14 @@ def test_edges_stay_in_cells_where_there_are_more_buckets(spark, made):
     rows, moved = sent(spark, work)
     assert len(rows) == 450
     assert sum(m >= 2 * n for m in moved) < 4, moved
+
+
+def test_many_vectors_are_sent_to_cells_not_to_edges(spark):
+    session = sized(spark)
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    session.conf.set("spark.sql.shuffle.partitions", 8)
+    edges, ids, n = dense_graph(session, 100, 400, 0.5)
+    vectors = session.range(20).selectExpr("id AS code", "transform(sequence(0, 15), i -> double(pmod(hash(id, i), 64)) / 64) AS x")
+    coded = message.Coded(ids.selectExpr("id", "id % 20 AS code"), vectors, True)
+    _, moved = sent(spark, lambda: message.update_all(edges, coded, "copy_u", "sum", 16).collect())
+    assert sum(m >= n for m in moved) == 2, moved  # without features: to the sources' codes, then to the cells
