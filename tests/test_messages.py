@@ -95,3 +95,13 @@ def test_queries_over_many_vectors_give_what_sql_gives(spark, name, monkeypatch)
     columns = [c[0] for c in duck.description]
     got = [tuple(r) for r in Q.QUERIES[name](spark, SF).select(*columns).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_many_rows_in_a_small_file_are_not_broadcast(spark, tmp_path):
+    """The driver would collect them: a million keys are 4 MB as a file and over 60 MB in a broadcast."""
+    for name in "ab":
+        spark.range(1_000_000).write.parquet(f"{tmp_path}/{name}")
+    session = durable.sized(spark)
+    met = session.read.parquet(f"{tmp_path}/a").join(session.read.parquet(f"{tmp_path}/b"), "id")
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == 1_000_000
